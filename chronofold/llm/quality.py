@@ -122,10 +122,13 @@ def clean(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     df = docs.withColumn("_text", text_of(docs)).withColumn("_words", _words(F.col("_text")))
     df = _repeat_words(df)
-    df = df.filter((F.size("_words") >= MIN_WORDS) & (F.col("_repeat") * 100 <= F.size("_words") * MAX_REPEAT_PERCENT))
-    df = _with_lines(df.select(*columns, "_text"), F.col("_text"))
+    passed = (F.size("_words") >= MIN_WORDS) & (F.col("_repeat") * 100 <= F.size("_words") * MAX_REPEAT_PERCENT)
+    df = _with_lines(df.select(*columns, "_text", passed.alias("_passed")), F.col("_text"))
     whole = _line_chars("_lines")
-    df = df.filter((whole - _line_chars("_good")) * 100 <= whole * MAX_LOST_PERCENT)
+    kept = F.col("_passed") & ((whole - _line_chars("_good")) * 100 <= whole * MAX_LOST_PERCENT)
+    # The always-true comparison keeps the optimizer from pushing the verdict below the
+    # columns it is made of, where it would work out the word array once for every word.
+    df = df.withColumn("_kept", kept & (F.rand(0) >= 0)).filter("_kept")
     df = df.withColumn("text", F.array_join("_good", "\n"))
     if "n_chars" in columns:
         df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
