@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +45,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are on shared storage, so a lost executor costs nothing upstream."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, whatever the optimizer merges or pushes."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fenced(value: Column) -> Column:
+    """The value, as a column that no filter is pushed below and no projection merged with.
+
+    The comparison is always true; being non-deterministic it only stops the optimizer from
+    copying a costly expression to every place that reads it.
+    """
+    return F.when(F.rand(0) >= 0, value)

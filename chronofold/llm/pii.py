@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import text_of
+from chronofold.llm.common import fenced, let, text_of
 
 THRESHOLD = 0.5
 BONUS = 0.3
@@ -89,37 +89,34 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(df: DataFrame, kind: str) -> DataFrame:
-    """Adds column ``kind``: array of (s, e, score), ends exclusive, in code points."""
+def _spans(t: Column, kind: str) -> Column:
+    """Array of (s, e, score), ends exclusive, in code points."""
     pattern, needs, base, words = KINDS[kind]
-    t = F.col("_t")
     may = (F.instr(t, needs) > 0) if needs else t.rlike("[0-9][\\x20-]?[0-9]")
-    m, gaps, ends = f"_m_{kind}", f"_g_{kind}", f"_e_{kind}"
-    df = df.withColumn(m, F.when(may, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))))
-    df = df.withColumn(gaps, F.when(F.size(m) > 0, F.split(t, pattern, -1)))
-    # What lies between the matches gives their places: end k = sum of gaps and matches up to k.
-    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda g, x: F.length(g) + F.length(x))
-    grow = lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n))
-    df = df.withColumn(ends, F.when(F.size(m) > 0, F.aggregate(both, F.array().cast("array<int>"), grow)))
-
-    def span(x: Column, i: Column) -> Column:
-        end = F.get(F.col(ends), i)
+
+    def ends(m: Column) -> Column:
+        """What lies between the matches gives their places: end k sums gaps and matches up to k."""
+        both = F.zip_with(F.slice(F.split(t, pattern, -1), F.lit(1), F.size(m)), m, lambda g, x: F.length(g) + F.length(x))
+        grow = lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n))
+        return F.when(F.size(m) > 0, F.aggregate(both, F.array().cast("array<int>"), grow))
+
+    def scored(x: Column, end: Column) -> Column:
         start = end - F.length(x)
         before = F.substring(t, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
         near = before.rlike(rf"(?i)\b(?:{words})")
         score = F.least(F.lit(1.0), F.lit(base) + F.when(near, F.lit(BONUS)).otherwise(F.lit(0.0)))
         return F.struct(start.alias("s"), end.alias("e"), F.when(_valid(kind, x), score).otherwise(F.lit(0.0)).alias("score"))
 
-    found = F.filter(F.transform(m, span), lambda x: x["score"] >= THRESHOLD)
-    return df.withColumn(kind, F.coalesce(found, F.array().cast("array<struct<s:int,e:int,score:double>>"))).drop(m, gaps, ends)
+    matches = F.when(may, F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+    spans = let(matches, lambda m: let(ends(m), lambda e: F.transform(m, lambda x, i: scored(x, F.get(e, i)))))
+    found = F.filter(spans, lambda x: x["score"] >= THRESHOLD)
+    return F.coalesce(found, F.array().cast("array<struct<s:int,e:int,score:double>>"))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and one array of (s, e, score) per kind."""
-    df = docs.select("doc_id", text_of(docs).alias("_t"))
-    for kind in KINDS:
-        df = _spans(df, kind)
-    return df.drop("_t")
+    t = text_of(docs)
+    return docs.select("doc_id", *[fenced(_spans(t, kind)).alias(kind) for kind in KINDS])
 
 
 def _joined(kinds: tuple[str, ...]) -> Column:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import WORD, text_of
+from chronofold.llm.common import WORD, WORD_CHARS, fenced, let, text_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -55,63 +55,87 @@ def _line_fails(line: Column) -> Column:
     )
 
 
-def _with_lines(df: DataFrame, text: Column) -> DataFrame:
-    return df.withColumn("_lines", F.split(text, "\n", -1)).withColumn(
-        "_good", F.filter("_lines", lambda line: ~_line_fails(line))
-    )
+def _chars(lines: Column) -> Column:
+    return F.aggregate(lines, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
 
 
-def _repeat_words(df: DataFrame) -> DataFrame:
-    """Adds ``_repeat``: word positions covered by 3-word windows that occur twice or more.
+def _repeat_words(words: Column) -> Column:
+    """Word positions covered by 3-word windows that occur twice or more.
 
-    Windows are held as 64-bit hashes of the three words, sorted with their positions,
-    so that equal windows stand side by side: n log n work inside one row, no shuffle.
+    Windows are 64-bit hashes of the three words, sorted with their positions so that equal
+    windows stand side by side: n log n work inside one row, no shuffle.
     """
-    w = F.col("_words")
-    windows = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])))
-    df = df.withColumn("_win", F.coalesce(windows, F.array().cast("array<bigint>")))
-    repeated = F.size(F.array_distinct("_win")) < F.size("_win")
-    ordered = F.when(repeated, F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    df = df.withColumn("_ord", ordered)
-    o = F.col("_ord")
-    hits = F.filter(o, lambda e, k: ((k > 0) & (F.get(o, k - 1)["h"] == e["h"])) | ((k < F.size(o) - 1) & (F.get(o, k + 1)["h"] == e["h"])))
-    df = df.withColumn("_at", F.sort_array(F.transform(hits, lambda e: e["i"])))
-    start = F.struct(F.lit(-3).cast("int").alias("last"), F.lit(0).cast("bigint").alias("n"))
-    step = lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"))
-    covered = F.aggregate("_at", start, step, lambda a: a["n"])
-    return df.withColumn("_repeat", F.coalesce(covered, F.lit(0)).cast("bigint"))
+
+    def windows(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.when(F.size(w) >= 3, made)
+
+    def ordered(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), pairs)
+
+    def positions(o: Column) -> Column:
+        def again(e: Column, k: Column) -> Column:
+            before, after = F.get(o, k - 1)["h"] == e["h"], F.get(o, k + 1)["h"] == e["h"]
+            return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
+
+        return F.sort_array(F.transform(F.filter(o, again), lambda e: e["i"]))
+
+    def covered(at: Column) -> Column:
+        start = F.struct(F.lit(-3).cast("int").alias("last"), F.lit(0).cast("bigint").alias("n"))
+        step = lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"))
+        return F.aggregate(at, start, step, lambda a: a["n"])
+
+    count = let(words, lambda w: let(windows(w), lambda h: let(ordered(h), lambda o: let(positions(o), covered))))
+    return F.coalesce(count, F.lit(0)).cast("bigint")
+
+
+def _judged(text: Column) -> Column:
+    """One struct with every measure of a text, its good lines and the verdict."""
+
+    def of_words(w: Column) -> Column:
+        return F.struct(F.size(w).cast("bigint").alias("n_words"), _chars(w).alias("word_chars"), _repeat_words(w).alias("n_repeat_words"))
+
+    def of_lines(lines: Column, good: Column) -> Column:
+        wordy = F.filter(lines, lambda x: x.rlike(WORD_CHARS))
+        repeats = let(wordy, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+        return F.struct(
+            repeats.cast("bigint").alias("n_dup_lines"),
+            (F.size(lines) - F.size(good)).cast("bigint").alias("n_bad_lines"),
+            _chars(lines).alias("all_chars"),
+            (_chars(lines) - _chars(good)).alias("lost_chars"),
+            good.alias("good"),
+        )
+
+    lines = let(F.split(text, "\n", -1), lambda x: let(F.filter(x, lambda line: ~_line_fails(line)), lambda good: of_lines(x, good)))
+    symbols = F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint")
+    return F.struct(let(_words(text), of_words).alias("w"), lines.alias("l"), symbols.alias("n_symbols"))
+
+
+def _base_failed(q: Column) -> Column:
+    w = q["w"]
+    return (w["n_words"] < MIN_WORDS) | (w["n_repeat_words"] * 100 > w["n_words"] * MAX_REPEAT_PERCENT)
+
+
+def _kept(q: Column) -> Column:
+    return ~_base_failed(q) & (q["l"]["lost_chars"] * 100 <= q["l"]["all_chars"] * MAX_LOST_PERCENT)
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """One row per document with the base measures, the share of text that line rules remove, and the verdict."""
-    text = text_of(docs)
-    df = docs.select("doc_id", text.alias("_text")).withColumn("_words", _words(F.col("_text")))
-    df = _repeat_words(df)
-    df = _with_lines(df, F.col("_text"))
-    with_word = F.filter("_lines", lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("_wordy", with_word)
-    df = df.select(
+    """One row per document with the base measures, what the line rules remove, and the verdict."""
+    df = docs.select("doc_id", fenced(_judged(text_of(docs))).alias("q"))
+    q = F.col("q")
+    return df.select(
         "doc_id",
-        F.size("_words").cast("bigint").alias("n_words"),
-        F.aggregate("_words", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("word_chars"),
-        F.regexp_count(F.col("_text"), F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
-        (F.size("_wordy") - F.size(F.array_distinct("_wordy"))).cast("bigint").alias("n_dup_lines"),
-        F.col("_repeat").alias("n_repeat_words"),
-        (F.size("_lines") - F.size("_good")).cast("bigint").alias("n_bad_lines"),
-        _line_chars("_lines").alias("_all"),
-        _line_chars("_good").alias("_left"),
+        *[q["w"][n].alias(n) for n in ("n_words", "word_chars")],
+        q["n_symbols"].alias("n_symbols"),
+        q["l"]["n_dup_lines"].alias("n_dup_lines"),
+        q["w"]["n_repeat_words"].alias("n_repeat_words"),
+        _base_failed(q).alias("base_failed"),
+        _kept(q).alias("kept"),
+        q["l"]["n_bad_lines"].alias("n_bad_lines"),
+        q["l"]["lost_chars"].alias("lost_chars"),
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    lost = (F.col("_all") - F.col("_left")) * 100 > F.col("_all") * MAX_LOST_PERCENT
-    return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & ~lost).alias("kept"),
-        "n_bad_lines", (F.col("_all") - F.col("_left")).alias("lost_chars"),
-    )
-
-
-def _line_chars(lines: str) -> Column:
-    return F.aggregate(lines, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -120,16 +144,9 @@ def clean(docs: DataFrame) -> DataFrame:
     ``n_chars`` follows the text where the input has it.
     """
     columns = docs.columns
-    df = docs.withColumn("_text", text_of(docs)).withColumn("_words", _words(F.col("_text")))
-    df = _repeat_words(df)
-    passed = (F.size("_words") >= MIN_WORDS) & (F.col("_repeat") * 100 <= F.size("_words") * MAX_REPEAT_PERCENT)
-    df = _with_lines(df.select(*columns, "_text", passed.alias("_passed")), F.col("_text"))
-    whole = _line_chars("_lines")
-    kept = F.col("_passed") & ((whole - _line_chars("_good")) * 100 <= whole * MAX_LOST_PERCENT)
-    # The always-true comparison keeps the optimizer from pushing the verdict below the
-    # columns it is made of, where it would work out the word array once for every word.
-    df = df.withColumn("_kept", kept & (F.rand(0) >= 0)).filter("_kept")
-    df = df.withColumn("text", F.array_join("_good", "\n"))
+    df = docs.withColumn("_q", fenced(_judged(text_of(docs))))
+    q = F.col("_q")
+    df = df.filter(_kept(q)).withColumn("text", F.array_join(q["l"]["good"], "\n"))
     if "n_chars" in columns:
         df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return df.select(*columns)
