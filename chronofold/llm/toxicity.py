@@ -13,10 +13,12 @@ weight is the sum over its words of word weight x factor, and completed threats;
 is scored on its clauses' weights, never on single words.
 
 What is learned, from labelled training rows only (crc32 remainder not 1), on at most
-``MAX_TRAIN_DOCS`` of them, those with the smallest hash of their id: words that are far more
-frequent in toxic documents (they join the insult class), the weights of insult words, and
-the logistic scale of the document score.  Word candidates appear in at least ``MIN_SHARE``
-of the toxic sample, so there are at most 1 / MIN_SHARE x its mean distinct words.
+``MAX_TRAIN_DOCS`` of them, those with the smallest hash of their id: words and word stems
+(prefixes, for inflected forms) that are far more frequent in toxic documents and so join the
+insult class, their weights (half the lower bound of their log-odds), and the logistic scale of
+the document score.  Weights come from three quarters of the sample, the scale from the rest.
+Candidates appear in at least ``MIN_SHARE`` of the toxic sample, so there are at most
+1 / MIN_SHARE x its mean distinct words.
 
 Special cases: null and empty texts score as texts without a matched clause; without any
 training labels built-in weights and scale are used; each input row gives one row; repeated
@@ -39,8 +41,11 @@ from pyspark.sql import functions as F
 from chronofold.llm.common import remainder, text_of
 
 MAX_TRAIN_DOCS = 20_000
-MIN_SHARE = 0.02
-MIN_LOG_ODDS = 2.5
+MIN_SHARE = 0.01
+MIN_DOCS = 4
+MIN_LOG_ODDS = 2.0
+STEMS = (4, 5)
+MAX_CACHED = 200_000
 NEAR = 3
 NEGATED, TARGETED, REPORTED = 0.3, 1.5, 0.5
 SEED_WEIGHT, THREAT_WEIGHT = 1.5, 3.0
@@ -79,35 +84,50 @@ def compose() -> tuple[list[list[int]], list[list[float]], list[list[bool]]]:
     return step, factor, threat
 
 
+def forms(word: str) -> list[str]:
+    """The word and its stems; a stem ends in a star."""
+    return [word, *[word[:n] + "*" for n in STEMS if len(word) > n]]
+
+
 class Grammar:
     """Lexicon plus composed table; scores clauses."""
 
     def __init__(self, insults: dict[str, float]) -> None:
-        self.classes = {w: c for c, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in words}
-        self.classes |= dict.fromkeys(insults, INSULT)
-        self.weights = insults
-        self.triggers = {w for w, c in self.classes.items() if c in (INSULT, THREAT)}
+        self.fixed = {w: c for c, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
+        self.insults = insults
+        self.known: dict[str, tuple[int, float]] = {}
         self.step, self.factor, self.threat = compose()
 
-    def clause(self, words: list[str]) -> float:
-        state, total = 0, 0.0
+    def classify(self, words: list[str]) -> list[tuple[int, float]]:
+        if len(self.known) > MAX_CACHED:
+            self.known.clear()
+        known, out = self.known, []
         for w in words:
-            c = self.classes.get(w.replace("'", "").replace("’", ""), OTHER)
+            if (got := known.get(w)) is None:
+                c = self.fixed.get(w.replace("'", "").replace("’", ""), OTHER)
+                weight = max((self.insults.get(f, 0.0) for f in forms(w)), default=0.0) if c == OTHER else 0.0
+                got = known[w] = (INSULT, weight) if weight else (c, 0.0)
+            out.append(got)
+        return out
+
+    def clause(self, classes: list[tuple[int, float]]) -> float:
+        state, total = 0, 0.0
+        for c, weight in classes:
             if c == INSULT:
-                total += self.weights[w] * self.factor[state][c]
+                total += weight * self.factor[state][c]
             elif self.threat[state][c]:
                 total += THREAT_WEIGHT * self.factor[state][c]
             state = self.step[state][c]
         return total
 
     def features(self, text: str) -> tuple[float, float, float]:
-        """log of 1 + all clause weight, the heaviest clause, matched clauses per hundred words."""
+        """log of 1 + all clause weight, the heaviest clause, clause weight per hundred words."""
         low = text.lower()
         words = WORDS.findall(low)
-        if self.triggers.isdisjoint(words):
+        if not any(c in (INSULT, THREAT) for c, _ in self.classify(words)):
             return 0.0, 0.0, 0.0
-        got = [x for part in CLAUSES.split(low) if (x := self.clause(WORDS.findall(part))) > 0]
-        return (math.log1p(sum(got)), max(got), 100 * len(got) / len(words)) if got else (0.0, 0.0, 0.0)
+        got = [self.clause(self.classify(WORDS.findall(part))) for part in CLAUSES.split(low)]
+        return math.log1p(sum(got)), max(got), 100 * sum(got) / len(words)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -138,7 +158,7 @@ def _tally(candidates: frozenset[str] | None):
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = set(WORDS.findall(text.lower()))
+                words = {f for w in set(WORDS.findall(text.lower())) for f in forms(w)}
                 counts[int(toxic > 0)].update(words if candidates is None else words & candidates)
                 counts[int(toxic > 0)][""] += 1
         for toxic, c in enumerate(counts):
@@ -150,22 +170,24 @@ def _tally(candidates: frozenset[str] | None):
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     """Insult weights and the logistic weights of the document score."""
     sample = _sample(docs, labels)
+    first, second = sample.filter(F.xxhash64("doc_id") % 4 != 0), sample.filter(F.xxhash64("doc_id") % 4 == 0)
     shape = "word string, toxic int, n bigint"
-    toxic = sample.filter("toxic > 0").select("text", "toxic")
+    toxic = first.filter("toxic > 0").select("text", "toxic")
     counts = toxic.mapInArrow(_tally(None), shape).groupBy("word").agg(F.sum("n").alias("n"))
-    total = counts.filter("word = ''").select(F.col("n").alias("total"))
-    common = counts.join(F.broadcast(total)).filter(F.col("n") >= F.greatest(F.lit(3), F.col("total") * MIN_SHARE)).select("word", "n").collect()
-    mine = {r["word"]: r["n"] for r in common}
+    total = toxic.count()
+    common = counts.filter(F.col("n") >= max(MIN_DOCS, total * MIN_SHARE)).select("word", "n").collect()
+    mine = frozenset(r["word"] for r in common) | frozenset(INSULTS)
     insults = dict.fromkeys(INSULTS, SEED_WEIGHT)
-    n_toxic = mine.pop("", 0)
-    if n_toxic:
-        rows = sample.select("text", "toxic").mapInArrow(_tally(frozenset(mine) | frozenset(INSULTS)), shape).groupBy("word", "toxic").agg(F.sum("n").alias("n")).collect()
-        seen = {(r["word"], r["toxic"]): r["n"] for r in rows}
-        n_clean = seen.get(("", 0), 0)
-        for w in {w for w, _ in seen} - {""}:
-            odds = math.log((seen.get((w, 1), 0) + 0.5) / (n_toxic + 1)) - math.log((seen.get((w, 0), 0) + 0.5) / (n_clean + 1))
-            if odds >= MIN_LOG_ODDS or w in insults:
-                insults[w] = min(4.0, max(0.05, odds / 2))
+    rows = first.select("text", "toxic").mapInArrow(_tally(mine), shape).groupBy("word", "toxic").agg(F.sum("n").alias("n")).collect()
+    seen = {(r["word"], r["toxic"]): r["n"] for r in rows}
+    n_toxic, n_clean = seen.get(("", 1), 0), seen.get(("", 0), 0)
+    for w in mine - {""} if n_toxic and n_clean else ():
+        a, b = seen.get((w, 1), 0) + 0.5, seen.get((w, 0), 0) + 0.5
+        low = math.log(a / (n_toxic + 1)) - math.log(b / (n_clean + 1)) - math.sqrt(1 / a + 1 / b)
+        if a > MIN_DOCS and low >= MIN_LOG_ODDS:
+            insults[w] = low / 2
+        elif a + b > 2 * MIN_DOCS and w in insults:
+            insults[w] = max(0.05, low / 2)
     grammar = Grammar(insults)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarra
             x = np.array([grammar.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
             yield pa.record_batch({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": pa.array([int(v > 0) for v in batch.column("toxic").to_pylist()], pa.int32())})
 
-    got = sample.select("text", "toxic").mapInArrow(measure, "a double, b double, c double, y int").toArrow()
+    got = second.select("text", "toxic").mapInArrow(measure, "a double, b double, c double, y int").toArrow()
     y = got.column("y").to_numpy()
     if not 0 < y.sum() < len(y):
         return insults, np.array([1.0, 0.5, 0.1, -2.5])
