@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import exact_dedup, language, pii, quality, secrets, toxicity
+from chronofold.llm import exact_dedup, language, pieces, pii, quality, secrets, toxicity
 from chronofold.llm.common import documents
 
 
+#: The tokenizer model; read on the driver only.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
@@ -26,6 +30,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(documents(spark, sf_dir), TOKENIZER)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(documents(spark, sf_dir))
 
@@ -35,7 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_pii, op6_toxicity, op7_exact_dedup, op9_secrets, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_language_id, op4_pii, op6_toxicity, op7_exact_dedup, op8_sentencepiece, op9_secrets, op10_quality_rules)}
 
 
 OP7_SQL = """
