@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import exact_dedup, language, near_dedup, pieces, pii, quality, secrets, toxicity, warc
+from chronofold.llm import exact_dedup, language, mixing, near_dedup, pieces, pii, quality, secrets, toxicity, warc
 from chronofold.llm.common import documents
 
 
@@ -14,6 +14,10 @@ from chronofold.llm.common import documents
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(documents(spark, sf_dir))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_language_id, op4_pii, op5_warc, op6_toxicity, op7_exact_dedup, op8_sentencepiece, op9_secrets, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_minhash_near_dedup, op3_language_id, op4_pii, op5_warc, op6_toxicity, op7_exact_dedup, op8_sentencepiece, op9_secrets, op10_quality_rules)}
 
 
 OP7_SQL = """
