@@ -11,12 +11,16 @@ with probability (1 - 0.85^5)^32, about 7e-9.
 
 Verification and grouping, without making all pairs of a bucket:
 1. Documents with equal shingle sets (128-bit digest) form a class; its smallest id stands for it.
-2. Stars: every member of a bucket is compared with the bucket's smallest id; then, where a bucket
-   still spans several components, with a member chosen by hash, which differs from band to band.
-3. Rest: where a bucket still spans several components, every member outside its largest component
-   is compared with every member of another component.  Pairs inside one component need no
-   comparison, so no link between components is lost.
-Every comparison is on full sets of 64-bit shingle fingerprints.  Components come from alternating
+2. Stars: every member of a bucket is compared with the bucket's hub, the member that shares most
+   buckets; the hub then leaves the bucket, as all its links there are known.  Buckets whose rest
+   still spans several components get a second star.
+3. Rest: for the members of buckets still open, shingles that no other such document has are
+   counted.  With u of its n shingles unshared a document can have at most n - u in common with
+   another, which rules out most pairs before they are made.  Of the pairs left, every member outside
+   its bucket's largest component is compared with every member of another component.  Pairs inside
+   one component need no comparison, so no link between components is lost.
+Every link is confirmed on full sets of 64-bit shingle fingerprints; pairs are ruled out only by
+bounds that hold for certain.  Components come from alternating
 large-star and small-star steps on the verified links.
 
 Results in special cases: null text, or a text without words, has an empty set and links with
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import cut, text_of
@@ -172,11 +176,42 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _bits(s: np.ndarray) -> bytes:
+    """A bit map of a set, four bits or more a shingle, placed by its low bits."""
+    size = 1 << max(6, (4 * len(s) - 1).bit_length())
+    flags = np.zeros(size, dtype=np.uint8)
+    flags[(s & _U(size - 1)).astype(np.int64)] = 1
+    return np.packbits(flags).tobytes()
+
+
+def _most(x: bytes, n: int, y: bytes, m: int) -> int:
+    """An upper bound of what two sets have in common: a bit of one that the other lacks is a shingle it lacks."""
+    p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] | p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] | q[len(q) // 2 :]
+    return min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     k = Sketcher()
     for batch in batches:
         sets = k.shingles(batch.column("text").to_pylist())
-        yield pa.record_batch({"node": batch.column("node"), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+        yield pa.record_batch(
+            {"node": batch.column("node"), "shingles": pa.array([s.tobytes() for s in sets], pa.binary()), "bits": pa.array([_bits(s) for s in sets], pa.binary())}
+        )
+
+
+def _pairs(batch: pa.RecordBatch, ok: list[bool]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) that their bit maps do not rule out."""
+    for batch in batches:
+        rows = zip(*[batch.column(c).to_pylist() for c in ("x", "n", "y", "m")], strict=True)
+        yield _pairs(batch, [(100 + PERCENT) * _most(x, n, y, m) >= PERCENT * (n + m) for x, n, y, m in rows])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,17 +222,21 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p, q = np.frombuffer(x.as_buffer(), dtype=_U), np.frombuffer(y.as_buffer(), dtype=_U)
             both = len(np.intersect1d(p, q, assume_unique=True))
             ok.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
+        yield _pairs(batch, ok)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among candidate pairs (a, b); sets that differ too much in size are not compared."""
-    size = F.octet_length("shingles")
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"), size.alias("m"))
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"), size.alias("n"))
-    close = (F.least("m", "n") * 100) >= (F.greatest("m", "n") * PERCENT)
-    joined = pairs.join(right, "b").join(left, "a").filter(close).select("a", "b", "x", "y")
-    return cut(joined.mapInArrow(_confirmed, "a bigint, b bigint"))
+    """Links among candidate pairs (a, b).  Bit maps go first, so that full sets move for near pairs only."""
+
+    def joined(pairs: DataFrame, *columns: tuple[str, Column]) -> DataFrame:
+        for side, names in (("b", "ym"), ("a", "xn")):
+            other = sets.select(F.col("node").alias(side), *[c.alias(name) for name, c in zip(names, columns, strict=False)])
+            pairs = pairs.join(other, side)
+        return pairs
+
+    size = (F.octet_length("shingles") / 8).cast("bigint")
+    near = cut(joined(pairs, F.col("bits"), size).mapInArrow(_possible, "a bigint, b bigint"))
+    return cut(joined(near, F.col("shingles")).mapInArrow(_confirmed, "a bigint, b bigint"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -218,55 +257,74 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
-def _labelled(buckets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, node, component) of buckets that span several components, and the components."""
-    found = cut(components(links))
-    rows = buckets.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    return cut(rows.join(open_, "key", "left_semi")), found
+def _open(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (key, node, n, w, component) of buckets that still span several components."""
+    found = components(links)
+    named = rows.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    still = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    return cut(named.join(still, "key", "left_semi"))
 
 
-def _stars(rows: DataFrame, leader) -> DataFrame:
-    """Pairs of each bucket's leader with its members of other components."""
-    heads = rows.groupBy("key").agg(leader.alias("head"))
-    heads = heads.select("key", F.col("head.node").alias("a"), F.col("head.component").alias("mine"))
-    pairs = rows.join(heads, "key").filter("component <> mine").select("a", F.col("node").alias("b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _star(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each bucket's hub with its members of other components, and the rows without the hubs."""
+    hubs = rows.groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("m"), "component", "n")).alias("hub"))
+    hubs = hubs.select("key", (-F.col("hub.m")).alias("a"), F.col("hub.component").alias("mine"), F.col("hub.n").alias("size"))
+    both = cut(rows.join(hubs, "key").filter("node <> a"))
+    pairs = both.filter(f"component <> mine and least(n, size) * 100 >= greatest(n, size) * {PERCENT}")
+    return pairs.select("a", F.col("node").alias("b")).distinct(), both.drop("a", "mine", "size")
 
 
-def _rest(rows: DataFrame) -> DataFrame:
-    """Pairs of each member outside its bucket's largest component with the members of other components."""
-    counts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("key").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("top"))
-    main = main.select("key", (-F.col("top.c")).alias("main"))
-    minor = rows.join(main, "key").filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("mine"), "main")
-    others = rows.select("key", F.col("node").alias("b"), "component")
-    # Of two members outside the largest component, the pair is made once.
-    pairs = minor.join(others, "key").filter("component <> mine and (component = main or a < b)")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _shingle_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each shingle of a batch once: its uses and, where there is one, its document."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), dtype=_U) for x in batch.column("shingles")]
+        nodes = np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets])
+        values, first, uses = np.unique(np.concatenate([*sets, np.zeros(0, dtype=_U)]), return_index=True, return_counts=True)
+        yield pa.record_batch({"shingle": pa.array(values.astype(np.int64)), "node": pa.array(nodes[first].astype(np.int64)), "uses": pa.array(uses.astype(np.int64))})
+
+
+def _rest(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of each member outside its bucket's largest component with the members of other components,
+    less those that unshared shingles rule out."""
+    mine = sets.join(rows.select("node").distinct(), "node", "left_semi")
+    uses = mine.mapInArrow(_shingle_uses, "shingle bigint, node bigint, uses bigint")
+    alone = uses.groupBy("shingle").agg(F.sum("uses").alias("uses"), F.min("node").alias("node")).filter("uses = 1")
+    shared = rows.join(alone.groupBy("node").agg(F.count(F.lit(1)).alias("u")), "node", "left")
+    shared = shared.withColumn("most", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
+    shared = cut(shared.filter(f"most * 100 >= n * {PERCENT}"))
+    counts = shared.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("key").agg(F.max(F.struct("c", (-F.col("component")).alias("m"))).alias("top"))
+    minor = shared.join(main.select("key", (-F.col("top.m")).alias("main")), "key").filter("component <> main")
+    minor = minor.select("key", F.col("node").alias("a"), F.col("component").alias("mine"), "main", F.col("n").alias("size"), F.col("most").alias("top"))
+    others = shared.select("key", F.col("node").alias("b"), "component", "n", "most")
+    # A link needs 100 c >= 85 (n + m - c) of c shared shingles.  Of two members outside the largest
+    # component, the pair is made once.
+    possible = f"{100 + PERCENT} * least(most, top) >= {PERCENT} * (n + size)"
+    pairs = minor.join(others, "key").filter(f"component <> mine and (component = main or a < b) and {possible}")
+    return pairs.select("b", "a").toDF("a", "b").distinct()
 
 
 def _link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sketched rows (doc_id, n_shingles, digest, node) and the components of nodes."""
+    """Sketched rows (doc_id, n_shingles, node) and the components of nodes."""
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).cast("binary").alias("text"))
     shape = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
     sketched = cut(rows.mapInArrow(_sketched, shape))
     classes = sketched.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    named = sketched.join(classes, "digest", "left")
-    nodes = cut(named.filter("doc_id = node").select("node", F.explode("bands").alias("key")).distinct())
-    shared = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    buckets = cut(nodes.join(shared, "key", "left_semi"))
-    wanted = buckets.select("node").distinct()
-    texts = rows.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi")
-    sets = cut(texts.mapInArrow(_sets, "node bigint, shingles binary"))
-    open_ = buckets.withColumn("component", F.col("node"))
-    links = _verify(_stars(open_, F.min(F.struct("node", "component"))), sets)
-    open_, _ = _labelled(buckets, links)
-    chosen = F.min_by(F.struct("node", "component"), F.xxhash64("key", "node"))
-    links = links.union(_verify(_stars(open_, chosen), sets))
-    open_, _ = _labelled(buckets, links)
-    links = links.union(_verify(_rest(open_), sets))
-    return named.select("doc_id", "n_shingles", "node"), components(links)
+    named = sketched.join(classes, "digest", "left").select("doc_id", "n_shingles", "node", "bands")
+    nodes = named.filter("doc_id = node").select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    shared = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("w")).filter("w > 1")
+    buckets = nodes.join(shared, "key")
+    weights = buckets.groupBy("node").agg(F.sum("w").alias("w"))
+    buckets = cut(buckets.drop("w").join(weights, "node").withColumn("component", F.col("node")))
+    texts = rows.withColumnRenamed("doc_id", "node").join(buckets.select("node").distinct(), "node", "left_semi")
+    sets = cut(texts.mapInArrow(_sets, "node bigint, shingles binary, bits binary"))
+    pairs, left = _star(buckets)
+    links = _verify(pairs, sets)
+    pairs, left = _star(_open(left, links))
+    links = links.union(_verify(pairs, sets))
+    left = _open(left, links)
+    links = links.union(_verify(_rest(left, sets), sets))
+    return named.drop("bands"), components(links)
 
 
 def groups(docs: DataFrame) -> DataFrame:
