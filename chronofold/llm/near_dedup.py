@@ -12,11 +12,11 @@ with probability (1 - 0.85^5)^32, about 7e-9.
 Verification and grouping, without making all pairs of a bucket:
 1. Documents with equal shingle sets (128-bit digest) form a class; its smallest id stands for it.
 2. Stars: every member of a bucket is compared with the bucket's hub, the member that shares most
-   buckets; the hub then leaves the bucket, as all its links there are known.  Buckets whose rest
-   still spans several components get a second star.
-3. Rest: for the members of buckets still open, shingles that no other such document has are
-   counted.  With u of its n shingles unshared a document can have at most n - u in common with
-   another, which rules out most pairs before they are made.  Of the pairs left, every member outside
+   buckets; the hub then leaves the bucket, as all its links there are known.  Where the rest still
+   spans several components a second hub is taken, outside the first one's component.
+3. Rest: for members of buckets still open, two numbers are found: how many shingles no other such
+   document or hub has, and how many of the first hub's are missing.  Both bound what two members can
+   share, which rules out most pairs before they are made.  Of the pairs left, every member outside
    its bucket's largest component is compared with every member of another component.  Pairs inside
    one component need no comparison, so no link between components is lost.
 Every link is confirmed on full sets of 64-bit shingle fingerprints; pairs are ruled out only by
@@ -240,7 +240,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node with a link (a, b), by large-star and small-star steps."""
+    """node, component (its smallest node) of every linked node but the smallest ones themselves, by large-star and small-star steps."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     mark = None
     while True:
@@ -258,20 +258,37 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (key, node, n, w, component) of buckets that still span several components."""
-    found = components(links)
-    named = rows.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    """Rows of buckets that still span several components, with their component and their hub's."""
+    found = cut(components(links))
+    named = rows.drop("component", "past").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     still = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    return cut(named.join(still, "key", "left_semi"))
+    hubs = found.select(F.col("node").alias("hub"), F.col("component").alias("past"))
+    kept = named.join(still, "key", "left_semi").join(hubs, "hub", "left")
+    return cut(kept.withColumn("past", F.coalesce("past", "hub")).select("key", "node", "n", "w", "component", "hub", "past"))
 
 
 def _star(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's hub with its members of other components, and the rows without the hubs."""
-    hubs = rows.groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("m"), "component", "n")).alias("hub"))
-    hubs = hubs.select("key", (-F.col("hub.m")).alias("a"), F.col("hub.component").alias("mine"), F.col("hub.n").alias("size"))
+    """Pairs of each bucket's next hub with its members of other components, and the rows without the hubs.
+
+    ``hub`` stays the first hub; the next one is outside the component ``past``, that of the first.
+    """
+    best = F.struct("w", (-F.col("node")).alias("m"), "component", "n")
+    hubs = rows.groupBy("key").agg(F.max(F.when(F.col("past").isNull() | (F.col("past") != F.col("component")), best)).alias("best"))
+    hubs = hubs.select("key", (-F.col("best.m")).alias("a"), F.col("best.component").alias("mine"), F.col("best.n").alias("size"))
     both = cut(rows.join(hubs, "key").filter("node <> a"))
     pairs = both.filter(f"component <> mine and least(n, size) * 100 >= greatest(n, size) * {PERCENT}")
-    return pairs.select("a", F.col("node").alias("b")).distinct(), both.drop("a", "mine", "size")
+    left = both.withColumn("hub", F.coalesce("hub", "a")).drop("a", "mine", "size")
+    return pairs.select("a", F.col("node").alias("b")).distinct(), left
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, hub, and how many of the hub's shingles the node lacks."""
+    for batch in batches:
+        lack = []
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            p, q = np.frombuffer(x.as_buffer(), dtype=_U), np.frombuffer(y.as_buffer(), dtype=_U)
+            lack.append(len(q) - len(np.intersect1d(p, q, assume_unique=True)))
+        yield pa.record_batch({"node": batch.column("node"), "hub": batch.column("hub"), "lack": pa.array(lack, pa.int64())})
 
 
 def _shingle_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,21 +303,26 @@ def _shingle_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _rest(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of each member outside its bucket's largest component with the members of other components,
     less those that unshared shingles rule out."""
-    mine = sets.join(rows.select("node").distinct(), "node", "left_semi")
-    uses = mine.mapInArrow(_shingle_uses, "shingle bigint, node bigint, uses bigint")
+    names = rows.select("node", "hub").distinct()
+    pool = names.select("node").union(names.select("hub")).distinct()
+    uses = sets.join(pool, "node", "left_semi").mapInArrow(_shingle_uses, "shingle bigint, node bigint, uses bigint")
     alone = uses.groupBy("shingle").agg(F.sum("uses").alias("uses"), F.min("node").alias("node")).filter("uses = 1")
-    shared = rows.join(alone.groupBy("node").agg(F.count(F.lit(1)).alias("u")), "node", "left")
-    shared = shared.withColumn("most", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
-    shared = cut(shared.filter(f"most * 100 >= n * {PERCENT}"))
-    counts = shared.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    hubs = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("y"))
+    lacks = names.join(sets.select("node", F.col("shingles").alias("x")), "node").join(hubs, "hub").mapInArrow(_common, "node bigint, hub bigint, lack bigint")
+    known = rows.join(alone.groupBy("node").agg(F.count(F.lit(1)).alias("u")), "node", "left").join(lacks, ["node", "hub"])
+    known = known.withColumn("most", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
+    known = cut(known.filter(f"most * 100 >= n * {PERCENT}"))
+    counts = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("key").agg(F.max(F.struct("c", (-F.col("component")).alias("m"))).alias("top"))
-    minor = shared.join(main.select("key", (-F.col("top.m")).alias("main")), "key").filter("component <> main")
-    minor = minor.select("key", F.col("node").alias("a"), F.col("component").alias("mine"), "main", F.col("n").alias("size"), F.col("most").alias("top"))
-    others = shared.select("key", F.col("node").alias("b"), "component", "n", "most")
+    minor = known.join(main.select("key", (-F.col("top.m")).alias("main")), "key").filter("component <> main")
+    minor = minor.selectExpr("key", "main", "node a", "component a_component", "n a_n", "most a_most", "lack a_lack")
+    others = known.selectExpr("key", "node b", "component b_component", "n b_n", "most b_most", "lack b_lack")
+    # What a has of the hub's shingles beyond b's share of them is not in b, nor are a's unshared ones.
+    shared = "least(a_most - greatest(0, b_lack - a_lack), b_most - greatest(0, a_lack - b_lack))"
     # A link needs 100 c >= 85 (n + m - c) of c shared shingles.  Of two members outside the largest
     # component, the pair is made once.
-    possible = f"{100 + PERCENT} * least(most, top) >= {PERCENT} * (n + size)"
-    pairs = minor.join(others, "key").filter(f"component <> mine and (component = main or a < b) and {possible}")
+    possible = f"{100 + PERCENT} * {shared} >= {PERCENT} * (a_n + b_n)"
+    pairs = minor.join(others, "key").filter(f"a_component <> b_component and (b_component = main or a < b) and {possible}")
     return pairs.select("b", "a").toDF("a", "b").distinct()
 
 
@@ -315,7 +337,7 @@ def _link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("w")).filter("w > 1")
     buckets = nodes.join(shared, "key")
     weights = buckets.groupBy("node").agg(F.sum("w").alias("w"))
-    buckets = cut(buckets.drop("w").join(weights, "node").withColumn("component", F.col("node")))
+    buckets = cut(buckets.drop("w").join(weights, "node").withColumns({"component": F.col("node"), "hub": F.lit(None).cast("bigint"), "past": F.lit(None).cast("bigint")}))
     texts = rows.withColumnRenamed("doc_id", "node").join(buckets.select("node").distinct(), "node", "left_semi")
     sets = cut(texts.mapInArrow(_sets, "node bigint, shingles binary, bits binary"))
     pairs, left = _star(buckets)
@@ -330,8 +352,8 @@ def _link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def groups(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     named, found = _link(docs)
-    # A row of an id whose other rows are linked differently takes the smallest component.
-    rows = named.join(found, "node", "left").withColumn("component_id", F.coalesce("component", "node", "doc_id"))
+    known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
+    rows = named.join(found, "node", "left").withColumn("component_id", known)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return rows.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
