@@ -87,6 +87,8 @@ def targets(sums: dict[str, float], temperature: float = TEMPERATURE, keep: floa
 
 def rake(cells: list[tuple[tuple[str, ...], float]], wanted: list[dict[str, float]]) -> list[float]:
     """The probability of each cell (values, tokens) under one target per margin value."""
+    if not cells:
+        return []
     tokens = np.array([t for _, t in cells], dtype=float)
     places, goals = [], []
     for m, want in enumerate(wanted):
@@ -112,7 +114,7 @@ def rake(cells: list[tuple[tuple[str, ...], float]], wanted: list[dict[str, floa
         if before is not None and np.abs((p - before) * tokens).sum() <= TOLERANCE * scale:
             break
         before = p
-    return p.tolist() if len(cells) else []
+    return p.tolist()
 
 
 def _rake_far(cells: DataFrame, steps: int = 20) -> DataFrame:

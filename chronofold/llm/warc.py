@@ -126,7 +126,9 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         if data[at : at + 2] == b"\x1f\x8b":
             inner, end, why = _inflate(data, at)
             found = [x._replace(offset=at, end=end) for x in salvage(inner)]
-            if not any(isinstance(x, Record) for x in found):
+            if not inner and not why:
+                pass  # an archive without records
+            elif not any(isinstance(x, Record) for x in found):
                 found, why = [], why or "gzip member without a record"
             elif why:
                 found = [x for x in found if isinstance(x, Record)]
