@@ -59,3 +59,13 @@ def fenced(value: Column) -> Column:
     copying a costly expression to every place that reads it.
     """
     return F.when(F.rand(0) >= 0, value)
+
+
+def whole(df: DataFrame) -> Column:
+    """A row's own columns as one struct, out of the way of any name used beside it."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns])
+
+
+def unpacked(df: DataFrame, columns: list[str], row: str = "row", **replaced: Column) -> DataFrame:
+    """The columns of a row kept by ``whole``, some of them replaced."""
+    return df.select(*[replaced[c].alias(c) if c in replaced else F.col(row)[c].alias(c) for c in columns])

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import cut, text_of
+from chronofold.llm.common import cut, text_of, unpacked, whole
 
 MIN_CHUNK = 512
 MAX_CHUNK = 4096
@@ -90,7 +90,7 @@ def _identified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; long texts move once, to meet the verdict."""
-    keep = groups(docs).filter("kept").select(_id("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumns({"_id": _id("doc_id"), "_sha": F.sha2(text_of(docs), 256)}).join(keep, ["_id", "_sha"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.lit(0)))
-    return rows.withColumn("_first", first).filter("_first = 1").select(*docs.columns)
+    keep = groups(docs).filter("kept").select(_id("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    rows = docs.select(whole(docs).alias("row"), _id("doc_id").alias("id"), F.sha2(text_of(docs), 256).alias("sha"))
+    first = F.row_number().over(Window.partitionBy("id", "sha").orderBy(F.lit(0)))
+    return unpacked(rows.join(keep, ["id", "sha"], "left_semi").withColumn("first", first).filter("first = 1"), docs.columns)

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import WORD, cut, fenced, text_of
+from chronofold.llm.common import WORD, cut, fenced, text_of, unpacked, whole
 
 MARGINS = ("source", "lang", "topic")
 TEMPERATURE = 0.7
@@ -166,8 +166,7 @@ def sample(docs: DataFrame, seed: int = SEED) -> DataFrame:
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The documents kept, with all their columns."""
     cells = probabilities(cut(measured(docs)))
-    cells = cells.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("p").alias("_p"))
-    text = text_of(docs)
-    keyed = docs.withColumns({"_source": F.coalesce(docs["source"].cast("string"), F.lit("\0")), "_lang": F.coalesce(docs["lang"].cast("string"), F.lit("\0")), "_topic": fenced(topic(text))})
-    kept = keyed.join(cells, ["_source", "_lang", "_topic"]).filter(_draw(F.col("doc_id"), seed) < F.col("_p"))
-    return kept.select(*docs.columns)
+    margins = {"source": docs["source"], "lang": docs["lang"], "topic": fenced(topic(text_of(docs)))}
+    named = [F.coalesce(v.cast("string"), F.lit("\0")).alias(k) for k, v in margins.items()]
+    rows = docs.select(whole(docs).alias("row"), _draw(docs["doc_id"], seed).alias("drawn"), *named)
+    return unpacked(rows.join(cells, list(MARGINS)).filter("drawn < p"), docs.columns)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import cut, text_of
+from chronofold.llm.common import cut, text_of, unpacked, whole
 
 WORDS = 5
 PERCENT = 85
@@ -360,5 +360,6 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows whose document stands for its component, with all their columns."""
-    gone = groups(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = groups(docs).filter("not kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(whole(docs).alias("row"), docs["doc_id"].cast("bigint").alias("id"))
+    return unpacked(rows.join(gone, "id", "left_anti"), docs.columns)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import WORD, WORD_CHARS, fenced, let, text_of
+from chronofold.llm.common import WORD, WORD_CHARS, fenced, let, text_of, unpacked, whole
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -143,10 +143,10 @@ def clean(docs: DataFrame) -> DataFrame:
 
     ``n_chars`` follows the text where the input has it.
     """
-    columns = docs.columns
-    df = docs.withColumn("_q", fenced(_judged(text_of(docs))))
-    q = F.col("_q")
-    df = df.filter(_kept(q)).withColumn("text", F.array_join(q["l"]["good"], "\n"))
-    if "n_chars" in columns:
-        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*columns)
+    df = docs.select(whole(docs).alias("row"), fenced(_judged(text_of(docs))).alias("q"))
+    q = F.col("q")
+    text = F.array_join(q["l"]["good"], "\n")
+    replaced = {"text": text}
+    if "n_chars" in docs.columns:
+        replaced["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return unpacked(df.filter(_kept(q)), docs.columns, **replaced)

@@ -69,6 +69,7 @@ def test_near_copies_against_brute_force(spark):
     rows = family_rows()
     want = brute_components(rows)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component string").repartition(5)
+    df = df.selectExpr("*", "component row", "component id", "component `a.b`")
     out = near_dedup.groups(df).collect()
     assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows)
     sizes = {i: len(shingles(t)) for i, t in rows}
@@ -159,7 +160,7 @@ def test_targets_give_what_is_missing_to_others():
 
 def test_mixing_rows(spark):
     rows = [(i, f"word{i} " * (i % 40), "en" if i % 3 else None, f"s{i % 4}" if i % 5 else "s0", 1) for i in range(3000)] + [(None, None, None, None, 1), (7, "x", "en", "s3", 2)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, p int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, p int").selectExpr("*", "p row", "p topic", "p drawn")
     out = mixing.sample(df).collect()
     assert len(out) == len(rows) and sum(r.tokens for r in out) == sum(len((t or "").split()) for _, t, *_ in rows)
     by = defaultdict(lambda: [0.0, 0, 0])

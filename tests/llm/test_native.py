@@ -59,6 +59,8 @@ def test_quality_cleaning(odd):
     out = {r.doc_id: r for r in quality.clean(odd).collect()}
     assert set(out) == {17, 18} and out[17].text == ODD[17] and out[17].n_words == "clash"
     assert "Home |" not in out[18].text and "Cookie" not in out[18].text and out[18].text.startswith(ODD[17])
+    named = quality.clean(odd.selectExpr("*", "n_words q", "n_words row", "7 n_chars", "n_words `a.b`")).collect()
+    assert len(named) == 2 and all(r["q"] == r["row"] == r["a.b"] == "clash" and r["n_chars"] == len(r["text"]) for r in named)
     assert quality.clean(odd.filter("false")).count() == 0 == quality.measure(odd.filter("false")).count()
 
 
@@ -78,8 +80,10 @@ def test_exact_groups(odd, monkeypatch):
         assert (r.keep_id, r.group_size) == (max(ids) if ids else None, len(group))
         kept[r.text_sha256] += r.kept
     assert set(kept.values()) == {1} and len(kept) == len(members)
-    rows = exact_dedup.dedup(odd).collect()
-    assert len(rows) == len(members) and rows[0].asDict().keys() == {"doc_id", "text", "n_words"}
+    named = odd.selectExpr("*", "n_words _id", "n_words sha", "n_words row", "n_words first", "n_words `a.b`")
+    rows = exact_dedup.dedup(named).collect()
+    assert len(rows) == len(members) and list(rows[0].asDict()) == named.columns
+    assert all(r["n_words"] == r["_id"] == r["sha"] == r["row"] == r["first"] == r["a.b"] for r in rows)
     assert exact_dedup.groups(odd.filter("false")).count() == 0
 
 
