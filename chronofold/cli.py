@@ -7,7 +7,6 @@ import json
 import sys
 import time
 from collections.abc import Sequence
-from datetime import UTC, datetime
 
 from pyspark.sql import Row, SparkSession
 
@@ -86,14 +85,21 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         store.compact_dataset(args.dataset, args.key, args.include_active)
     else:
         query = build_query(args)
-        explained = store.explain(query)
-        rows = explained.result.collect()
+        if args.verbose:
+            profile = store.profile(query)
+            rows, columns = profile.rows, query.all_dimensions() + [m.name for m in query.all_metrics()]
+        else:
+            result = store.query(query)
+            rows, columns = result.collect(), result.columns
         if args.output == "json":
             print("\n".join(json.dumps(to_json(r), ensure_ascii=False) for r in rows))
         elif args.output == "table":
-            print(render(rows, explained.result.columns))
+            print(render(rows, columns))
+        if args.verbose:
+            scanned = profile.partitions - profile.pruned - profile.unmatched
+            print(f"{scanned} of {profile.partitions} partitions, {profile.rows_in_range} rows in range, {profile.rows_matched} matched", file=sys.stderr)
         if args.verbose or args.output == "none":
-            print(f"{len(rows)} rows, {len(explained.scanned)} of {explained.total} partitions, {time.time() - began:.2f} s at {datetime.now(UTC):%H:%M:%S}", file=sys.stderr)
+            print(f"{len(rows)} rows in {time.time() - began:.2f} s", file=sys.stderr)
     return 0
 
 

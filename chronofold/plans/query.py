@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chronofold.functions import timedims
@@ -118,14 +118,30 @@ def _tagged(column: Column, kind: Kind) -> Column:
     return F.when(column.isNotNull(), F.struct(F.lit(kind.value).alias("kind"), column.cast("string").alias("text")))
 
 
-def _projected(part: Part, query: Query, mixed: set[str], numbers: dict[str, Kind]) -> DataFrame:
+@dataclass
+class Watch:
+    """Row counts gathered while a query runs; read them after an action on its result."""
+
+    seen: list[Observation] = field(default_factory=list)
+
+    def on(self, rows: DataFrame) -> DataFrame:
+        self.seen.append(Observation())
+        return rows.observe(self.seen[-1], F.count(F.lit(1)).alias("rows"))
+
+    def counts(self) -> list[int]:
+        return [o.get["rows"] for o in self.seen]
+
+
+def _projected(part: Part, query: Query, mixed: set[str], numbers: dict[str, Kind], watch: tuple[Watch, Watch] | None) -> DataFrame:
     """Range, filter and projection of one part to dimensions d0.., numbers n0.. and distinct sources v0.. ."""
     start, end = query.bounds()
     kinds = {**part.kinds, TIMESTAMP: Kind.INT}
     when = named(TIMESTAMP)
     kept = part.rows.filter((when >= start) & (when < end))
+    kept = watch[0].on(kept) if watch else kept
     if query.filter is not None:
         kept = kept.filter(query.filter.to_column(kinds))
+    kept = watch[1].on(kept) if watch else kept
     out: list[Column] = []
     for i, d in enumerate(query.all_dimensions()):
         if d == timedims.DATE:
@@ -151,8 +167,12 @@ def _projected(part: Part, query: Query, mixed: set[str], numbers: dict[str, Kin
     return kept.select(*out)
 
 
-def plan(parts: Sequence[Part], query: Query) -> DataFrame:
-    """The result of a valid query over parts, of which there is at least one."""
+def plan(parts: Sequence[Part], query: Query, watch: tuple[Watch, Watch] | None = None) -> DataFrame:
+    """The result of a valid query over parts, of which there is at least one.
+
+    ``watch`` counts the rows in range and the rows that pass the filter; counting them keeps the
+    filter from being pushed to the scan.
+    """
     metrics, dims = query.all_metrics(), query.all_dimensions()
     sources = sorted({m.column for m in metrics if m.column})
     numbers: dict[str, Kind] = {}
@@ -163,7 +183,7 @@ def plan(parts: Sequence[Part], query: Query) -> DataFrame:
             numbers[c] = one
         elif any(k is not None for k in found):
             mixed.add(c)
-    rows = reduce(DataFrame.unionByName, [_projected(p, query, mixed, numbers) for p in parts])
+    rows = reduce(DataFrame.unionByName, [_projected(p, query, mixed, numbers, watch) for p in parts])
     place = {s: i for i, s in enumerate(sources)}
     made, results = aggregates(
         metrics, {s: F.col(f"n{i}") for s, i in place.items()}, {s: F.col(f"v{i}") for s, i in place.items()}, {s: numbers.get(s) for s in sources}, query.approximate

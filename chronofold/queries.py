@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold.operators import sketches
 from chronofold.operators.filters import And, Eq, Exists, Filter, Gt, Gte, In, Lt, Lte, NotExists, NotIn, Or
 from chronofold.operators.metrics import P50, P75, P90, P95, P99, P999, Avg, Count, CountDistinct, Max, Metric, Min, Sum
 from chronofold.plans.query import OrderBy, Query, run_query
@@ -190,6 +191,23 @@ FROM {EVENTS} WHERE (event_type IN ('view', 'click') OR amount IS NOT NULL) AND
 """
 
 
+def sketch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily sketches merged over all days: whether the estimates lie within the promised errors of the exact values."""
+    rows = events(spark, sf_dir).withColumn("day", F.floor(F.col("timestamp") / 86400))
+    daily = rows.groupBy("event_type", "day").agg(
+        sketches.distinct_sketch("user_id").alias("d"), sketches.quantile_sketch("value").alias("q"), F.count(F.lit(1)).alias("n")
+    )
+    merged = daily.groupBy("event_type").agg(sketches.merged_distinct("d").alias("d"), sketches.merged_quantiles("q").alias("q"), F.sum("n").alias("n"))
+    exact = rows.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.percentile("value", F.array(F.lit(0.4), F.lit(0.6))).alias("around"))
+    joined = merged.join(exact, "event_type")
+    users, median = sketches.distinct_estimate("d"), sketches.quantile_estimate("q", 0.5)
+    near = F.abs(users - F.col("users")) <= F.col("users") * 0.05
+    return joined.select("event_type", F.col("n").alias("count"), near.alias("users_near"), median.between(F.get("around", F.lit(0)), F.get("around", F.lit(1))).alias("median_near"))
+
+
+SKETCH_SQL = 'SELECT event_type, count(*) AS "count", true AS users_near, true AS median_near FROM events GROUP BY 1'
+
+
 def registered() -> dict[str, tuple[Run, str]]:
     """name -> (query, SQL)."""
     six = [("p50", P50), ("p75", P75), ("p90", P90), ("p95", P95), ("p99", P99), ("p999", P999)]
@@ -256,6 +274,7 @@ def registered() -> dict[str, tuple[Run, str]]:
         "compact_latest_by_key": (compact_latest_by_key, COMPACT_SQL),
         "kind_drift": (kind_drift, DRIFT_SQL),
         "text_forms": (text_forms, TEXT_SQL),
+        "sketch_rollup": (sketch_rollup, SKETCH_SQL),
     }
     found |= {f"metric_{name}": _metric(make("value"), _quantile(fractions[name])) for name, make in six}
     return found | {f"dim_{g}": _bucket(g) for g in ("minute", "hour", "day", "week", "month")}

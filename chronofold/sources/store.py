@@ -14,19 +14,20 @@ from __future__ import annotations
 import json
 import re
 import threading
+import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronofold.functions.kinds import SPARK_TYPES, Kind, named, schema_kinds, stored, stored_value
 from chronofold.operators.compaction import latest
-from chronofold.plans.query import TIMESTAMP, Part, Query, plan, seconds
+from chronofold.plans.query import TIMESTAMP, Part, Query, Watch, plan, seconds
 from chronofold.sources.files import Files
 from chronofold.sources.partitioning import Partitioner, partitioner
 
@@ -49,6 +50,19 @@ class Placed:
     partition: str
 
 
+@dataclass(frozen=True)
+class Profile:
+    """A query's rows with what it took to get them."""
+
+    rows: list[Row]
+    partitions: int
+    pruned: int
+    unmatched: int
+    rows_in_range: int
+    rows_matched: int
+    seconds: float
+
+
 @dataclass
 class Explained:
     """Which partitions a query scans, and its plan."""
@@ -225,6 +239,15 @@ class Store:
         scanned = [n for n in names if n not in pruned and n not in unmatched]
         return Explained(len(names), scanned, pruned, unmatched, plan(parts or [self._empty()], query))
 
+    def profile(self, query: Query) -> Profile:
+        """Runs a query and counts partitions and rows on the way."""
+        began = time.perf_counter()
+        query.validate()
+        names, pruned, unmatched, parts = self._parts(query)
+        reach, matched = Watch(), Watch()
+        rows = plan(parts or [self._empty()], query, (reach, matched)).collect()
+        return Profile(rows, len(names), len(pruned), len(unmatched), sum(reach.counts()), sum(matched.counts()), time.perf_counter() - began)
+
     # -- compaction -----------------------------------------------------------------------
 
     def compact_partition(self, dataset: str, partition: str, key: str) -> None:

@@ -163,3 +163,17 @@ def test_scan_is_pruned(spark, store):
 def test_any_dataframe(spark):
     rows = spark.createDataFrame([(JAN1, 1, ["x"]), (JAN1, 2, ["x"])], "timestamp long, v int, tags array<string>")
     assert [tuple(r) for r in run_query(rows, Query(**YEAR, dimensions=["tags"], metric=Sum("v"))).collect()] == [('["x"]', 3)]
+
+
+def test_sketches_merge(spark):
+    from chronofold.operators import sketches as k
+
+    rows = spark.range(6000).selectExpr("id % 3 AS part", "id AS v", "'x' AS s", "id AS timestamp")
+    parts = rows.groupBy("part").agg(k.distinct_sketch("v").alias("d"), k.quantile_sketch("v").alias("q"))
+    one = parts.agg(k.merged_distinct("d").alias("d"), k.merged_quantiles("q").alias("q")).select(k.distinct_estimate("d").alias("n"), k.quantile_estimate("q", 0.9).alias("p")).first()
+    assert one.n == pytest.approx(6000, rel=0.05) and one.p == pytest.approx(5400, rel=0.03)
+    small = rows.filter("v < 256").agg(k.distinct_sketch("v", 14).alias("d")).select(k.distinct_estimate("d").alias("n")).first().n
+    assert small == pytest.approx(256, rel=0.02)
+    with pytest.raises(ValueError):
+        k.distinct_sketch("v", 3)
+    assert k.count_in_range(rows, "s", "x", 10, 20) == 10 and k.count_in_range(rows, "s", "y", 10, 20) == 0

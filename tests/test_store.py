@@ -138,8 +138,15 @@ def test_command_line(spark, store, tmp_path, capsys):
     main(asked, spark)
     assert capsys.readouterr().out.splitlines() == ["k  count  avg(v)", "b  1      3", "a  2      1.50"]
     main(["compact", *base, "--key", "k", "--include-active"], spark)
-    main([*asked, "--output", "none"], spark)
-    assert "2 rows, 1 of 1 partitions" in capsys.readouterr().err
+    main([*asked, "--output", "none", "-v", "--where", "(gte v 3)"], spark)
+    err = capsys.readouterr().err
+    assert "1 of 1 partitions, 2 rows in range, 1 matched" in err and "1 rows in" in err
+
+
+def test_profile_over_partitions(store):
+    store.ingest_batch("", [RowInput(JAN1, {"a": 1}), RowInput(JAN1, {"a": 2}), RowInput(FEB1, {"a": "x"}), RowInput(FEB1 + 5_000_000, {"b": 1})])
+    got = store.profile(Query(**{**YEAR, "end": FEB1 + 10}, metric=Count(), filter=Eq("a", 2)))
+    assert (got.partitions, got.pruned, got.unmatched, got.rows_in_range, got.rows_matched, [tuple(r) for r in got.rows]) == (3, 1, 1, 2, 1, [(1,)])
 
 
 def test_result_rows(spark):
