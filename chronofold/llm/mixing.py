@@ -26,6 +26,7 @@ rows share their id's fate; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,8 +147,8 @@ def probabilities(rows: DataFrame) -> DataFrame:
             sums[values[m]] = sums.get(values[m], 0.0) + t
         wanted.append(targets(sums))
     p = rake(found, wanted)
-    schema = "source string, lang string, topic string, p double"
-    return F.broadcast(spark.createDataFrame([(*values, x) for (values, _), x in zip(found, p, strict=True)], schema))
+    names = {k: pa.array([values[m] for values, _ in found], pa.string()) for m, k in enumerate(MARGINS)}
+    return F.broadcast(spark.createDataFrame(pa.table(names | {"p": pa.array(p, pa.float64())})))
 
 
 def _draw(doc_id: Column, seed: int) -> Column:

@@ -15,8 +15,8 @@ encoding (piece scores alone, added up, would not give it).  As weights are 0 or
 depth-first search, longest arc first, finds it; states found to lead nowhere are marked, so
 the work is linear in the input.
 
-No piece holds a blank after another character or a line end, so a text falls apart there
-without changing its shortest path; the parts' paths are kept in a bounded table.
+A text falls apart, without changing its shortest path, wherever two characters meet that meet in
+no piece: no arc crosses there, and any pair weighs 0.  The parts' paths are kept in a bounded table.
 
 Decoding is the inverse: ids -> bytes, U+2581 -> blank, less the blank put before.
 
@@ -27,10 +27,11 @@ trips unless it holds U+2581 itself, which reads back as a blank.  Each input ro
 from __future__ import annotations
 
 import hashlib
-import re
 import sys
 import types
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,13 @@ from pyspark.sql import DataFrame, SparkSession
 from chronofold.llm.common import text_of
 
 BLANK = "▁"
-PARTS = re.compile("\n+|" + BLANK + "*[^" + BLANK + "\n]+|" + BLANK + "+")
 INFINITY = float("inf")
-MAX_PARTS = 800_000
-MAX_PAIRS = 1_000_000
+#: States past the ids: characters without a piece.
+LONE = 1 << 24
+STATES = 1 << 26
+#: Bounds of a worker's tables, some 40 and 30 MB.
+MAX_PARTS = 200_000
+MAX_PAIRS = 250_000
 #: Parts longer than this are not kept.
 MAX_KEPT_CHARS = 64
 
@@ -59,12 +63,25 @@ def load(path: str) -> dict:
     if len(octets) != 256:
         raise ValueError("the model has no byte fallback")
     plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-    broken = [names[i] for i in plain if BLANK in names[i].lstrip(BLANK) or "\n" in names[i]]
-    if broken:
-        raise ValueError("pieces with a blank or line end inside are not supported")
     return {"names": names, "ids": {names[i]: i for i in plain}, "order": {names[i]: -model.get_score(i) for i in plain}, "octets": octets, "key": hashlib.sha256(repr(names).encode()).hexdigest()}
 
 
+class Paths(dict):
+    """Part -> its path; works out what it lacks."""
+
+    def __init__(self, work) -> None:
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, part: str) -> bytes:
+        path = self.work(part)
+        if len(part) <= MAX_KEPT_CHARS:
+            if len(self) >= MAX_PARTS:
+                self.clear()
+            self[part] = path
+        return path
+
+
 class Transducer:
     """The compiled model with its bounded tables of paths and pair weights."""
 
@@ -73,14 +90,25 @@ class Transducer:
         self.byte_id = {b: i for i, b in model["octets"].items()}
         self.fallback = frozenset(model["octets"])
         self.bytes = [bytes([model["octets"][i]]) if i in model["octets"] else name.replace(BLANK, " ").encode() if name in self.ids else b"" for i, name in enumerate(model["names"])]
-        #: First two characters -> length of the longest piece that begins so.
-        self.reach: dict[str, int] = {}
+        #: Every beginning of a piece -> the piece's id, -1 where it is no piece itself.
+        self.prefixes: dict[str, int] = {}
         for piece in self.ids:
-            self.reach[piece[:2]] = max(len(piece), self.reach.get(piece[:2], 1))
+            for k in range(1, len(piece)):
+                self.prefixes.setdefault(piece[:k], -1)
+        self.prefixes |= self.ids
+        self.names = model["names"]
+        # Character -> class, classes that meet in some piece.
+        inside = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}
+        found = sorted({c for pair in inside for c in pair})
+        self.classes = np.zeros(0x110000, dtype=np.uint16)
+        self.classes[[ord(c) for c in found]] = np.arange(1, len(found) + 1)
+        self.meet = np.zeros((len(found) + 1, len(found) + 1), dtype=bool)
+        for x, y in inside:
+            self.meet[self.classes[ord(x)], self.classes[ord(y)]] = True
         #: At most one entry a piece.
         self.traces: dict[str, tuple[list, list] | None] = {}
-        self.paths: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.paths = Paths(self.path)
+        self.pairs: dict[int, bool] = {}
 
     def trace(self, piece: str) -> tuple[list, list] | None:
         """How merging builds a piece: (order, last part after) and (order, first part after) for each
@@ -105,13 +133,17 @@ class Transducer:
             self.traces[piece] = got
         return got
 
-    def free(self, left: str, right: str) -> bool:
-        """Whether a pair of neighbours weighs 0; with nothing on the left, whether a piece can stand alone."""
-        got = self.pairs.get((left, right))
+    def name(self, state: int) -> str:
+        return self.names[state] if state < LONE else chr(state - LONE)
+
+    def free(self, left: int, right: int) -> bool:
+        """Whether a pair of neighbours weighs 0; with nothing (-1) on the left, whether a piece can stand alone."""
+        key = left * STATES + right
+        got = self.pairs.get(key)
         if got is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            got = self.pairs[(left, right)] = self._free(left, right)
+            got = self.pairs[key] = self._free(self.name(left) if left >= 0 else "", self.name(right))
         return got
 
     def _free(self, left: str, right: str) -> bool:
@@ -134,57 +166,72 @@ class Transducer:
             else:
                 b, j = head[j][1], j + 1
 
-    def shortest(self, part: str) -> list[str]:
-        """The pieces on the only path of finite weight through one part."""
-        ids, free, reach, n = self.ids, self.free, self.reach, len(part)
-        out: list[str] = []
-        dead: set[tuple[int, str]] = set()
-        at, last, size = 0, "", min(reach.get(part[:2], 1), n)
+    def arcs(self, part: str, at: int, most: int) -> list[tuple[int, int]]:
+        """(end, state) of the pieces from ``at`` that end before ``most``, the shortest first; a lone character is always one."""
+        prefixes, n = self.prefixes, len(part)
+        end = at + 1
+        state = prefixes.get(part[at], -1)
+        out = [(end, state if state >= 0 else LONE + ord(part[at]))]
+        while end < n and end + 1 < most:
+            end += 1
+            state = prefixes.get(part[at:end])
+            if state is None:
+                break
+            if state >= 0:
+                out.append((end, state))
+        return out
+
+    def shortest(self, part: str) -> list[int]:
+        """The states on the only path of finite weight through one part: piece ids, and LONE + code point for characters without a piece."""
+        free, arcs, n = self.free, self.arcs, len(part)
+        out: list[tuple[int, int]] = []
+        dead: set[tuple[int, int]] = set()
+        at, last, most = 0, -1, n + 1
         while at < n:
-            while size:
-                piece = part[at : at + size]
-                if (piece in ids or size == 1) and (not dead or (at + size, piece) not in dead) and free(last, piece):
+            for arc in reversed(arcs(part, at, most)) if most > at + 1 else ():
+                if (not dead or arc not in dead) and free(last, arc[1]):
                     break
-                size -= 1
-            if size:
-                out.append(piece)
-                at, last = at + size, piece
-                size = min(reach.get(part[at : at + 2], 1), n - at)
-            else:
-                piece = out.pop()
-                dead.add((at, piece))
-                at, last, size = at - len(piece), out[-1] if out else "", len(piece) - 1
-        return out
+            else:  # nothing leads on: step back and take a shorter arc
+                arc = out.pop()
+                dead.add(arc)
+                most = arc[0]
+                at, last = out[-1] if out else (0, -1)
+                continue
+            out.append(arc)
+            at, last = arc
+            most = n + 1
+        return [state for _, state in out]
 
     def path(self, part: str) -> bytes:
-        out: list[int] = []
-        for piece in self.shortest(part):
-            i = self.ids.get(piece)
-            out += [i] if i is not None else [self.byte_id[b] for b in piece.encode()]
-        return np.array(out, dtype="<i4").tobytes()
+        out = array("i")
+        for state in self.shortest(part):
+            if state < LONE:
+                out.append(state)
+            else:
+                out.extend(self.byte_id[b] for b in chr(state - LONE).encode())
+        return out.tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 4-byte integers."""
         if not text:
             return b""
-        out, paths = [], self.paths
-        for part in PARTS.findall(BLANK + text.replace(" ", BLANK)):
-            got = paths.get(part)
-            if got is None:
-                got = self.path(part)
-                if len(part) <= MAX_KEPT_CHARS:
-                    if len(paths) >= MAX_PARTS:
-                        paths.clear()
-                    paths[part] = got
-            out.append(got)
-        return b"".join(out)
+        line = BLANK + text.replace(" ", BLANK)
+        c = self.classes[np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        ends = (np.flatnonzero(~self.meet[c[:-1], c[1:]]) + 1).tolist()
+        ends.append(len(line))
+        parts = map(line.__getitem__, map(slice, chain((0,), ends), ends))
+        return b"".join(map(self.paths.__getitem__, parts))
+
+    def rest(self) -> None:
+        """Between tasks a worker keeps no paths: other stages need the memory."""
+        self.paths.clear()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 def transducer(model: Broadcast) -> Transducer:
-    """One per Python worker and model: the tables serve all tasks the worker runs."""
+    """One per Python worker and model: the compiled model and its pair weights serve all tasks the worker runs."""
     kept = sys.modules.setdefault("_chronofold_kept", types.ModuleType("_chronofold_kept"))
     found = getattr(kept, "transducers", None)
     if found is None or model.value["key"] not in found:
@@ -207,6 +254,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), dtype="<i4")))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": ids, "n_tokens": pa.array(np.diff(ends).astype(np.int64))})
+        t.rest()
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens bigint")
@@ -244,6 +292,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
             yield pa.record_batch(
                 {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "n_byte_tokens": pa.array(octets, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "round_trip": pa.array(same, pa.bool_())}
             )
+        t.rest()
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_byte_tokens bigint, ids_sha256 string, round_trip boolean")
