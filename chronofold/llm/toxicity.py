@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import remainder, text_of
+from chronofold.llm.common import cut, remainder, text_of
 
 MAX_TRAIN_DOCS = 20_000
 MIN_SHARE = 0.01
@@ -145,10 +145,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled training rows with their text: ids are chosen on the narrow table, at most MAX_TRAIN_DOCS, so they fit a broadcast."""
+    """Labelled training rows with their text, read from the documents once.
+
+    Ids are chosen on the narrow table, at most MAX_TRAIN_DOCS, so they fit a broadcast.
+    """
     known = labels.filter(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & (remainder(labels["doc_id"], 3) != 1))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN_DOCS)
-    return docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return cut(docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id"))
 
 
 def _tally(candidates: frozenset[str] | None):
