@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import checkpoint_dir
+from chronofold.llm.common import checkpoint_dir, cut
 
 MIN_REVISIT = 100
 VERSION = "WARC/1.1"
@@ -157,7 +157,7 @@ def records(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     key = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), key.alias("_id"), "url", html.alias("html"), F.sha2(html, 256).alias("_sha"), F.octet_length(html).cast("bigint").alias("_len"))
-    large = rows.filter(F.col("_len") >= MIN_REVISIT).select("page_id", "_id", "_sha", "_len")
+    large = cut(rows.filter(F.col("_len") >= MIN_REVISIT).select("page_id", "_id", "_sha", "_len"))
     first = large.groupBy("_sha", "_len").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     # Decisions are made on narrow rows; the payloads move once, keyed by page.
     decided = large.groupBy("page_id", "_id", "_sha", "_len").agg(F.count(F.lit(1)).alias("_same")).join(first, ["_sha", "_len"]).select("_id", "_sha", "_first")
