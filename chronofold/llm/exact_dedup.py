@@ -51,13 +51,14 @@ def groups(docs: DataFrame) -> DataFrame:
     # Repeated rows fold into one with a count; the id in the key keeps hot texts spread.
     once = _recipes(docs).groupBy("doc_id", "text_sha256", "recipe").agg(F.count(F.lit(1)).alias("reps"))
     once = cut(once.withColumn("rkey", F.xxhash64("recipe")))
-    shared = once.groupBy("rkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rkey")
+    # Cut, so that a join with it is dealt out by itself and Spark can split a hot recipe.
+    shared = cut(once.groupBy("rkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rkey"))
     candidates = cut(once.join(shared, "rkey", "left_semi"))
     unique = once.join(shared, "rkey", "left_anti").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.col("reps").alias("group_size"), "text_sha256", "reps"
     )
-    lists = _identified(docs, candidates)
-    keep = lists.groupBy("ids").agg(F.max("doc_id").alias("keep_id"), F.sum("reps").alias("group_size"))
+    lists = cut(_identified(docs, candidates))
+    keep = cut(lists.groupBy("ids").agg(F.max("doc_id").alias("keep_id"), F.sum("reps").alias("group_size")))
     grouped = lists.join(keep, "ids").select("doc_id", "keep_id", "group_size", "text_sha256", "reps")
     rows = unique.unionByName(grouped).withColumn("_rep", F.explode(F.sequence(F.lit(1).cast("bigint"), "reps")))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_rep") == 1)
@@ -72,8 +73,10 @@ def _identified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     distinct = pieces.groupBy("chunk").agg(F.count(F.lit(1)).alias("uses"))
     distinct = distinct.select(F.length("chunk").alias("len"), F.xxhash64("chunk").alias("h"))
     # Chunks that share length and hash without sharing bytes; their list is empty unless a hash collides.
-    clashes = distinct.groupBy("len", "h").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("len", "h")
+    clashes = cut(distinct.groupBy("len", "h").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("len", "h"))
     recipe = candidates.select("doc_id", "text_sha256", "reps", "recipe")
+    if clashes.isEmpty():
+        return recipe.select("doc_id", "text_sha256", "reps", F.struct(F.col("recipe"), F.lit("").alias("tag")).alias("ids"))
     clashing = (
         recipe.select("text_sha256", F.explode("recipe").alias("c"))
         .select("text_sha256", "c.len", "c.h")
