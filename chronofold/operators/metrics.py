@@ -98,13 +98,13 @@ def Percentile(column: str, op: str, quantile: float) -> Metric:
     return Metric(op, column, quantile)
 
 
-def aggregates(metrics: Sequence[Metric], sources: dict[str, Column], values: dict[str, Column], kinds: dict[str, Kind], approximate: bool) -> tuple[list[Column], list[Column]]:
-    """The aggregate columns to compute, and the result columns that read them.
+def aggregates(metrics: Sequence[Metric], sources: dict[str, Column], values: dict[str, Column], kinds: dict[str, Kind], approximate: bool) -> tuple[dict[str, Column], list[Column]]:
+    """The aggregate columns to compute by name (``__m`` and the metric's number, if not shared), and the result columns that read them.
 
     ``sources`` holds each column as a number, ``values`` as what distinct counts compare.
     Percentiles of one column share one aggregate, as one array of quantiles.
     """
-    made: list[Column] = []
+    made: dict[str, Column] = {}
     results: list[Column] = []
     quantiles: dict[str, list[float]] = {}
     for m in metrics:
@@ -116,7 +116,7 @@ def aggregates(metrics: Sequence[Metric], sources: dict[str, Column], values: di
     for c, fractions in quantiles.items():
         source, asked = sources[c].cast("double"), F.array(*map(F.lit, fractions))
         found = F.percentile_approx(source, fractions, 10_000) if approximate else F.percentile(source, asked)
-        made.append(found.alias(slots[c]))
+        made[slots[c]] = found.alias(slots[c])
     for i, m in enumerate(metrics):
         slot = f"__m{i}"
         zero = F.lit(0).cast("bigint") if kinds.get(m.column) is Kind.INT else F.lit(0.0)
@@ -131,6 +131,6 @@ def aggregates(metrics: Sequence[Metric], sources: dict[str, Column], values: di
             found = F.coalesce(F.avg(sources[m.column].cast("double")), F.lit(0.0))
         else:
             found = F.coalesce({"sum": F.sum, "max": F.max, "min": F.min}[m.op](sources[m.column]), zero)
-        made.append(found.alias(slot))
+        made[slot] = found.alias(slot)
         results.append(F.col(slot).alias(m.name))
     return made, results

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chronofold.functions import timedims
 from chronofold.functions.kinds import SPARK_TYPES, Kind, named, numeric, schema_kinds, stored
 from chronofold.operators.filters import Filter
-from chronofold.operators.metrics import Metric, aggregates
+from chronofold.operators.metrics import QUANTILES, Metric, aggregates
 
 TIMESTAMP = "timestamp"
 
@@ -189,9 +189,17 @@ def plan(parts: Sequence[Part], query: Query, watch: tuple[Watch, Watch] | None
         metrics, {s: F.col(f"n{i}") for s, i in place.items()}, {s: F.col(f"v{i}") for s, i in place.items()}, {s: numbers.get(s) for s in sources}, query.approximate
     )
     if dims:
-        grouped = rows.groupBy(*[f"d{i}" for i in range(len(dims))]).agg(*made)
+        keys = [f"d{i}" for i in range(len(dims))]
+        # Beside a distinct count Spark would build every percentile anew for each distinct value.
+        apart = [m for m in metrics if m.op == "count_distinct"] if not query.approximate and any(m.op in QUANTILES for m in metrics) else []
+        slots = {f"__m{i}" for i, m in enumerate(metrics) if m in apart}
+        grouped = rows.groupBy(*keys).agg(*[c for name, c in made.items() if name not in slots])
+        if slots:
+            counts = rows.groupBy(*keys).agg(*[c for name, c in made.items() if name in slots]).select(*[F.col(k).alias(f"_{k}") for k in keys], *sorted(slots))
+            same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+            grouped = grouped.join(counts, same)
     else:  # no row in, no row out
-        grouped = rows.agg(*made, F.count(F.lit(1)).alias("__rows")).filter("__rows > 0")
+        grouped = rows.agg(*made.values(), F.count(F.lit(1)).alias("__rows")).filter("__rows > 0")
     shown = [(F.col(f"d{i}.text") if d in mixed else F.col(f"d{i}")).alias(d) for i, d in enumerate(dims)]
     result = grouped.select(*shown, *results)
     order = []
