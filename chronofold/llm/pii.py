@@ -8,7 +8,7 @@ email  local@label(.label)+                       -                    0.9
 ip     four dotted numbers                        each at most 255     0.7
 card   12+ digits, single blanks or hyphens       12-19 digits, Luhn   0.8
 phone  + digit ... digit                          9-15 digits          0.7
-iban   country, check digits, 11-30 characters    mod 97 = 1           0.8
+iban   country, check digits, 11-30 characters    length, mod 97 = 1   0.8
 ssn    ddd-dd-dddd                                area/group/serial    0.3, so it needs a context word
 
 The first four are the base kinds; they always stay, whatever the context says (their
@@ -17,7 +17,9 @@ the span adds ``BONUS``.
 
 The patterns are written with possessive quantifiers and a look-behind or ``\\G`` that only
 lets a match begin where the leftmost match can begin.  That changes no match; it keeps
-the time linear on very long runs and needs no stack.
+the time linear on very long runs and needs no stack.  The proposal for an IBAN takes in what
+follows it (blanks join words); the IBAN is the beginning of it that has the country's length,
+or for a country not listed any length from 15 to 34, ends where a word does and passes.
 
 Special cases: null text counts as empty and has no spans (the digest is that of the empty
 string); each input row gives one output row, repeated ids too; extra columns are ignored.
@@ -41,11 +43,20 @@ KINDS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.7, "ip|host|server|address"),
     "card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,}+", None, 0.8, "card|visa|credit|payment"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, "phone|call|tel|mobile"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None, 0.8, "iban|account|bank|konto"),
+    "iban": (r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z]{2}[0-9]{2}", None, 0.8, "iban|account|bank|konto"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, "ssn|social security|tax id"),
 }
 BASE = ("email", "ip", "card", "phone")
 
+#: Characters of an IBAN by country; codes not listed may have any length of ``IBAN_LENGTHS``.
+IBAN_COUNTRIES = """
+AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18
+FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21
+LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24
+SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30
+""".split()
+IBAN_LENGTHS = (15, 34)
+
 
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
@@ -74,6 +85,16 @@ def _mod97(m: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), add) == 1
 
 
+def _iban(run: Column) -> Column:
+    """The longest beginning of the run that ends where a word does and is an IBAN, or null."""
+    known = F.create_map(*[F.lit(x) for c in IBAN_COUNTRIES for x in (c[:2], int(c[2:]))])
+    least, most = (F.lit(n) for n in IBAN_LENGTHS)
+    length = F.try_element_at(known, F.substring(run, 1, 2))
+    head = lambda n: F.regexp_substr(run, F.concat(F.lit(r"^(?:\x20?[A-Z0-9]){"), n.cast("string"), F.lit(r"}(?![A-Za-z0-9])")))
+    heads = F.transform(F.when(length.isNotNull(), F.array(length)).otherwise(F.sequence(least, most)), head)
+    return F.try_element_at(F.filter(heads, lambda h: h.isNotNull() & _mod97(h)), F.lit(-1))
+
+
 def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
         part = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -82,8 +103,6 @@ def _valid(kind: str, m: Column) -> Column:
         return _luhn(m)
     if kind == "phone":
         return F.length(_digits(m)).between(9, 15)
-    if kind == "iban":
-        return _mod97(m)
     if kind == "ssn":
         return ~m.rlike("^(000|666|9..)|-00-|-0000$")
     return F.lit(True)
@@ -96,21 +115,33 @@ def _spans(t: Column, kind: str) -> Column:
 
     def ends(m: Column) -> Column:
         """What lies between the matches gives their places: end k sums gaps and matches up to k."""
-        both = F.zip_with(F.slice(F.split(t, pattern, -1), F.lit(1), F.size(m)), m, lambda g, x: F.length(g) + F.length(x))
+        both = F.zip_with(F.slice(F.split(t, pattern, -1), F.lit(1), F.size(m)), m, lambda g, x: F.length(g) + taken(x))
         grow = lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n))
         return F.when(F.size(m) > 0, F.aggregate(both, F.array().cast("array<int>"), grow))
 
+    def taken(x: Column) -> Column:
+        """What a match uses up; that of an IBAN is its first four characters, so that runs may overlap."""
+        return F.lit(4) if kind == "iban" else F.length(x)
+
     def scored(x: Column, end: Column) -> Column:
-        start = end - F.length(x)
+        if kind == "iban":
+            return let(_iban(x), lambda y: placed(F.coalesce(y, F.lit("")), end - taken(x), y.isNotNull()))
+        return placed(x, end - taken(x), _valid(kind, x))
+
+    def placed(x: Column, start: Column, valid: Column) -> Column:
         before = F.substring(t, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
         near = before.rlike(rf"(?i)\b(?:{words})")
         score = F.least(F.lit(1.0), F.lit(base) + F.when(near, F.lit(BONUS)).otherwise(F.lit(0.0)))
-        return F.struct(start.alias("s"), end.alias("e"), F.when(_valid(kind, x), score).otherwise(F.lit(0.0)).alias("score"))
+        return F.struct(start.alias("s"), (start + F.length(x)).alias("e"), F.when(valid, score).otherwise(F.lit(0.0)).alias("score"))
 
-    matches = F.when(may, F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+    matches = F.when(may, F.regexp_extract_all(t, F.lit(pattern), F.lit(1 if kind == "iban" else 0)))
     spans = let(matches, lambda m: let(ends(m), lambda e: F.transform(m, lambda x, i: scored(x, F.get(e, i)))))
     found = F.filter(spans, lambda x: x["score"] >= THRESHOLD)
-    return F.coalesce(found, F.array().cast("array<struct<s:int,e:int,score:double>>"))
+    none = F.array().cast("array<struct<s:int,e:int,score:double>>")
+    if kind == "iban":  # of overlapping ones the first stays
+        clear = lambda a, x: F.coalesce(F.try_element_at(a, F.lit(-1))["e"], F.lit(0)) <= x["s"]
+        found = F.aggregate(found, none, lambda a, x: F.when(clear(a, x), F.concat(a, F.array(x))).otherwise(a))
+    return F.coalesce(found, none)
 
 
 def find(docs: DataFrame) -> DataFrame:

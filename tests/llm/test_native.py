@@ -131,3 +131,17 @@ def test_personal_data(odd):
     extra = next(r for r in out if r.doc_id == 16)
     assert extra.spans == "iban:0:27,ssn:35:46" and extra.top_score == pytest.approx(0.8)
     assert pii.digest(odd.filter("false")).count() == 0
+
+
+def test_iban_ends_where_its_country_says(spark):
+    """What follows an IBAN, or comes before it, does not hide it."""
+    one, wide = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    rows = [
+        f"IBAN {one} Please pay", f"{wide} BIC COBADEFF", f"{one} 12 34", f"BE12 {wide} X", f"{one} {one}", f"{one}X {one}x", "DE88370400440532013000 Pay",
+        "NO9386011117947 Ok", "MT84MALT011000012345MTLCAST001S AND MORE", f"{one}. {wide}\nGB82WEST12345698765432 5", "ZZ22370400440532013000 A", "AB12 " * 3000,
+    ]
+    want = [[(5, 27)], [(0, 27)], [(0, 22)], [(5, 32)], [(0, 22), (23, 45)], [], [], [(0, 15)], [(0, 31)], [(0, 22), (24, 51), (52, 74)], [(0, 22)], []]
+    out = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")).collect()}
+    for i, spans in enumerate(want):
+        got = [x for x in out[i].split(",") if x.startswith("iban")]
+        assert got == [f"iban:{s}:{e}" for s, e in spans], rows[i][:60]
