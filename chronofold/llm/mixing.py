@@ -25,12 +25,16 @@ rows share their id's fate; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import WORD, cut, fenced, text_of, unpacked, whole
+from chronofold.llm.common import WORD, checkpoint_dir, cut, fenced, text_of, unpacked, whole
+from chronofold.sources.files import Files
 
 MARGINS = ("source", "lang", "topic")
 TEMPERATURE = 0.7
@@ -118,18 +122,97 @@ def rake(cells: list[tuple[tuple[str, ...], float]], wanted: list[dict[str, floa
     return p.tolist()
 
 
-def _rake_far(cells: DataFrame, steps: int = 20) -> DataFrame:
-    """The same margins met on a distributed table, by plain proportional steps capped at 1."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    table = cells.withColumn("p", F.lit(KEEP))
-    for _ in range(steps):
+def _far_goals(sums: DataFrame, total: float) -> DataFrame:
+    """``targets`` on a distributed table: the sums of a margin (``have``) with their ``goal``."""
+    have = F.col("have")
+    share = F.when(have > 0, F.pow(have / F.lit(total or 1.0), F.lit(TEMPERATURE))).otherwise(0.0)
+    if KEEP * total >= total * (1 - 1e-12):
+        return sums.withColumn("goal", have)
+    f = 0.0
+    while True:
+        full = F.lit(f) * share >= have
+        x = sums.filter(have > 0).agg(F.sum(F.when(full, have)).alias("capped"), F.sum(F.when(~full, share)).alias("free")).first()
+        after = (KEEP * total - (x["capped"] or 0.0)) / x["free"] if x["free"] else f
+        if after <= f * (1 + 1e-12):
+            return sums.withColumn("goal", F.least(have, F.lit(f) * share))
+        f = after
+
+
+def _far_factors(cells: DataFrame, tables: dict[str, DataFrame], m: str, start: bool) -> DataFrame:
+    """One Newton step for all factors of margin m, and whether each is now exact.
+
+    Kept tokens are concave in a factor and bend where a cell reaches its cap, so a step from anywhere ends
+    at or below the factor sought, further ones rise to it, and it is met once no cell changes sides.
+    """
+    for k in MARGINS:
+        cells = cells.join(tables[k].select(k, *([f"f_{k}", f"goal_{k}"] if k == m else [f"f_{k}"])), k)
+    rest = F.lit(1.0)
+    for k in MARGINS:
+        rest = rest * F.col(f"f_{k}") if k != m else rest
+    t, r, f = F.col("tokens").cast("double"), F.col("_r"), F.col(f"f_{m}")
+    some, full = (t > 0) & (r > 0), f * r >= 1
+    sums = cells.withColumn("_r", rest).groupBy(m).agg(
+        F.sum(F.when(some, t)).alias("_has"), F.sum(F.when(some, t * r)).alias("_all"), F.min(r).alias("_least"),
+        F.sum(F.when(some & full, t)).alias("_capped"), F.sum(F.when(some & ~full, t * r)).alias("_free"),
+        F.min(F.when(some & full, r)).alias("_low"), F.max(F.when(some & ~full, r)).alias("_high"),
+    )
+    goal, zero = F.col(f"goal_{m}"), F.lit(0.0)
+    everything = goal >= F.coalesce("_has", zero) * (1 - 1e-12)
+    newton = F.greatest((goal - F.coalesce("_capped", zero)) / F.col("_free"), goal / F.col("_all"))
+    after = F.when(everything, 1 / F.greatest(F.least("_least", F.lit(1.0)), F.lit(1e-12))).otherwise(newton)
+    sure = (F.coalesce(F.col("_after") * F.col("_low"), F.lit(1.0)) >= 1 - 1e-12) & (F.coalesce(F.col("_after") * F.col("_high"), F.lit(1.0)) <= 1 + 1e-12)
+    before = F.col(f"f_{m}" if start else f"old_{m}")
+    found = tables[m].join(sums, m).withColumn("_after", after).withColumn("sure", everything | sure)
+    return found.select(m, f"goal_{m}", F.col("_after").alias(f"f_{m}"), before.alias(f"old_{m}"), "sure")
+
+
+def _rake_far(cells: DataFrame, steps: int | None = None) -> DataFrame:
+    """``rake`` to ``targets`` on a distributed table: the same targets, steps and stop.
+
+    The factors of a margin are a table of their own, in files that go when the next ones are written.
+    """
+    spark = cells.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/rake-{uuid.uuid4().hex}"
+    files, number, paths = Files(spark, folder), count(), {}
+
+    def put(m: str, table: DataFrame) -> DataFrame:
+        path, before = f"{folder}/{next(number)}", paths.get(m)
+        table.write.parquet(path)
+        if before:
+            files.delete(before)
+        paths[m] = path
+        return spark.read.schema(table.schema).parquet(path)
+
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    tables = {}
+    for m in MARGINS:
+        sums = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("have"))
+        one = F.lit(1.0)
+        tables[m] = put(m, _far_goals(sums, total).select(m, F.col("goal").alias(f"goal_{m}"), one.alias(f"f_{m}"), one.alias(f"old_{m}"), F.lit(True).alias("sure")))
+
+    def p(kind: str) -> Column:
+        out = F.lit(1.0)
+        for m in MARGINS:
+            out = out * F.col(f"{kind}_{m}")
+        return F.least(F.lit(1.0), out)
+
+    def joined() -> DataFrame:
+        out = cells
         for m in MARGINS:
-            sums = table.groupBy(m).agg(F.sum("tokens").alias("_all"), F.sum(F.col("tokens") * F.col("p")).alias("_kept"))
-            raised = sums.withColumn("_r", F.pow(F.col("_all") / F.lit(max(total, 1)), F.lit(TEMPERATURE)))
-            whole = raised.agg(F.sum("_r")).first()[0] or 1.0
-            f = raised.select(m, (F.lit(KEEP * total / whole) * F.col("_r") / F.greatest("_kept", F.lit(1e-9))).alias("_f"))
-            table = cut(table.join(f, m).withColumn("p", F.least(F.lit(1.0), F.col("p") * F.col("_f"))).drop("_f"))
-    return table.select(*MARGINS, "p")
+            out = out.join(tables[m].select(m, f"f_{m}", f"old_{m}"), m)
+        return out
+
+    for step in range(MAX_STEPS if steps is None else steps):
+        for m in MARGINS:
+            start = True
+            while start or not tables[m].filter("not sure").isEmpty():
+                tables[m] = put(m, _far_factors(cells, tables, m, start))
+                start = False
+        if step and (joined().agg(F.sum(F.abs(p("f") - p("old")) * F.col("tokens"))).first()[0] or 0.0) <= TOLERANCE * (total or 1.0):
+            break
+    out = cut(joined().select(*MARGINS, p("f").alias("p")))
+    files.delete(folder)
+    return out
 
 
 def probabilities(rows: DataFrame) -> DataFrame:

@@ -176,6 +176,19 @@ def test_mixing_rows(spark):
     assert all(0 <= p <= 1 for p in far.values()) and len(far) == len({(r.source, r.lang, r.topic) for r in out})
 
 
+def test_both_ways_of_raking_agree(spark, monkeypatch):
+    """Caps that bind and sources too small for their share; the distributed table gives the driver's probabilities."""
+    rng = random.Random(6)
+    rows = [(f"s{i}", l, t, int(20_000 / (i + 1) ** 1.1 * rng.choice([1, 1, 2]))) for i in range(60) for l in ("x", "y") for t in ("p", "q") if rng.random() < 0.8]
+    rows += [("zero", "x", "p", 0)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").repartition(2)
+    near = {tuple(r[:3]): r.p for r in mixing.probabilities(cells).collect()}
+    monkeypatch.setattr(mixing, "MAX_CELLS", 10)
+    far = {tuple(r[:3]): r.p for r in mixing.probabilities(cells).collect()}
+    assert far.keys() == near.keys() and sum(p == 1 for p in near.values()) > 5
+    assert all(far[k] == pytest.approx(near[k], rel=1e-6) for k in near)
+
+
 PAGES = [(5, "http://a/ü x\r\nX: y", "é" * 60), (3, "u", "é" * 60), (9, None, "é" * 60), (9, "again", "é" * 60), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (None, "u", "é" * 60), (6, "u", "WARC/1.1\r\nContent-Length: 3\r\n\r\n" + "x" * 100), (7, "u", "a\r\n\r\n" * 50_000)]
 
 
