@@ -113,14 +113,16 @@ class Rules:
             raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             return None
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
+        # Letters such as x begin zlib streams too: what does not inflate may still be text.
+        if self._packed(raw):
             d = zlib.decompressobj(47)
             try:
                 inner = d.decompress(raw, MAX_INFLATED)
                 text = inner.decode("utf-8") if not d.unconsumed_tail else None
             except (zlib.error, UnicodeDecodeError):
                 text = None
-            return (text, [(m.start(), m.end())] * len(text)) if text else None
+            if text:
+                return text, [(m.start(), m.end())] * len(text)
         if not self._readable(raw):
             return None
         text, places, k = raw.decode("utf-8"), [], 0
@@ -130,6 +132,11 @@ class Rules:
             k += n
         return text, places
 
+    @staticmethod
+    def _packed(raw: bytes) -> bool:
+        """Whether the bytes begin as a gzip member or with the two bytes of a zlib stream."""
+        return raw[:2] == b"\x1f\x8b" or (len(raw) > 1 and raw[0] & 0x8F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)
+
     @staticmethod
     def _readable(raw: bytes) -> bool:
         if any(b < 32 and b not in (9, 10, 13) for b in raw[:64]):

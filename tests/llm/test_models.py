@@ -93,6 +93,14 @@ def test_secrets_under_layers():
     assert rules.find(f"x {SECRET}")[0] == rules.find(f"x {SECRET}")[1] == [(2, 0, 23)]
 
 
+def test_secrets_in_text_that_begins_like_zlib():
+    rules = secrets.Rules()
+    for inner in ("x-auth-token: abcdef123456", "xoxb config password=abcdef123456", "x^ token=abcdef123456", "xml " + base64.b64encode(SECRET.encode()).decode()):
+        text = f"see {base64.b64encode(inner.encode()).decode()} end"
+        base, spans, _ = rules.find(text)
+        assert not base and [k for _, k, _ in spans] == [0], inner
+
+
 def test_secrets_end_and_stay_quiet():
     rules = secrets.Rules()
     loop = "%2525" * 2000 + " " + "%41" * 20_000
