@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronofold.llm import exact_dedup, language, mixing, near_dedup, pieces, pii, quality, secrets, toxicity, warc
 from chronofold.llm.common import documents
@@ -32,7 +33,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return found.filter("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # A gap in archives just written means that pages are missing.
+    whole = F.when(F.col("reason").isNull(), True).otherwise(F.raise_error(F.concat_ws(" ", F.col("archive"), F.col("offset"), F.col("reason"))))
+    return found.filter(whole).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

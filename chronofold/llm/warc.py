@@ -39,9 +39,8 @@ CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Archives end after this many records, so that one is read whole within bounded memory.
 RECORDS_PER_ARCHIVE = 1_000
-MAX_HEADER = 1 << 16
-#: What one gzip member may unwrap to.
-MAX_MEMBER = 1 << 30
+#: Payload bytes of an archive of more than one record.
+ARCHIVE_BYTES = 1 << 27
 
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
@@ -76,19 +75,19 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """The uncompressed record at ``at``: headers, payload, end.  ValueError says which check failed."""
     if not (line := _VERSION_LINE.match(data, at)):
         raise ValueError("no version line")
-    stop = data.find(b"\r\n\r\n", line.end() - 2, at + MAX_HEADER)
-    if stop < 0:
-        raise ValueError("headers without end")
-    headers = {}
-    for row in data[line.end() : stop].split(b"\r\n") if stop >= line.end() else []:
-        name, colon, value = row.partition(b":")
+    headers, at = {}, line.end()
+    while (stop := data.find(b"\r\n", at)) != at:
+        if stop < 0:
+            raise ValueError("headers without end")
+        name, colon, value = data[at:stop].partition(b":")
         if not colon or not name:
             raise ValueError("malformed header")
         headers[name.decode("latin-1").lower()] = value.decode("utf-8", "replace").strip()
+        at = stop + 2
     length = headers.get("content-length", "")
     if not length.isdigit():
         raise ValueError("no content length")
-    start, end = stop + 4, stop + 4 + int(length)
+    start, end = stop + 2, stop + 2 + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("record does not end where its length says")
     payload = data[start:end]
@@ -100,15 +99,12 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
     """What the gzip member at ``at`` holds, as far as it can be read, where it ends, and what failed."""
-    d, out, size = zlib.decompressobj(31), [], 0
+    d, out = zlib.decompressobj(31), []
     try:
         for k in range(at, len(data), 1 << 16):
             out.append(d.decompress(memoryview(data)[k : k + (1 << 16)]))
-            size += len(out[-1])
             if d.eof:
                 return b"".join(out), min(k + (1 << 16), len(data)) - len(d.unused_data), ""
-            if size > MAX_MEMBER:
-                return b"".join(out), len(data), "gzip member too large"
     except zlib.error as e:
         return b"".join(out), len(data), f"gzip: {e}"
     return b"".join(out), len(data), "gzip member without end"
@@ -153,7 +149,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """page_id, record_type, refers_to and the record's text, without its last line end, for every row."""
+    """page_id, record_type, refers_to, the payload's length and the record's text, without its last line end, for every row."""
     html = F.coalesce("html", F.lit(""))
     key = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), key.alias("_id"), "url", html.alias("html"), F.sha2(html, 256).alias("_sha"), F.octet_length(html).cast("bigint").alias("_len"))
@@ -162,7 +158,8 @@ def records(pages: DataFrame) -> DataFrame:
     # Decisions are made on narrow rows; the payloads move once, keyed by page.
     decided = large.groupBy("page_id", "_id", "_sha", "_len").agg(F.count(F.lit(1)).alias("_same")).join(first, ["_sha", "_len"]).select("_id", "_sha", "_first")
     joined = rows.join(decided, ["_id", "_sha"], "left")
-    copy = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.lit(0)))
+    # The length, which the digest settles, is named too, so that a filter on it gets below the window.
+    copy = F.row_number().over(Window.partitionBy("_id", "_sha", "_len").orderBy(F.lit(0)))
     revisit = F.col("_first").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("_first")) | (F.col("_copy") > 1))
     joined = joined.withColumn("_copy", copy).withColumn("_revisit", revisit)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
@@ -184,13 +181,23 @@ def records(pages: DataFrame) -> DataFrame:
         block,
         F.lit(CRLF),
     )
-    return joined.select("page_id", F.when(F.col("_revisit"), F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(F.col("_revisit"), F.col("_first")).alias("refers_to"), record.alias("record"))
+    return joined.select("page_id", F.when(F.col("_revisit"), F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(F.col("_revisit"), F.col("_first")).alias("refers_to"), F.col("_len").alias("payload_bytes"), record.alias("record"))
 
 
 def write(pages: DataFrame, folder: str, compression: str = "gzip") -> None:
-    """Archives of all rows below ``folder``; every part file is one archive."""
-    made = records(pages).select("record")
-    made.write.option("lineSep", CRLF).option("compression", compression).option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).mode("overwrite").text(folder)
+    """Archives of all rows below ``folder``; every part file is one archive.
+
+    Large pages go by their size into archives of fewer records, so that no archive of several
+    records has more than ``ARCHIVE_BYTES`` of payload.
+    """
+    made = records(pages)
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    low, high, mode = -1, ARCHIVE_BYTES // RECORDS_PER_ARCHIVE, "overwrite"
+    while low < largest:
+        fit = made if mode == "overwrite" and high >= largest else made.filter(F.col("payload_bytes").between(low + 1, high))
+        most = min(RECORDS_PER_ARCHIVE, max(1, ARCHIVE_BYTES // high))
+        fit.select("record").write.option("lineSep", CRLF).option("compression", compression).option("maxRecordsPerFile", most).mode(mode).text(folder)
+        low, high, mode = high, high * 4, "append"
 
 
 def _page(uri: str) -> int | None:

@@ -217,6 +217,31 @@ def test_archives_round_trip(spark, tmp_path, compression):
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_long_urls_and_large_pages_come_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_PER_ARCHIVE", 10)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 10_000, raising=False)
+    rows = [(i, "data:" + "u" * 100_000 if i == 3 else "u", f"{i} " * n) for i, n in enumerate([10] * 30 + [900] * 12 + [3_000] * 4 + [9_000])] + [(100, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    warc.write(pages, str(tmp_path / "w"))
+    found = warc.read(spark, str(tmp_path / "w")).collect()
+    assert not any(r.reason for r in found) and sorted((r.page_id, r.payload_bytes) for r in found) == [(i, len(h or "")) for i, _, h in rows]
+    sizes = defaultdict(list)
+    for r in found:
+        sizes[r.archive].append(r.payload_bytes)
+    assert all(len(x) == 1 or sum(x) <= 10_000 for x in sizes.values()) and len(sizes) < 30
+
+
+def test_query_fails_on_a_gap(spark, monkeypatch):
+    from chronofold.llm import queries
+
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    good = warc.round_trip(pages)
+    gap = good.selectExpr(*[f"cast(null as {t}) {c}" if c in ("record_type", "page_id") else f"'broken' {c}" if c == "reason" else c for c, t in good.dtypes])
+    monkeypatch.setattr(warc, "round_trip", lambda _: good.unionByName(gap))
+    with pytest.raises(Exception, match="broken"):
+        queries.op5_warc(spark, SF).collect()
+
+
 @pytest.mark.parametrize("compressed", [False, True])
 def test_salvage_recovers_what_is_whole(compressed):
     rng = random.Random(7)
