@@ -2,7 +2,8 @@
 
 A text is the first layer.  Each layer is scanned with the rules; then every encoded run
 in it (percent escapes, backslash-u escapes, base64, and zlib or gzip under base64) is
-unwrapped into a further layer, which goes on the worklist.  A layer already seen, told by
+unwrapped into a further layer, which goes on the worklist.  Base64 is decoded from each of four
+neighbouring places, since what stands right before a payload shifts it, and over line ends.  A layer already seen, told by
 its content, is not entered again, so a cycle ends; the worklist ends when nothing new comes
 out.  Every layer carries, for each of its characters, the range of the original text it
 came from, so a finding in any layer becomes a span of the original text.
@@ -17,12 +18,11 @@ columns are ignored.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +41,12 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 OCTETS = r"(?:%[0-9A-Fa-f]{2})+"
 ESCAPE = r"\\u([0-9A-Fa-f]{4})"
 BASE64 = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+#: Lines of such a run, the last of any length.
+WRAPPED = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]{16,}+)*+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)?+={0,2}"
+#: How a gzip member or a zlib stream begins.
+PACKED = b"|".join([rb"\x1f\x8b\x08", *(re.escape(bytes([a, b])) for a in range(8, 128, 16) for b in range(256) if (a << 8 | b) % 31 == 0)])
+#: The least a finding takes: token=abcdef.
+SHORTEST = 12
 
 Span = tuple[int, int, int]
 
@@ -51,6 +57,8 @@ class Rules:
     def __init__(self) -> None:
         self.assign, self.access, self.hex = re.compile(ASSIGN), re.compile(ACCESS), re.compile(HEX)
         self.octets, self.escape, self.base64 = re.compile(OCTETS), re.compile(ESCAPE), re.compile(BASE64)
+        self.wrapped, self.packed = re.compile(WRAPPED), re.compile(PACKED, re.DOTALL)
+        self.printable = re.compile(rb"[\t\n\r\x20-\x7e]{%d,}" % SHORTEST)
         self.blank = re.compile(r"[\x20\n]|$(?!\n)")
 
     def scan(self, text: str) -> list[Span]:
@@ -71,8 +79,11 @@ class Rules:
         if "\\u" in text:
             yield from self._regions(text, self.escape, self._unicode)
         for m in self.base64.finditer(text):
-            if (got := self._base64(m)) is not None:
-                yield got
+            yield from self._base64(m[0].replace("-", "+").replace("_", "/"), range(m.start(), m.end()))
+        for m in self.wrapped.finditer(text) if "\n" in text else ():
+            if "\n" in m[0]:
+                at = [m.start() + i for i, c in enumerate(m[0]) if c not in "\r\n\t "]
+                yield from self._base64("".join(m[0].split()).replace("-", "+").replace("_", "/"), at)
 
     def _regions(self, text: str, escape: re.Pattern, decode) -> Iterator[tuple[str, list[tuple[int, int]]]]:
         """Every stretch between blanks that holds an escape, decoded; a secret may be escaped in part only."""
@@ -105,37 +116,50 @@ class Rules:
         out.append(chr(c) if not 0xD800 <= c < 0xE000 else "\ufffd")
         places.append((e.start(), e.end()))
 
-    def _base64(self, m: re.Match) -> tuple[str, list[tuple[int, int]]] | None:
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            return None
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            return None
-        # Letters such as x begin zlib streams too: what does not inflate may still be text.
-        if self._packed(raw):
-            d = zlib.decompressobj(47)
-            try:
-                inner = d.decompress(raw, MAX_INFLATED)
-                text = inner.decode("utf-8") if not d.unconsumed_tail else None
-            except (zlib.error, UnicodeDecodeError):
-                text = None
-            if text:
-                return text, [(m.start(), m.end())] * len(text)
-        if not self._readable(raw):
-            return None
-        text, places, k = raw.decode("utf-8"), [], 0
-        for c in text:
+    def _base64(self, chars: str, at: Sequence[int]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+        """What a run holds, decoded from each of its first four characters: a payload may begin anywhere in it.
+
+        ``at`` has the place in the layer of each character.  Bytes that are not readable throughout
+        give their printable ASCII stretches; no finding or encoded run has other characters in it,
+        and none is shorter than ``SHORTEST``.
+        """
+        for phase in range(4):
+            run = chars[phase:].rstrip("=")
+            raw = binascii.a2b_base64(run[: len(run) - (len(run) % 4 == 1)] + "=" * (-len(run) % 4))
+            places = at[phase:]
+            done = 0
+            for m in self.packed.finditer(raw):
+                k = m.start()
+                if k < done:
+                    continue
+                d = zlib.decompressobj(47)
+                try:
+                    inner = d.decompress(memoryview(raw)[k:], MAX_INFLATED)
+                    text = inner.decode("utf-8") if not d.unconsumed_tail else None
+                except (zlib.error, UnicodeDecodeError):
+                    text = None
+                if text:
+                    done = len(raw) - len(d.unused_data)
+                    yield text, [(places[k // 3 * 4], places[-1] + 1)] * len(text)
+            if self._readable(raw):
+                yield raw.decode("utf-8"), [self._place(places, i, i + n) for i, n in self._bytes(raw)]
+            else:
+                for m in self.printable.finditer(raw):
+                    yield m[0].decode("ascii"), [self._place(places, i, i + 1) for i in range(m.start(), m.end())]
+
+    @staticmethod
+    def _bytes(raw: bytes) -> Iterator[tuple[int, int]]:
+        """Start and length of each UTF-8 character."""
+        k = 0
+        for c in raw.decode("utf-8"):
             n = len(c.encode())
-            places.append((m.start() + 4 * (k // 3), min(m.start() + 4 * ((k + n - 1) // 3) + 4, m.end())))
+            yield k, n
             k += n
-        return text, places
 
     @staticmethod
-    def _packed(raw: bytes) -> bool:
-        """Whether the bytes begin as a gzip member or with the two bytes of a zlib stream."""
-        return raw[:2] == b"\x1f\x8b" or (len(raw) > 1 and raw[0] & 0x8F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)
+    def _place(places: Sequence[int], i: int, j: int) -> tuple[int, int]:
+        """The range in the layer that bytes i to j of the decoded run come from."""
+        return places[i // 3 * 4], places[min((j - 1) // 3 * 4 + 3, len(places) - 1)] + 1
 
     @staticmethod
     def _readable(raw: bytes) -> bool:

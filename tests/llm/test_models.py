@@ -101,6 +101,26 @@ def test_secrets_in_text_that_begins_like_zlib():
         assert not base and [k for _, k, _ in spans] == [0], inner
 
 
+def test_secrets_under_shifted_and_wrapped_base64():
+    rules = secrets.Rules()
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    noise = random.Random(8)
+    long = "".join(noise.choice("bcdfgh \n") for _ in range(400)) + SECRET + "".join(noise.choice("bcdfgh \n") for _ in range(400))
+    for inner in (SECRET, b64(SECRET), zlib.compress(SECRET.encode()), gzip.compress(SECRET.encode()), f"a\u00a0b {SECRET}", f"\u200b{SECRET}\0", b"\xff" + SECRET.encode()):
+        for before in ("ex.com/cb/", "blob_", "id-", "x", "xy", "abc", "/////"):
+            text = f"héé {before}{b64(inner)} end"
+            base, spans, _ = rules.find(text)
+            assert not base and [k for _, k, _ in spans] == [0], (inner, before)
+            assert all(4 <= s and e <= len(text) - 4 for s, _, e in spans)
+    for inner in (long, gzip.compress(long.encode())):
+        for width, end in ((64, "\n"), (76, "\r\n"), (64, "\n    ")):
+            one = b64(inner)
+            text = "héé " + end.join(one[i : i + width] for i in range(0, len(one), width)) + " end"
+            base, spans, _ = rules.find(text)
+            assert not base and [k for _, k, _ in spans] == [0], (width, end)
+    assert rules.find("A" * 50_000 + "\n" + "x" * 50_000 + "\n" * 50_000)[1] == []
+
+
 def test_secrets_end_and_stay_quiet():
     rules = secrets.Rules()
     loop = "%2525" * 2000 + " " + "%41" * 20_000
