@@ -11,25 +11,29 @@ came from, so a finding in any layer becomes a span of the original text.
 Findings of the first layer are the base spans and always stay.  Findings below add spans
 of the same kinds; one that lies on a base span of its kind adds nothing.
 
-``MAX_INFLATED`` bounds what one compressed run may unwrap to; a run beyond it is left
-closed.  Special cases: null text counts as empty; each input row gives one row; extra
+What a compressed run unwraps to, all its gzip members, is scanned in windows as it is inflated,
+however much it is; memory holds a window, which grows only while one run of printable characters
+fills it.  Bytes that are not UTF-8 are replaced.  Special cases: null text counts as empty; each input row gives one row; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from chronofold.llm.common import text_of
 
-MAX_INFLATED = 1 << 24
+#: Characters of a window of unwrapped text at least, and bytes inflated at once.
+WINDOW = 1 << 20
+PART = 1 << 16
 
 # Kinds in their order and their proposal patterns.
 ASSIGN = r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -51,6 +55,61 @@ SHORTEST = 12
 Span = tuple[int, int, int]
 
 
+class Inflated:
+    """What a gzip or zlib stream holds, in parts, with the members behind it; bytes before damage count."""
+
+    def __init__(self, raw: memoryview) -> None:
+        self.raw, self.parts = raw, self._inflate()
+        self.taken, self.first = 2, b""
+
+    def sound(self) -> bool:
+        """Whether the first stream is whole and its checksum agrees."""
+        d = zlib.decompressobj(47)
+        try:
+            for at in range(0, len(self.raw), PART):
+                data = self.raw[at : at + PART]
+                while data and not d.eof:
+                    d.decompress(data, PART)
+                    data = d.unconsumed_tail
+                if d.eof:
+                    return True
+        except zlib.error:
+            pass
+        return False
+
+    def ready(self) -> bool:
+        """Whether anything comes out; reads the first part."""
+        self.first = next(self.parts, b"")
+        return bool(self.first)
+
+    def __iter__(self) -> Iterator[bytes]:
+        yield self.first
+        yield from self.parts
+
+    def _inflate(self) -> Iterator[bytes]:
+        at = 0
+        while at < len(self.raw):
+            d = zlib.decompressobj(47)
+            while not d.eof and at < len(self.raw):
+                data = self.raw[at : at + PART]
+                at += len(data)
+                while True:
+                    try:
+                        out = d.decompress(data, PART)
+                    except zlib.error:
+                        return
+                    self.taken = at
+                    if out:
+                        yield out
+                    data = d.unconsumed_tail
+                    if d.eof or not (data or len(out) == PART):
+                        break
+            at -= len(d.unused_data)
+            self.taken = at
+            if not d.eof:
+                return
+
+
 class Rules:
     """Compiled patterns; made once a task."""
 
@@ -59,6 +118,9 @@ class Rules:
         self.octets, self.escape, self.base64 = re.compile(OCTETS), re.compile(ESCAPE), re.compile(BASE64)
         self.wrapped, self.packed = re.compile(WRAPPED), re.compile(PACKED, re.DOTALL)
         self.printable = re.compile(rb"[\t\n\r\x20-\x7e]{%d,}" % SHORTEST)
+        # On reversed text: three words and their blanks, as in token = x, behind the cut-off one; what nothing passes over.
+        self.words = re.compile(r"[\x21-\x7e]*+(?:[^\x21-\x7e]++[\x21-\x7e]++){3}(?=[^\x21-\x7e])")
+        self.hard = re.compile(r"[^\x20-\x7e\t\r\n]|\n\r?\n")
         self.blank = re.compile(r"[\x20\n]|$(?!\n)")
 
     def scan(self, text: str) -> list[Span]:
@@ -72,8 +134,8 @@ class Rules:
         found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
         return found
 
-    def unwrap(self, text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-        """Decoded runs of a layer, with the range in the layer of each decoded character."""
+    def unwrap(self, text: str) -> Iterator[tuple[str | Iterator[str], list[tuple[int, int]]]]:
+        """Decoded runs of a layer, with the range in the layer of each decoded character; of a compressed run windows and one range."""
         if "%" in text:
             yield from self._regions(text, self.octets, self._percent)
         if "\\u" in text:
@@ -116,7 +178,7 @@ class Rules:
         out.append(chr(c) if not 0xD800 <= c < 0xE000 else "\ufffd")
         places.append((e.start(), e.end()))
 
-    def _base64(self, chars: str, at: Sequence[int]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    def _base64(self, chars: str, at: Sequence[int]) -> Iterator[tuple[str | Iterator[str], list[tuple[int, int]]]]:
         """What a run holds, decoded from each of its first four characters: a payload may begin anywhere in it.
 
         ``at`` has the place in the layer of each character.  Bytes that are not readable throughout
@@ -130,23 +192,45 @@ class Rules:
             done = 0
             for m in self.packed.finditer(raw):
                 k = m.start()
-                if k < done:
-                    continue
-                d = zlib.decompressobj(47)
-                try:
-                    inner = d.decompress(memoryview(raw)[k:], MAX_INFLATED)
-                    text = inner.decode("utf-8") if not d.unconsumed_tail else None
-                except (zlib.error, UnicodeDecodeError):
-                    text = None
-                if text:
-                    done = len(raw) - len(d.unused_data)
-                    yield text, [(places[k // 3 * 4], places[-1] + 1)] * len(text)
+                if k >= done:
+                    inflated = Inflated(memoryview(raw)[k:])
+                    # Two bytes are soon met by chance: inside a run a zlib stream has to end well.
+                    begins = k % 3 == 0 and (phase + k == 0 or chars[phase + k // 3 * 4 - 1] in "+/")
+                    if (begins or m[0][:1] == b"\x1f" or Inflated(inflated.raw).sound()) and inflated.ready():
+                        yield self._windows(inflated), [(places[k // 3 * 4], places[-1] + 1)]
+                        done = k + inflated.taken
             if self._readable(raw):
                 yield raw.decode("utf-8"), [self._place(places, i, i + n) for i, n in self._bytes(raw)]
             else:
                 for m in self.printable.finditer(raw):
                     yield m[0].decode("ascii"), [self._place(places, i, i + 1) for i in range(m.start(), m.end())]
 
+    def _windows(self, parts: Iterable[bytes]) -> Iterator[str]:
+        """The text of the parts in windows that overlap so far that each finding and encoded run is whole in one."""
+        decoder, text, most = codecs.getincrementaldecoder("utf-8")("replace"), "", WINDOW
+        for part in parts:
+            text += decoder.decode(part)
+            if len(text) >= most:
+                if keep := self._overlap(text):
+                    yield text
+                    text, most = text[keep:], max(WINDOW, 2 * (len(text) - keep))
+                else:
+                    most = 2 * len(text)
+        text += decoder.decode(b"", True)
+        if text:
+            yield text
+
+    def _overlap(self, text: str) -> int:
+        """Where the next window has to begin: nothing that a rule takes whole passes from before it over the end."""
+        end = text[::-1]
+        words, hard = self.words.match(end), self.hard.search(end)
+        at = len(text) - words.end() if words else 0
+        for m in self.wrapped.finditer(text):
+            if m.start() < at and m.end() + 8 >= len(text):
+                at = m.start()
+        # A run that is cut off goes on in the next window, from its beginning.
+        return max(at, len(text) - hard.start() if hard else 0)
+
     @staticmethod
     def _bytes(raw: bytes) -> Iterator[tuple[int, int]]:
         """Start and length of each UTF-8 character."""
@@ -174,10 +258,24 @@ class Rules:
         """Base spans, all spans, and the number of layers, for one text."""
         base = sorted(self.scan(text))
         spans, seen = set(base), {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), 0)}
-        work: list[tuple[str, list[tuple[int, int]] | None]] = [(text, None)]
+        work: list[tuple[str | Iterator[str], list[tuple[int, int]] | None]] = [(text, None)]
         layers = 0
+
+        def enter(inner: str, at: list[tuple[int, int]]) -> bool:
+            # One content may stand in several places; in one place it is entered once.
+            mark = hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest(), at[0][0]
+            return mark not in seen and not seen.add(mark)
+
         while work:
             layer, places = work.pop()
+            if not isinstance(layer, str):
+                windows, layer = layer, next(layer, None)
+                if layer is None:
+                    continue
+                work.append((windows, places))
+                if not enter(layer, places):
+                    continue
+                places = places * len(layer)
             layers += 1
             if places is not None:
                 for s, k, e in self.scan(layer):
@@ -189,10 +287,7 @@ class Rules:
                     continue
                 if places is not None:
                     at = [(min(p[0] for p in places[x:y]), max(p[1] for p in places[x:y])) for x, y in at]
-                # One content may stand in several places; in one place it is entered once.
-                mark = hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest(), at[0][0]
-                if mark not in seen:
-                    seen.add(mark)
+                if not isinstance(inner, str) or enter(inner, at):
                     work.append((inner, at))
         return base, sorted(spans), layers
 

@@ -121,6 +121,25 @@ def test_secrets_under_shifted_and_wrapped_base64():
     assert rules.find("A" * 50_000 + "\n" + "x" * 50_000 + "\n" * 50_000)[1] == []
 
 
+def test_secrets_in_large_and_many_members(monkeypatch):
+    rules = secrets.Rules()
+    b64 = lambda x: base64.b64encode(x).decode()
+    secret, noise = SECRET.encode(), random.Random(9)
+    log = b"line of a log, nothing here\n" * 700_000
+    members = gzip.compress(b"first\n") + gzip.compress(secret) + gzip.compress(b"last\n")
+    for raw in (gzip.compress(log + secret), zlib.compress(log + secret + log), members, gzip.compress(b"\xff\0 " + secret), gzip.compress(bytes(3_000_000) + secret), gzip.compress(secret + b"\n" + log)[:-9]):
+        base, spans, _ = rules.find(f"see {b64(raw)} end")
+        assert not base and [k for _, k, _ in spans] == [0]
+    monkeypatch.setattr(secrets, "WINDOW", 100, raising=False)
+    monkeypatch.setattr(secrets, "PART", 16, raising=False)
+    inner = b64(gzip.compress(noise.randbytes(300) + b" " + secret))
+    wrapped = "\n".join(inner[i : i + 64] for i in range(0, len(inner), 64)).encode()
+    for held in (secret, b"token   =    abcdef123456", inner.encode(), wrapped, b"x" * 500 + b" " + secret):
+        for before in range(0, 240, 7):
+            text = f"see {b64(gzip.compress(b'some log ' * 9 + b'ab cd e '[: before % 8] + b'w ' * before + held + b' more words' * 60))} end"
+            assert [k for _, k, _ in rules.find(text)[1]] == [0], (held, before)
+
+
 def test_secrets_end_and_stay_quiet():
     rules = secrets.Rules()
     loop = "%2525" * 2000 + " " + "%41" * 20_000
