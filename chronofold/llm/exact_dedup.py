@@ -7,10 +7,10 @@ Its recipe is the ordered list of (length, hash) of its chunks.
 1. Recipes are made where the text lies; only recipes move.
 2. Texts whose recipe occurs once are unique: different recipes mean different texts.
 3. For the rest, chunks are deduplicated on their bytes.  Each map task sends a distinct
-   chunk once, however many copies hold it, and every chunk gets an identifier that is
-   verified against its bytes: chunks alike in length and hash but not in bytes get
-   different ordinals.
-4. Ordered identifier lists are compared; equal lists are equal texts.
+   chunk once, however many copies hold it, and chunks alike in length and hash but not in
+   bytes are found.
+4. Recipes are compared; equal ones without such a chunk are equal texts.  No ordinals are
+   given to clashing chunks: a text that holds one is told apart by its SHA-256 as well.
 
 Results in special cases: null text counts as empty; all empty texts are equal; a null
 doc_id ranks below every other; repeated rows (same doc_id and text) each get a row, one
@@ -66,7 +66,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def _identified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates with ``ids``, the ordered list of verified chunk identifiers."""
+    """Candidates with ``ids``: the recipe, and the text's digest where a chunk of it clashes."""
     ids = candidates.select(_id("doc_id").alias("_id"))
     text = docs.select(_id("doc_id").alias("_id"), text_of(docs).alias("_t")).join(ids, "_id", "left_semi")
     pieces = text.select(F.explode(chunks(F.col("_t"))).alias("chunk"))
