@@ -9,24 +9,33 @@ collision probability and concentration.
 Candidates.  ``BANDS`` bands of ``ROWS`` coordinates.  A pair at similarity 0.85 shares no band
 with probability (1 - 0.85^5)^32, about 7e-9.
 
-Verification and grouping, without making all pairs of a bucket:
+Verification and grouping, without making the pairs of a bucket:
 1. Documents with equal shingle sets (128-bit digest) form a class; its smallest id stands for it.
-2. Stars: every member of a bucket is compared with the bucket's hub, the member that shares most
-   buckets; the hub then leaves the bucket, as all its links there are known.  Where the rest still
-   spans several components a second hub is taken, outside the first one's component.
-3. Rest: for members of buckets still open, two numbers are found: how many shingles no other such
-   document or hub has, and how many of the first hub's are missing.  Both bound what two members can
-   share, which rules out most pairs before they are made.  Of the pairs left, every member outside
-   its bucket's largest component is compared with every member of another component.  Pairs inside
-   one component need no comparison, so no link between components is lost.
-Every link is confirmed on full sets of 64-bit shingle fingerprints; pairs are ruled out only by
-bounds that hold for certain.  Components come from alternating
-large-star and small-star steps on the verified links.
+2. Stars: every member of a bucket is compared with the bucket's hub, its smallest id.  Bit maps of
+   the sets rule most unlike pairs out before full sets move.
+3. Buckets whose other members still span several components stay open.  Their members, gathered
+   by hub, are resolved by halving (``_resolved``): a group of few members is compared within one
+   task.  For a larger one the centre is the set of shingles that most members have, and each
+   member is told by its difference D from it.  A pair differs in |D| + |D'| shingles less twice
+   those that D and D' share.  If it is near without sharing any, then both are near the member
+   with the most to spare, the new hub, by the same sum.  Otherwise D and D' share so many that
+   their prefixes, rarest shingles first, have one in common (prefix filtering; exact).  So members
+   are compared with the hub, and meet again in one group for each prefix shingle.  A shingle of a
+   difference belongs to a minority, so groups at least halve with every level and the work ends.
+Every link is confirmed on full sets (or full differences, which tell as much) of 64-bit shingle
+fingerprints; pairs are ruled out only by bounds that hold for certain.  Components come from
+alternating large-star and small-star steps on the verified links, after each task has contracted
+the links that it holds.
+
+Rows of a key, hub or component that holds a large share of all rows are dealt out over several
+tasks (``spread``); texts move only where a bit map of the ids says they may be needed.  The tables
+and shuffle files of finished steps are deleted.
 
 Results in special cases: null text, or a text without words, has an empty set and links with
 nothing; a null doc_id links with nothing, has a null component and is kept; rows that share a
-doc_id are one node and all get its component; an empty table gives an empty result; extra
-columns are ignored by ``groups`` and returned untouched by ``dedup``.
+doc_id are one node and all get its component; very long texts are sketched whole, a slice of
+texts at a time; an empty table gives an empty result; extra columns are ignored by ``groups``
+and returned untouched by ``dedup``.
 """
 
 from __future__ import annotations
@@ -36,16 +45,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import cut, text_of, unpacked, whole
+from chronofold.llm.common import Cuts, Flags, hot_keys, spread, text_of, unpacked, whole
 
 WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 SLICE_BYTES = 1 << 20
+#: A group of at most so many members, with so many shingles in all, is compared within one task.
+MEMBERS, SHINGLES = 256, 1 << 18
+#: Links that a task contracts at a time; so many or fewer in all are one task's work.
+LINKS = 1 << 18
 
 _U = np.uint64
 
@@ -198,8 +211,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     k = Sketcher()
     for batch in batches:
         sets = k.shingles(batch.column("text").to_pylist())
+        names = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) for s in sets]
         yield pa.record_batch(
-            {"node": batch.column("node"), "shingles": pa.array([s.tobytes() for s in sets], pa.binary()), "bits": pa.array([_bits(s) for s in sets], pa.binary())}
+            {"node": batch.column("node"), "name": pa.array(names, pa.int64()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary()), "bits": pa.array([_bits(s) for s in sets], pa.binary())}
         )
 
 
@@ -225,141 +239,330 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(batch, ok)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among candidate pairs (a, b).  Bit maps go first, so that full sets move for near pairs only."""
+def _verify(pairs: DataFrame, sets: DataFrame, cuts: Cuts) -> DataFrame:
+    """Links among distinct candidate pairs (a, b), a being a hub of many."""
 
     def joined(pairs: DataFrame, *columns: tuple[str, Column]) -> DataFrame:
-        for side, names in (("b", "ym"), ("a", "xn")):
-            other = sets.select(F.col("node").alias(side), *[c.alias(name) for name, c in zip(names, columns, strict=False)])
-            pairs = pairs.join(other, side)
-        return pairs
+        def other(side: str, names: str) -> DataFrame:
+            return sets.select(F.col("node").alias(side), *[c.alias(name) for name, c in zip(names, columns, strict=False)])
+
+        hot = hot_keys(pairs.groupBy("a").count(), ["a"], pairs.count())
+        return spread(pairs.join(other("b", "ym"), "b"), other("a", "xn"), ["a"], hot, "b")
 
     size = (F.octet_length("shingles") / 8).cast("bigint")
-    near = cut(joined(pairs, F.col("bits"), size).mapInArrow(_possible, "a bigint, b bigint"))
-    return cut(joined(near, F.col("shingles")).mapInArrow(_confirmed, "a bigint, b bigint"))
+    near = cuts(joined(pairs, F.col("bits"), size).mapInArrow(_possible, "a bigint, b bigint"))
+    links = cuts(joined(near, F.col("shingles")).mapInArrow(_confirmed, "a bigint, b bigint"))
+    cuts.free(near)
+    return links
+
+
+def _forest(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for us, vs in pairs:
+        for u, v in zip(us.tolist(), vs.tolist(), strict=True):
+            u, v = top(u), top(v)
+            up[max(u, v)] = min(u, v)
+    rows = [(x, top(x)) for x in up]
+    rows = [(x, y) for x, y in rows if x != y]
+    return pa.record_batch({"u": pa.array([x for x, _ in rows], pa.int64()), "v": pa.array([y for _, y in rows], pa.int64())})
 
 
-def components(links: DataFrame) -> DataFrame:
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of a task, some at a time, as one from each node to the smallest that it reaches by them."""
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+        n += batch.num_rows
+        if n >= LINKS:
+            yield _forest(held)
+            held, n = [], 0
+    yield _forest(held)
+
+
+def components(links: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     """node, component (its smallest node) of every linked node but the smallest ones themselves, by large-star and small-star steps."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    mark = None
+    cuts = cuts or Cuts(links.sparkSession)
+    edges, written = links.select(F.col("a").alias("u"), F.col("b").alias("v")), []
+
+    def mark(table: DataFrame) -> tuple:
+        return tuple(table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    if links.count() <= LINKS:
+        return cuts(edges.coalesce(1).mapInArrow(_contracted, "u bigint, v bigint")).toDF("node", "component")
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        local = cuts(edges.mapInArrow(_contracted, "u bigint, v bigint"))
+        before = mark(local)
+        both = local.union(local.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("count"))
+        large = spread(both, least.select("u", "m"), ["u"], hot_keys(least, ["u"], 2 * before[0]), "v")
+        large = large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-        mark = now
-
-
-def _open(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of buckets that still span several components, with their component and their hub's."""
-    found = cut(components(links))
-    named = rows.drop("component", "past").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    still = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    hubs = found.select(F.col("node").alias("hub"), F.col("component").alias("past"))
-    kept = named.join(still, "key", "left_semi").join(hubs, "hub", "left")
-    return cut(kept.withColumn("past", F.coalesce("past", "hub")).select("key", "node", "n", "w", "component", "hub", "past"))
-
+        edges = cuts(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        cuts.free(local, *written)
+        written = [edges]
+        if mark(edges) == before:  # stars already
+            return edges.toDF("node", "component")
+
+
+def _slack(n: np.ndarray | int, different: np.ndarray | int) -> np.ndarray | int:
+    """Two sets are near if and only if (100 - P) (n + m) >= (100 + P) x shingles that only one has; a member's part of that."""
+    return (100 - PERCENT) * n - (100 + PERCENT) * different
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype=_U) for x in column]
+
+
+def _within(group: pa.Table) -> pa.Table:
+    """The links between components that span a small group."""
+    sets, n = _arrays(group.column("diff").combine_chunks()), group.column("n").to_numpy()
+    parts = group.column("component").to_pylist()
+    _, at, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    again = uses[at] > 1  # the others are in one set only
+    _, at = np.unique(at[again], return_inverse=True)
+    owner, order = owner[again], np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    common, some = np.zeros((len(sets), len(sets)), dtype=np.int64), 1 << 14
+    for k in range(0, int(at.max(initial=-1)) + 1, some):
+        a, b = np.searchsorted(at, [k, k + some])
+        holds = np.zeros((len(sets), some), dtype=np.float32)
+        holds[owner[a:b], at[a:b] - k] = 1
+        common += (holds @ holds.T).astype(np.int64)
+    sizes = np.array([len(s) for s in sets])
+    near = _slack(n[:, None] + n[None, :], sizes[:, None] + sizes[None, :] - 2 * common) >= 0
+    up = {c: c for c in parts}
+
+    def top(c: int) -> int:
+        while up[c] != c:
+            c = up[c]
+        return c
+
+    links = []
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        x, y = top(parts[i]), top(parts[j])
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            links.append((x, y))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def _members(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """The shingles of members, some members at a time, and for each shingle its member's columns."""
+    for batch in batches:
+        sets = _arrays(batch.column("diff"))
+        own = [batch.column(c).to_numpy() for c in columns]
+        for a, b in _slices(sets):
+            at = a + np.repeat(np.arange(b - a), [len(s) for s in sets[a:b]])
+            yield np.concatenate(sets[a:b]), *[x[at] for x in own]
 
-def _star(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's next hub with its members of other components, and the rows without the hubs.
 
-    ``hub`` stays the first hub; the next one is outside the component ``past``, that of the first.
-    """
-    best = F.struct("w", (-F.col("node")).alias("m"), "component", "n")
-    hubs = rows.groupBy("key").agg(F.max(F.when(F.col("past").isNull() | (F.col("past") != F.col("component")), best)).alias("best"))
-    hubs = hubs.select("key", (-F.col("best.m")).alias("a"), F.col("best.component").alias("mine"), F.col("best.n").alias("size"))
-    both = cut(rows.join(hubs, "key").filter("node <> a"))
-    pairs = both.filter(f"component <> mine and least(n, size) * 100 >= greatest(n, size) * {PERCENT}")
-    left = both.withColumn("hub", F.coalesce("hub", "a")).drop("a", "mine", "size")
-    return pairs.select("a", F.col("node").alias("b")).distinct(), left
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each shingle of a group's members, once for some of them, with its uses."""
+    for x, g, s in _members(batches, "g", "members"):
+        order = np.lexsort((x, g))
+        x, g, s = x[order], g[order], s[order]
+        first = np.flatnonzero(np.concatenate([[True] * bool(len(x)), (x[1:] != x[:-1]) | (g[1:] != g[:-1])]))
+        uses = np.diff(np.concatenate([first, [len(x)]]))
+        yield pa.record_batch({"g": pa.array(g[first], pa.int64()), "members": pa.array(s[first], pa.int64()), "shingle": pa.array(x[first].astype(np.int64)), "uses": pa.array(uses, pa.int64())})
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, hub, and how many of the hub's shingles the node lacks."""
+def _centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members with their differences from the centre, and what they have to spare."""
     for batch in batches:
-        lack = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), dtype=_U), np.frombuffer(y.as_buffer(), dtype=_U)
-            lack.append(len(q) - len(np.intersect1d(p, q, assume_unique=True)))
-        yield pa.record_batch({"node": batch.column("node"), "hub": batch.column("hub"), "lack": pa.array(lack, pa.int64())})
+        diffs, spare = [], []
+        for x, centre, n in zip(_arrays(batch.column("diff")), batch.column("centre"), batch.column("n").to_pylist(), strict=True):
+            c = np.sort(np.array(centre.values if centre.is_valid else [], dtype=np.int64).astype(_U))
+            diffs.append(np.setxor1d(x, c, assume_unique=True))
+            spare.append(_slack(n, len(diffs[-1])))
+        kept = {c: batch.column(c) for c in ("g", "node", "n", "component")}
+        yield pa.record_batch(kept | {"diff": pa.array([d.tobytes() for d in diffs], pa.binary()), "slack": pa.array(spare, pa.int64())})
 
 
-def _shingle_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each shingle of a batch once: its uses and, where there is one, its document."""
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members with the hub's component where they are near the hub, and the length of their prefix."""
     for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), dtype=_U) for x in batch.column("shingles")]
-        nodes = np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets])
-        values, first, uses = np.unique(np.concatenate([*sets, np.zeros(0, dtype=_U)]), return_index=True, return_counts=True)
-        yield pa.record_batch({"shingle": pa.array(values.astype(np.int64)), "node": pa.array(nodes[first].astype(np.int64)), "uses": pa.array(uses.astype(np.int64))})
-
-
-def _rest(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of each member outside its bucket's largest component with the members of other components,
-    less those that unshared shingles rule out."""
-    names = rows.select("node", "hub").distinct()
-    pool = names.select("node").union(names.select("hub")).distinct()
-    uses = sets.join(pool, "node", "left_semi").mapInArrow(_shingle_uses, "shingle bigint, node bigint, uses bigint")
-    alone = uses.groupBy("shingle").agg(F.sum("uses").alias("uses"), F.min("node").alias("node")).filter("uses = 1")
-    hubs = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("y"))
-    lacks = names.join(sets.select("node", F.col("shingles").alias("x")), "node").join(hubs, "hub").mapInArrow(_common, "node bigint, hub bigint, lack bigint")
-    known = rows.join(alone.groupBy("node").agg(F.count(F.lit(1)).alias("u")), "node", "left").join(lacks, ["node", "hub"])
-    known = known.withColumn("most", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
-    known = cut(known.filter(f"most * 100 >= n * {PERCENT}"))
-    counts = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("key").agg(F.max(F.struct("c", (-F.col("component")).alias("m"))).alias("top"))
-    minor = known.join(main.select("key", (-F.col("top.m")).alias("main")), "key").filter("component <> main")
-    minor = minor.selectExpr("key", "main", "node a", "component a_component", "n a_n", "most a_most", "lack a_lack")
-    others = known.selectExpr("key", "node b", "component b_component", "n b_n", "most b_most", "lack b_lack")
-    # What a has of the hub's shingles beyond b's share of them is not in b, nor are a's unshared ones.
-    shared = "least(a_most - greatest(0, b_lack - a_lack), b_most - greatest(0, a_lack - b_lack))"
-    # A link needs 100 c >= 85 (n + m - c) of c shared shingles.  Of two members outside the largest
-    # component, the pair is made once.
-    possible = f"{100 + PERCENT} * {shared} >= {PERCENT} * (a_n + b_n)"
-    pairs = minor.join(others, "key").filter(f"a_component <> b_component and (b_component = main or a < b) and {possible}")
-    return pairs.select("b", "a").toDF("a", "b").distinct()
-
-
-def _link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sketched rows (doc_id, n_shingles, node) and the components of nodes."""
+        near, prefix = [], []
+        columns = [batch.column(c).to_pylist() for c in ("n", "component", "slack", "hub_n", "hub_component", "most", "next")]
+        for x, y, n, mine, slack, m, theirs, most, other in zip(_arrays(batch.column("diff")), _arrays(batch.column("hub_diff")), *columns, strict=True):
+            apart = mine != theirs and _slack(n + m, len(np.setxor1d(x, y, assume_unique=True))) >= 0
+            near.append(theirs if apart else None)
+            # What a near member of another component can have to spare: its size is bounded by this one's,
+            # and its difference by how far the two can be apart.
+            most = min(most if mine != theirs else other, slack + _slack(2 * (100 * n // PERCENT), 0))
+            # A pair whose slack is below zero together shares -(slack + slack') / (2 (100 + P)) shingles of its differences at least.
+            share = max(1, -((slack + most) // (2 * (100 + PERCENT))))
+            prefix.append(len(x) - share + 1)
+        kept = {"from": batch.column("g")} | {c: batch.column(c) for c in ("node", "n", "component", "diff", "hub")}
+        yield pa.record_batch(kept | {"near": pa.array(near, pa.int64()), "prefix": pa.array(prefix, pa.int64())})
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x, g, node, component in _members(batches, "from", "node", "component"):
+        yield pa.record_batch({"g": pa.array(g), "node": pa.array(node), "component": pa.array(component), "shingle": pa.array(x.astype(np.int64))})
+
+
+def _compared_with_hubs(rows: DataFrame, cuts: Cuts) -> DataFrame:
+    """Of large groups' rows (g, members, node, n, component, diff): what ``_compared`` gives, the group as ``from``."""
+    sizes = rows.groupBy("g").count()
+    hot = hot_keys(sizes, ["g"], rows.count())
+    counts = rows.select("g", "members", "diff").mapInArrow(_uses, "g bigint, members bigint, shingle bigint, uses bigint")
+    common = counts.groupBy("g", "members", "shingle").agg(F.sum("uses").alias("uses")).filter("2 * uses > members")
+    # No longer than twice a group's mean set.
+    centres = common.groupBy("g").agg(F.collect_list("shingle").alias("centre"))
+    shape = "node bigint, n bigint, component bigint, diff binary"
+    centred = cuts(spread(rows, centres, ["g"], hot, "node", "left").mapInArrow(_centred, f"g bigint, {shape}, slack bigint"))
+    # The most that a component's members have to spare, and of those in other components.
+    parts = centred.groupBy("g", "component").agg(F.max("slack").alias("slack"))
+    best = parts.groupBy("g").agg(F.max("slack").alias("most"), F.max_by("component", "slack").alias("top"))
+    other = spread(parts, best.select("g", "top"), ["g"], hot, "component").filter("component <> top").groupBy("g").agg(F.max("slack").alias("next"))
+    best = best.join(other, "g")
+    hubs = spread(centred.select("g", "node", "component", "slack"), best, ["g"], hot, "node").filter("slack = most and component = top")
+    hubs = hubs.groupBy("g", "most", "next").agg(F.min("node").alias("node"))
+    hub = centred.select("g", "node", F.col("n").alias("hub_n"), F.col("component").alias("hub_component"), F.col("diff").alias("hub_diff"))
+    hubs = hubs.join(hub, ["g", "node"]).withColumnRenamed("node", "hub")
+    compared = cuts(spread(centred, hubs, ["g"], hot, "node").mapInArrow(_compared, f"`from` bigint, {shape}, hub bigint, near bigint, prefix bigint"))
+    cuts.free(centred)
+    return compared
+
+
+def _halved(compared: DataFrame, found: DataFrame | None, cuts: Cuts) -> DataFrame:
+    """The next groups' members: those of groups that still span several components, once for each
+    shingle of their prefixes that members of another component have too."""
+    size = (F.octet_length("diff") / 8).cast("bigint").alias("size")
+    narrow = compared.filter("node <> hub and prefix > 0").select("from", "node", "n", "component", "prefix", size)
+    named = cuts(narrow if found is None else _renamed(narrow, found))
+    spans = lambda rows, *keys: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(*keys, "count")
+    still = cuts(spans(named, "from"))
+    left = cuts(spread(named, still.select("from"), ["from"], hot_keys(still, ["from"], named.count()), "node"))
+    told = compared.select("from", "node", "diff").join(left.select("from", "node", "component"), ["from", "node"])
+    elements = cuts(told.mapInArrow(_elements, "g bigint, node bigint, component bigint, shingle bigint"))
+    shared = cuts(spans(elements, "g", "shingle"))
+    among = spread(elements.drop("component"), shared, ["g", "shingle"], hot_keys(shared, ["g", "shingle"], elements.count()), "node")
+    member = Window.partitionBy("g", "node")
+    # In the order of the prefixes, shingles that only one component has come first; no pair across shares one.
+    among = among.withColumn("rank", F.row_number().over(member.orderBy("count", "shingle"))).withColumn("met", F.count(F.lit(1)).over(member))
+    prefixes = among.join(left.withColumnRenamed("from", "g"), ["g", "node"]).filter("size - met + rank <= prefix")
+    members = cuts(prefixes.select(F.xxhash64("g", "shingle").alias("g"), F.col("g").alias("from"), "node", "n", "component", "size"))
+    cuts.free(named, still, left, elements, shared)
+    return members
+
+
+def _renamed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with their components as the found ones say."""
+    found = found.select(F.col("node").alias("component"), F.col("component").alias("_now"))
+    hot = hot_keys(rows.groupBy("component").count(), ["component"], rows.count())
+    renamed = spread(rows, found, ["component"], hot, "node", "left")
+    return renamed.withColumn("component", F.coalesce("_now", "component")).drop("_now")
+
+
+def _resolved(members: DataFrame, differ: DataFrame, cuts: Cuts) -> DataFrame | None:
+    """Links between the components of groups' members; together they tell all there are within the groups.
+
+    ``members`` has g, from, node, n, component and size; ``differ`` the set or difference of each (from, node).
+    """
+    links: DataFrame | None = None
+    while True:
+        sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        still = cuts(sizes.filter("lo <> hi").select("g", "members", "shingles"))
+        if still.isEmpty():
+            cuts.free(members, differ, still)
+            return links
+        few = F.expr(f"members <= {MEMBERS} and shingles <= {SHINGLES}")
+        large = not still.filter(~few).isEmpty()
+        hot = hot_keys(still, ["g"], members.count(), "members")
+        rows = spread(members, still, ["g"], hot, "node").join(differ.select("from", "node", "diff"), ["from", "node"])
+        rows = cuts(rows.select("g", "members", "shingles", "node", "n", "component", "diff"))
+        cuts.free(members, differ, still)
+        within = cuts(rows.filter(few).select("g", "n", "component", "diff").groupBy("g").applyInArrow(_within, "a bigint, b bigint"))
+        if not large:
+            cuts.free(rows)
+            return within if links is None else links.union(within)
+        differ = _compared_with_hubs(rows.filter(~few), cuts)
+        spanning = differ.filter("near is not null").select(F.col("component").alias("a"), F.col("near").alias("b"))
+        new = cuts(within.union(spanning).distinct())
+        cuts.free(within, rows)
+        found = None
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            found = components(new, cuts)
+        members = _halved(differ, found, cuts)
+
+
+def _link(docs: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame]:
+    """Sketched rows (doc_id, n_shingles, digest) and the component of each digest."""
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).cast("binary").alias("text"))
-    shape = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
-    sketched = cut(rows.mapInArrow(_sketched, shape))
-    classes = sketched.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    named = sketched.join(classes, "digest", "left").select("doc_id", "n_shingles", "node", "bands")
-    nodes = named.filter("doc_id = node").select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("w")).filter("w > 1")
-    buckets = nodes.join(shared, "key")
-    weights = buckets.groupBy("node").agg(F.sum("w").alias("w"))
-    buckets = cut(buckets.drop("w").join(weights, "node").withColumns({"component": F.col("node"), "hub": F.lit(None).cast("bigint"), "past": F.lit(None).cast("bigint")}))
-    texts = rows.withColumnRenamed("doc_id", "node").join(buckets.select("node").distinct(), "node", "left_semi")
-    sets = cut(texts.mapInArrow(_sets, "node bigint, shingles binary, bits binary"))
-    pairs, left = _star(buckets)
-    links = _verify(pairs, sets)
-    pairs, left = _star(_open(left, links))
-    links = links.union(_verify(pairs, sets))
-    left = _open(left, links)
-    links = links.union(_verify(_rest(left, sets), sets))
-    return named.drop("bands"), components(links)
+    sketched = cuts(rows.mapInArrow(_sketched, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"))
+    known = sketched.filter("doc_id is not null and digest is not null")
+    narrow = cuts(sketched.select("doc_id", "n_shingles", "digest"))
+    nodes = cuts(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    cuts.free(sketched)
+    exploded = nodes.select("node", F.explode("bands").alias("key"))
+    hubs = cuts(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("hub")).filter("count > 1"))
+    total = nodes.count()
+    hot = hot_keys(hubs, ["key"], BANDS * total)
+    buckets = cuts(spread(exploded, hubs, ["key"], hot, "node").filter("node <> hub").select("key", "hub", "node"))
+    classes = cuts(nodes.select("digest", "node"))
+    cuts.free(nodes, hubs)
+    pairs = cuts(buckets.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    needed = cuts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    texts = Flags(needed, "node").mark(rows.withColumnRenamed("doc_id", "node"), "node").filter("_flag")
+    sets = cuts(texts.join(needed, "node", "left_semi").select("node", "text").mapInArrow(_sets, "node bigint, name bigint, shingles binary, bits binary"))
+    links = _verify(pairs, sets, cuts)
+    cuts.free(pairs, needed)
+    # Rows of one id with different texts are one node.
+    ids = narrow.filter("doc_id is not null and digest is not null")
+    again = ids.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("lo"), F.max(F.xxhash64("digest")).alias("hi")).filter("lo <> hi").select("doc_id")
+    if not again.isEmpty():
+        tied = ids.join(again, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        links = links.union(tied)
+    stars = components(links, cuts)
+    named = cuts(buckets.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    cuts.free(buckets)
+    still = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("count")).filter("lo <> hi")
+    still = cuts(still.select("key", "count"))
+    wide = spread(named, still, ["key"], hot_keys(still, ["key"], named.count()), "node").select("hub", "node", "component").distinct()
+    # Buckets with hubs of one component make one group, so that a member is not taken once for each hub of a family.
+    hubs = stars.select(F.col("node").alias("hub"), F.col("component").alias("_top"))
+    wide = cuts(wide.join(hubs, "hub", "left").select(F.coalesce("_top", "hub").alias("g"), "node", "component").distinct())
+    # From here on a member is named by its set: an id may have several.
+    own = sets.select("node", "name", (F.octet_length("shingles") / 8).cast("bigint").alias("n"))
+    first = F.lit(0).cast("bigint").alias("from")
+    members = cuts(wide.join(own, "node").select("g", first, F.col("name").alias("node"), "n", "component", F.col("n").alias("size")))
+    cuts.free(named, still, wide)
+    among = sets.join(members.select(F.col("node").alias("name")).distinct(), "name", "left_semi").dropDuplicates(["name"])
+    differ = cuts(among.select(first, F.col("name").alias("node"), F.col("shingles").alias("diff")))
+    cuts.free(sets)
+    more = _resolved(members, differ, cuts)
+    found = classes.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if more is not None:
+        found = _renamed(found, components(more, cuts))
+    labels = cuts(found.select("digest", "component"))
+    cuts.free(classes)
+    return narrow, labels
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
-    named, found = _link(docs)
-    known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    rows = named.join(found, "node", "left").withColumn("component_id", known)
+    narrow, labels = _link(docs, Cuts(docs.sparkSession))
+    hot = hot_keys(narrow.groupBy("digest").count(), ["digest"], narrow.count())
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    rows = spread(narrow, labels, ["digest"], hot, "doc_id", "left").withColumn("component_id", component)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return rows.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows whose document stands for its component, with all their columns."""
-    gone = groups(docs).filter("not kept").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(whole(docs).alias("row"), docs["doc_id"].cast("bigint").alias("id"))
-    return unpacked(rows.join(gone, "id", "left_anti"), docs.columns)
+    """The rows whose document stands for its component, with all their columns; only rows that may go move."""
+    cuts = Cuts(docs.sparkSession)
+    gone = cuts(groups(docs).filter("not kept").select(F.col("doc_id").alias("id")).distinct())
+    rows = Flags(gone, "id").mark(docs.select(whole(docs).alias("row"), docs["doc_id"].cast("bigint").alias("id")), "id")
+    stay = rows.filter("not _flag").select("row").union(rows.filter("_flag").join(gone, "id", "left_anti").select("row"))
+    return unpacked(stay, docs.columns)

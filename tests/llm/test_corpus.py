@@ -84,6 +84,57 @@ def test_near_copies_against_brute_force(spark):
     assert near_dedup.groups(df.filter("false")).count() == 0
 
 
+def just_apart(n, words=300, seed=9):
+    """n edited copies of one text, most pairs of them just below the threshold, and some near copies."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for j in rng.sample(range(0, words, 6), 3):  # each edit changes five shingles
+            own[j] = f"e{i}.{j}"
+        rows.append((i, " ".join(own)))
+    return rows + [(n + i, rows[i][1] + " more words here") for i in range(0, n, 9)]
+
+
+def test_halving_loses_no_link(spark, monkeypatch):
+    """Groups go down to pairs of members: what the centres, hubs and prefixes leave out has no links."""
+    rng = random.Random(21)
+    rows = just_apart(70) + [(5000 + i, t) for i, t in family_rows() if i is not None and t]
+    part = [f"p{k}" for k in range(200)]
+    for k in range(60):  # families within families: halves share edits
+        own = list(part)
+        for level in range(5):
+            own[level * 20 + (k >> level) % 2] = f"s{level}.{(k >> level) % 2}"
+        own[100 + rng.randrange(100)] = f"u{k}"
+        own[100 + rng.randrange(100)] = f"v{k}"
+        rows.append((9000 + k, " ".join(own)))
+    want = brute_components(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for members in (2, 8):
+        monkeypatch.setattr(near_dedup, "MEMBERS", members)
+        assert {r.doc_id: r.component_id for r in near_dedup.groups(df).collect()} == want
+
+
+def test_members_just_apart_meet_in_proportion(spark, monkeypatch):
+    """Rows of groups beyond the first grow with a family of unlike edited copies, not with its square."""
+    monkeypatch.setattr(near_dedup, "MEMBERS", 64)
+    met = {}
+    halved = near_dedup._halved
+
+    def counted(compared, found, cuts):
+        members = halved(compared, found, cuts)
+        met[n] = met.get(n, 0) + compared.count() + members.count()
+        return members
+
+    monkeypatch.setattr(near_dedup, "_halved", counted)
+    for n in (100, 200, 400):
+        rows = just_apart(n)
+        got = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
+    assert met[200] <= 2.6 * met[100] and met[400] <= 2.6 * met[200]
+
+
 def test_sketches_estimate_similarity():
     """The share of equal coordinates follows the Jaccard similarity, and every coordinate fills for sets of any size."""
     k, rng = near_dedup.Sketcher(), np.random.default_rng(1)
@@ -109,7 +160,9 @@ def test_bounds_hold():
         assert near_dedup._most(near_dedup._bits(a), len(a), near_dedup._bits(b), len(b)) >= len(np.intersect1d(a, b))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("links_a_task", [1 << 18, 16])
+def test_components(spark, monkeypatch, links_a_task):
+    monkeypatch.setattr(near_dedup, "LINKS", links_a_task)
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 600)]
     up = {x: x for e in links for x in e}
@@ -122,7 +175,7 @@ def test_components(spark):
     for a, b in links:
         x, y = top(a), top(b)
         up[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()}
     assert got == {i: top(i) for i in up if i != top(i)}
 
 
