@@ -15,6 +15,10 @@ The first four are the base kinds; they always stay, whatever the context says (
 score is never below the threshold).  A context word within ``REACH`` characters before
 the span adds ``BONUS``.
 
+Time is linear in the length of a text, in its longest run and, but for blocks of ``BLOCK``, in its
+matches: places are running sums over what lies between matches, and the context of a match is put
+together from the ends of the pieces before it.
+
 The patterns are written with possessive quantifiers and a look-behind or ``\\G`` that only
 lets a match begin where the leftmost match can begin.  That changes no match; it keeps
 the time linear on very long runs and needs no stack.  The proposal for an IBAN takes in what
@@ -27,6 +31,8 @@ string); each input row gives one output row, repeated ids too; extra columns ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +41,10 @@ from chronofold.llm.common import fenced, let, text_of
 THRESHOLD = 0.5
 BONUS = 0.3
 REACH = 40
+#: Matches that a running array is grown by one after another; blocks of them are then joined.
+BLOCK = 128
+#: A context reaches over so many earlier matches at most, as none is shorter than four characters.
+EARLIER = REACH // 4
 
 _LOCAL = r"A-Za-z0-9._%+-"
 # Proposal patterns and the characters a text must hold for each to match.
@@ -113,35 +123,61 @@ def _spans(t: Column, kind: str) -> Column:
     pattern, needs, base, words = KINDS[kind]
     may = (F.instr(t, needs) > 0) if needs else t.rlike("[0-9][\\x20-]?[0-9]")
 
-    def ends(m: Column) -> Column:
-        """What lies between the matches gives their places: end k sums gaps and matches up to k."""
-        both = F.zip_with(F.slice(F.split(t, pattern, -1), F.lit(1), F.size(m)), m, lambda g, x: F.length(g) + taken(x))
-        grow = lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n))
-        return F.when(F.size(m) > 0, F.aggregate(both, F.array().cast("array<int>"), grow))
+    def gaps(m: Column) -> Column:
+        """What lies before each match."""
+        return F.slice(F.split(t, pattern, -1), F.lit(1), F.size(m))
+
+    def contexts(m: Column, g: Column) -> Column:
+        """The end of the text before each match, ``REACH`` characters at most."""
+        end = lambda x: F.right(x, F.lit(REACH))
+        used = lambda x: F.left(x, F.lit(4)) if kind == "iban" else x
+        before = F.transform(g, lambda x, i: F.concat(F.when(i > 0, end(used(F.get(m, i - 1)))).otherwise(F.lit("")), end(x)))
+        first = lambda i: F.greatest(i - EARLIER, F.lit(0)) + 1
+        return let(before, lambda p: F.transform(p, lambda _, i: end(F.array_join(F.slice(p, first(i), i + 2 - first(i)), ""))))
+
+    def ends(m: Column, g: Column) -> Column:
+        """End k sums gaps and matches up to k."""
+        lengths = F.zip_with(g, m, lambda x, y: F.length(x) + taken(y))
+        grow = lambda r, n: F.struct((r["at"] + n).alias("at"), F.concat(r["out"], F.array(r["at"] + n)).alias("out"))
+        return _scanned(lengths, "int", grow)
 
     def taken(x: Column) -> Column:
         """What a match uses up; that of an IBAN is its first four characters, so that runs may overlap."""
         return F.lit(4) if kind == "iban" else F.length(x)
 
-    def scored(x: Column, end: Column) -> Column:
+    def scored(x: Column, end: Column, before: Column) -> Column:
         if kind == "iban":
-            return let(_iban(x), lambda y: placed(F.coalesce(y, F.lit("")), end - taken(x), y.isNotNull()))
-        return placed(x, end - taken(x), _valid(kind, x))
+            return let(_iban(x), lambda y: placed(F.coalesce(y, F.lit("")), end - taken(x), y.isNotNull(), before))
+        return placed(x, end - taken(x), _valid(kind, x), before)
 
-    def placed(x: Column, start: Column, valid: Column) -> Column:
-        before = F.substring(t, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
+    def placed(x: Column, start: Column, valid: Column, before: Column) -> Column:
         near = before.rlike(rf"(?i)\b(?:{words})")
         score = F.least(F.lit(1.0), F.lit(base) + F.when(near, F.lit(BONUS)).otherwise(F.lit(0.0)))
         return F.struct(start.alias("s"), (start + F.length(x)).alias("e"), F.when(valid, score).otherwise(F.lit(0.0)).alias("score"))
 
+    def all_scored(m: Column) -> Column:
+        return let(gaps(m), lambda g: let(ends(m, g), lambda e: let(contexts(m, g), lambda c: F.transform(m, lambda x, i: scored(x, F.get(e, i), F.get(c, i))))))
+
     matches = F.when(may, F.regexp_extract_all(t, F.lit(pattern), F.lit(1 if kind == "iban" else 0)))
-    spans = let(matches, lambda m: let(ends(m), lambda e: F.transform(m, lambda x, i: scored(x, F.get(e, i)))))
-    found = F.filter(spans, lambda x: x["score"] >= THRESHOLD)
-    none = F.array().cast("array<struct<s:int,e:int,score:double>>")
+    found = F.filter(let(matches, lambda m: F.when(F.size(m) > 0, all_scored(m))), lambda x: x["score"] >= THRESHOLD)
+    shape = "struct<s:int,e:int,score:double>"
     if kind == "iban":  # of overlapping ones the first stays
-        clear = lambda a, x: F.coalesce(F.try_element_at(a, F.lit(-1))["e"], F.lit(0)) <= x["s"]
-        found = F.aggregate(found, none, lambda a, x: F.when(clear(a, x), F.concat(a, F.array(x))).otherwise(a))
-    return F.coalesce(found, none)
+        grow = lambda r, x: F.when(r["at"] <= x["s"], F.struct(x["e"].alias("at"), F.concat(r["out"], F.array(x)).alias("out"))).otherwise(r)
+        found = let(found, lambda x: _scanned(x, shape, grow))
+    return F.coalesce(found, F.array().cast(f"array<{shape}>"))
+
+
+def _scanned(items: Column, shape: str, grow: Callable[[Column, Column], Column]) -> Column:
+    """The array ``out`` of a state (at int, out) that ``grow`` carries over the items, from 0 and nothing."""
+    none = F.array().cast(f"array<{shape}>")
+    state = lambda at, out: F.struct(at.cast("int").alias("at"), out.alias("out"))
+
+    def block(x: Column, r: Column, b: Column) -> Column:
+        own = F.aggregate(F.slice(x, b, F.lit(BLOCK)), state(r["at"], none), grow)
+        return let(own, lambda o: state(o["at"], F.concat(r["out"], o["out"])))
+
+    blocks = lambda x: F.aggregate(F.sequence(F.lit(1), F.size(x), F.lit(BLOCK)), state(F.lit(0), none), lambda r, b: block(x, r, b))
+    return let(items, lambda x: F.when(F.size(x) > 0, blocks(x)["out"]))
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -145,3 +145,28 @@ def test_iban_ends_where_its_country_says(spark):
     for i, spans in enumerate(want):
         got = [x for x in out[i].split(",") if x.startswith("iban")]
         assert got == [f"iban:{s}:{e}" for s, e in spans], rows[i][:60]
+
+
+def test_many_matches_in_one_text(spark):
+    """Time and places hold for very many matches; contexts reach over short matches and gaps."""
+    many = "".join(f"write to u{i}@h{i}.org, " for i in range(16_000))
+    rows = [(1, many), (2, "ssn: 123-45-6789, 123-45-6780 " + "x" * 60 + " 123-45-6781"), (3, "GB82 WEST 1234 5698 7654 32, " * 700)]
+    out = {r.doc_id: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = ",".join(f"email:{s}:{e}" for s, _, e in base_spans(many))
+    assert out[1].spans == want and out[1].n_email == 16_000
+    assert out[2].spans == "ssn:5:16,ssn:18:29"
+    assert out[3].spans == ",".join(f"iban:{29 * i}:{29 * i + 27}" for i in range(700))
+
+
+def test_context_is_the_text_before(spark):
+    """A context word counts within the reach, over other matches, and nowhere else."""
+    rows, want = [], []
+    for gap in range(0, 60, 3):
+        t = f"ssn {'.' * gap} 123-45-6789"
+        rows.append((len(rows), t))
+        want.append("ssn" in t[max(0, t.index("1") - pii.REACH) : t.index("1")])
+        t = f"ssn 1.2.3.4 {'-' * (gap // 6)} 900-12-3456 {'.' * (gap // 2)} 123-45-6789"
+        rows.append((len(rows), t))
+        want.append("ssn" in t[max(0, t.index("123-") - pii.REACH) : t.index("123-")])
+    out = {r.doc_id: "ssn:" in r.spans for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(len(rows))] == want
