@@ -2,36 +2,40 @@
 
 Writing.  Payloads are told apart by SHA-256 and length on a narrow table; the page with the
 smallest page_id of a large equal group is its response, the others become revisit records
-that name it and carry no payload.  A page's record is one string; Spark's text writer, with
-CRLF between rows, lays records end to end, so each part file is a WARC/1.1 archive, plain or
-one gzip member, on whatever store the folder is in.  ``pack`` makes the same records, plain
-or one gzip member each, from plain values.
+that name it and carry no payload.  Each record becomes a gzip member of its own, and Spark's
+text writer lays members end to end, so each part file is a WARC/1.1 archive on whatever store
+the folder is in.  The writer ends every row with one byte; that byte is the last of the member,
+the highest of its length, which is zero below 16 MiB (a longer record is followed by an empty
+member, whose last byte it is).  Plain archives have CRLF there.  ``pack`` makes the same records
+from plain values.
 
 Reading.  ``salvage`` walks one archive.  A record is taken if its version line, headers,
 length and end all check and its digest agrees; after a failed check the reader searches for
 the next version line or gzip member header behind the failure that checks, recovers from
-there, and reports the bytes between as a quarantined gap with the reason.
+there, and reports the bytes between as a quarantined gap with the reason.  So damage within an
+archive written here costs the records it lies in and no other.
 
 Special cases: null html is an empty payload; payloads under ``MIN_REVISIT`` bytes are always
 responses; of repeated rows (same page_id and payload) one is the response and the rest
-revisit it; null page ids rank after all others and their records carry none; an empty table
-writes no record; extra columns are ignored.
+revisit it; null page ids rank after all others and their records carry none; very long pages get
+archives of few records; an empty table writes no record; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from datetime import UTC, datetime
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import checkpoint_dir, cut
+from chronofold.llm.common import cut, own_folder
 
 MIN_REVISIT = 100
 VERSION = "WARC/1.1"
@@ -43,6 +47,8 @@ RECORDS_PER_ARCHIVE = 1_000
 ARCHIVE_BYTES = 1 << 27
 
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_LENGTH = re.compile("[0-9]{1,18}")
+_ID = re.compile("-?[0-9]{1,18}")
 _MEMBER = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
@@ -65,10 +71,22 @@ def pack(headers: dict[str, str], payload: bytes, compressed: bool = False) -> b
     """One record; its length is set here."""
     lines = [VERSION, *[f"{k}: {v}" for k, v in headers.items()], f"Content-Length: {len(payload)}", "", ""]
     record = CRLF.join(lines).encode() + payload + b"\r\n\r\n"
-    if not compressed:
-        return record
+    return _member(record) if compressed else record
+
+
+def _member(data: bytes) -> bytes:
+    """One gzip member."""
     c = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return c.compress(record) + c.flush()
+    return c.compress(data) + c.flush()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records as members that lack their last byte, which is zero."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 100):
+            members = [_member(x.as_py()) for x in batch.column("record").slice(a, 100)]
+            members = [m if m.endswith(b"\0") else m + _member(b"") for m in members]
+            yield pa.record_batch({"value": pa.array([m[:-1] for m in members], pa.binary())})
 
 
 def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -85,8 +103,10 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         headers[name.decode("latin-1").lower()] = value.decode("utf-8", "replace").strip()
         at = stop + 2
     length = headers.get("content-length", "")
-    if not length.isdigit():
+    if not _LENGTH.fullmatch(length):
         raise ValueError("no content length")
+    if not _LENGTH.fullmatch(headers.get("warc-payload-length", "0")):
+        raise ValueError("malformed payload length")
     start, end = stop + 2, stop + 2 + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("record does not end where its length says")
@@ -99,53 +119,94 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
     """What the gzip member at ``at`` holds, as far as it can be read, where it ends, and what failed."""
-    d, out = zlib.decompressobj(31), []
-    try:
-        for k in range(at, len(data), 1 << 16):
-            out.append(d.decompress(memoryview(data)[k : k + (1 << 16)]))
-            if d.eof:
-                return b"".join(out), min(k + (1 << 16), len(data)) - len(d.unused_data), ""
-    except zlib.error as e:
-        return b"".join(out), len(data), f"gzip: {e}"
+    d, out, view = zlib.decompressobj(31), [], memoryview(data)
+    step = 1 << 16
+    while at < len(data):
+        before = d.copy() if step > 1 else None
+        try:
+            out.append(d.decompress(view[at : at + step]))
+        except zlib.error as e:
+            if before is None:
+                return b"".join(out), len(data), f"gzip: {e}"
+            d, step = before, 1  # once more, byte by byte, for what comes before the failure
+            continue
+        at = min(at + step, len(data))
+        if d.eof:
+            return b"".join(out), at - len(d.unused_data), ""
     return b"".join(out), len(data), "gzip member without end"
 
 
+@dataclass
+class _Walk:
+    """How far the records of some bytes have been read."""
+
+    data: bytes
+    at: int = 0
+    out: list[Record | Gap] = field(default_factory=list)
+    bad: int | None = None
+    reason: str = ""
+    member: tuple[bool, int, str] = (True, 0, "")
+
+    def settle(self, found: list[Record | Gap], end: int, why: str) -> None:
+        """Takes what was found at ``at``; a failure goes on at the next line or header that may begin a record."""
+        if self.bad is not None and found:
+            self.out.append(Gap(self.bad, self.at, self.reason))
+            self.bad = None
+        self.out += found
+        if why:
+            if self.bad is None:
+                self.bad, self.reason = self.at, why
+            end = self.next()
+        self.at = end
+
+    def next(self) -> int:
+        """Where a record may begin behind ``at``."""
+        later = _MEMBER.search(self.data, self.at + 1)
+        return later.start() if later else len(self.data)
+
+    def unwrapped(self, found: list[Record | Gap]) -> None:
+        """Takes what the member at ``at`` holds."""
+        empty, end, why = self.member
+        end = self.next() if why else end
+        found = [x._replace(offset=self.at, end=end) for x in found]
+        if not any(isinstance(x, Record) for x in found):
+            if not empty or why:  # an archive without records has none to lose
+                found, why = [], why or "gzip member without a record"
+        elif why:
+            found = [x for x in found if isinstance(x, Record)]
+        self.settle(found, end, why)
+
+
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """Records and gaps of one archive in order; together they cover all its bytes.
 
-    A member may hold one record or many; its records carry the member's range.  A member that
-    breaks off gives the records before the break, and a gap.
+    A member may hold one record, many, or members in turn, to any depth; its records carry the
+    member's range.  A member that breaks off gives the records before the break, and a gap.
     """
-    at, bad, reason = 0, None, ""
-    while at < len(data):
-        end, why, found = at, "", []
-        if data[at : at + 2] == b"\x1f\x8b":
-            inner, end, why = _inflate(data, at)
-            found = [x._replace(offset=at, end=end) for x in salvage(inner)]
-            if not inner and not why:
-                pass  # an archive without records
-            elif not any(isinstance(x, Record) for x in found):
-                found, why = [], why or "gzip member without a record"
-            elif why:
-                found = [x for x in found if isinstance(x, Record)]
-        else:
+    walks = [_Walk(data)]
+    while True:
+        w = walks[-1]
+        if w.at < len(w.data) and w.data[w.at : w.at + 2] == b"\x1f\x8b":
+            inner, end, why = _inflate(w.data, w.at)
+            w.member = (not inner, end, why)
+            walks.append(_Walk(inner))
+        elif w.at < len(w.data):
             try:
-                headers, payload, end = _plain(data, at)
-                found = [Record(headers, payload, at, end)]
+                headers, payload, end = _plain(w.data, w.at)
+                w.settle([Record(headers, payload, w.at, end)], end, "")
             except ValueError as e:
-                why = str(e)
-        if bad is not None and found:
-            yield Gap(bad, at, reason)
-            bad = None
-        yield from found
-        if why:
-            if bad is None:
-                bad, reason = at, why
-            later = _MEMBER.search(data, at + 1)
-            end = later.start() if later else len(data)
-        at = end
-    if bad is not None:
-        yield Gap(bad, len(data), reason)
+                w.settle([], w.at, str(e))
+        else:
+            if w.bad is not None:
+                w.out.append(Gap(w.bad, len(w.data), w.reason))
+            walks.pop()
+            if walks:
+                walks[-1].unwrapped(w.out)
+        if len(walks) <= 1:
+            yield from w.out if not walks else walks[0].out
+            if not walks:
+                return
+            walks[0].out = []
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -169,6 +230,7 @@ def records(pages: DataFrame) -> DataFrame:
     record = F.concat(
         F.lit(VERSION + CRLF),
         line("WARC-Type", F.when(F.col("_revisit"), F.lit("revisit")).otherwise(F.lit("response"))),
+        line("WARC-Date", F.lit(datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("_id"), F.lit(":"), F.col("_copy"), F.lit(">"))),
         line("WARC-Target-URI", uri),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("_sha"))),
@@ -185,7 +247,7 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str, compression: str = "gzip") -> None:
-    """Archives of all rows below ``folder``; every part file is one archive.
+    """Archives of all rows below ``folder``, a gzip member for each record or none; every part file is one archive.
 
     Large pages go by their size into archives of fewer records, so that no archive of several
     records has more than ``ARCHIVE_BYTES`` of payload.
@@ -196,14 +258,19 @@ def write(pages: DataFrame, folder: str, compression: str = "gzip") -> None:
     while low < largest:
         fit = made if mode == "overwrite" and high >= largest else made.filter(F.col("payload_bytes").between(low + 1, high))
         most = min(RECORDS_PER_ARCHIVE, max(1, ARCHIVE_BYTES // high))
-        fit.select("record").write.option("lineSep", CRLF).option("compression", compression).option("maxRecordsPerFile", most).mode(mode).text(folder)
+        if compression == "gzip":
+            members = fit.select(F.concat("record", F.lit(CRLF)).cast("binary").alias("record")).mapInArrow(_packed, "value binary")
+            lines, last = members.select(F.col("value").cast("string").alias("value")), "\0"
+        else:
+            lines, last = fit.select("record"), CRLF
+        lines.write.option("lineSep", last).option("maxRecordsPerFile", most).mode(mode).text(folder)
         low, high, mode = high, high * 4, "append"
 
 
 def _page(uri: str) -> int | None:
     """The page id in <urn:page:ID:COPY>."""
     name = uri.strip("<>").split(":")[2:3]
-    return int(name[0]) if name and name[0].lstrip("-").isdigit() else None
+    return int(name[0]) if name and _ID.fullmatch(name[0]) else None
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -243,7 +310,6 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes archives to the shared folder and reads them back: one row per page, then any gaps."""
-    spark = pages.sparkSession
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = own_folder(pages.sparkSession, "warc")
     write(pages, folder)
-    return read(spark, folder)
+    return read(pages.sparkSession, folder)

@@ -358,3 +358,43 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     model = sentencepiece.SentencePieceProcessor(model_file=TOKENIZER)
     assert {i: r.ids for i, r in rows[5].items()} == {i: model.encode(r.text) for i, r in rows[4].items()}
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == Counter(list(rows[5]))
+
+
+def test_a_flipped_byte_costs_one_record(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>" * (20 + i)) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "w"))
+    parts = [p for p in sorted((tmp_path / "w").glob("part-*")) if p.stat().st_size]
+    whole = parts[0].read_bytes()
+    held = len(list(warc.salvage(whole)))
+    assert held > 5 and all(isinstance(x, warc.Record) and "warc-date" in x.headers for x in warc.salvage(whole))
+    rng = random.Random(2)
+    for _ in range(40):
+        data = bytearray(whole)
+        data[rng.randrange(len(data))] ^= 1 << rng.randrange(8)
+        found = list(warc.salvage(bytes(data)))
+        assert sum(isinstance(x, warc.Record) for x in found) >= held - 1
+        covered = sorted({(x.offset, x.end) for x in found})
+        assert covered[0][0] == 0 and covered[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(covered, covered[1:], strict=False))
+
+
+def test_long_records_end_with_an_empty_member(spark, tmp_path):
+    long = "".join(f"{i:x}" for i in range(3_600_000))  # above 16 MiB
+    pages = spark.createDataFrame([(1, "u", long), (2, "u", "short"), (3, "u", long)], "page_id long, url string, html string").coalesce(1)
+    assert len(long) > 1 << 24
+    warc.write(pages, str(tmp_path / "w"))
+    rows = {r.page_id: r for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    assert set(rows) == {1, 2, 3} and all(r.reason is None for r in rows.values())
+    assert rows[1].payload_bytes == rows[3].payload_bytes == len(long) and rows[3].refers_to == 1
+
+
+def test_malformed_headers_and_deep_nesting_are_quarantined():
+    good = warc.pack({"WARC-Type": "response"}, b"x" * 200)
+    bad = warc.pack({"WARC-Type": "revisit", "WARC-Payload-Length": "many", "WARC-Record-ID": "<urn:page:--5:1>"}, b"")
+    found = list(warc.salvage(good + bad + good))
+    assert [type(x).__name__ for x in found] == ["Record", "Gap", "Record"] and found[1].reason == "malformed payload length"
+    assert warc._page("<urn:page:--5:1>") is None and warc._page("<urn:page:-5:1>") == -5
+    nested = good
+    for _ in range(1500):
+        nested = warc._member(nested)
+    found = list(warc.salvage(nested + good))
+    assert [x.payload for x in found] == [b"x" * 200] * 2 and found[0].end == len(nested) == found[1].offset
