@@ -5,13 +5,12 @@ Each stage takes (spark, docs, sf_dir); all but the last return the columns of `
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from chronofold.llm import exact_dedup, mixing, near_dedup, pieces, quality
-from chronofold.llm.common import checkpoint_dir, documents
+from chronofold.llm.common import documents, own_folder
 from chronofold.llm.queries import TOKENIZER
 
 
@@ -55,7 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; each but the last is written to the shared folder and read again."""
     docs = documents(spark, sf_dir)
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = own_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
