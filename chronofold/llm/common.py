@@ -63,19 +63,23 @@ class Cuts:
     """Tables written between the steps of an operator to the shared folder, so that a lost executor costs
     nothing upstream; the shuffle files behind a table go once it is written, and the table with ``free``."""
 
-    FREEING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    #: While a table is written; rows hold whole sets of shingles, so Python gets few of them at a time.
+    SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.folder, self.number = spark, own_folder(spark, "cut"), count()
         self.files, self.paths = Files(spark, self.folder), {}
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        path, before = f"{self.folder}/{next(self.number)}", self.spark.conf.get(self.FREEING, None)
-        self.spark.conf.set(self.FREEING, "true")
+        path, conf = f"{self.folder}/{next(self.number)}", self.spark.conf
+        before = {k: conf.get(k, None) for k in self.SETTINGS}
         try:
+            for k, v in self.SETTINGS.items():
+                conf.set(k, v)
             df.write.parquet(path)
         finally:
-            self.spark.conf.unset(self.FREEING) if before is None else self.spark.conf.set(self.FREEING, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
