@@ -13,7 +13,7 @@ from pyspark.sql import Row, SparkSession
 from chronofold.plans.query import Query
 from chronofold.plans.rows import cell, to_json
 from chronofold.plans.sexpr import parse_filter, parse_metrics, parse_order
-from chronofold.sources.ndjson import ingest_lines, parse_time
+from chronofold.sources.ndjson import ingest_files, ingest_lines, parse_time
 from chronofold.sources.store import Store
 
 DEFAULT_DAYS = 30
@@ -35,6 +35,7 @@ def _parser() -> argparse.ArgumentParser:
     i = commands.add_parser("ingest", help="append newline-delimited JSON from a file or the standard input")
     i.add_argument("--file", default="-")
     i.add_argument("--batch-size", type=int, default=1000)
+    i.add_argument("--parallel", action="store_true", help="parse files of any size, a folder or a pattern on the executors, as one batch")
     c = commands.add_parser("compact", help="keep the last row of every key")
     c.add_argument("--key", required=True)
     c.add_argument("--include-active", action="store_true")
@@ -75,6 +76,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     store = Store(spark, args.store, args.partition_format)
     began = time.time()
     if args.command == "ingest":
+        if args.parallel:
+            ingest_files(spark, store, args.dataset, args.file)
+            return 0
         if args.file == "-":
             n = ingest_lines(store, args.dataset, sys.stdin, args.batch_size)
         else:

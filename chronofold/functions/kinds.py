@@ -48,6 +48,14 @@ def stored(column: Column, kind: T.DataType) -> Column:
     return F.to_json(column) if isinstance(kind, T.StructType | T.ArrayType | T.MapType) else column.cast("string")
 
 
+def cut_text(column: Column) -> Column:
+    """A text column with long texts cut to ``MAX_STRING_BYTES`` of UTF-8, between characters."""
+    raw, most = column.cast("binary"), MAX_STRING_BYTES
+    within = lambda k: F.substring(F.hex(F.substring(raw, k + 1, 1)), 1, 1).isin("8", "9", "A", "B")
+    end = F.when(~within(most), most).when(~within(most - 1), most - 1).when(~within(most - 2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(column) > most, F.substring(raw, F.lit(1), end).cast("string")).otherwise(column)
+
+
 def stored_value(value: Any) -> tuple[Kind, Any]:
     """A Python value as it is stored, with its kind."""
     if isinstance(value, bool):

@@ -19,7 +19,10 @@ def as_time(row: Row, name: str) -> datetime:
     if isinstance(value, date):
         return datetime(value.year, value.month, value.day, tzinfo=UTC)
     if isinstance(value, int | float) and not isinstance(value, bool):
-        return datetime.fromtimestamp(value, UTC)
+        try:
+            return datetime.fromtimestamp(value, UTC)
+        except (ValueError, OverflowError, OSError):
+            return ZERO_TIME
     try:
         found = datetime.fromisoformat(value)
     except (TypeError, ValueError):

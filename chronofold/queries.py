@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.operators import sketches
-from chronofold.operators.filters import And, Eq, Exists, Filter, Gt, Gte, In, Lt, Lte, NotExists, NotIn, Or
-from chronofold.operators.metrics import P50, P75, P90, P95, P99, P999, Avg, Count, CountDistinct, Max, Metric, Min, Sum
+from chronofold.cli import render
+from chronofold.operators import partials, sketches
+from chronofold.operators.filters import And, Eq, Exists, Filter, Gt, Gte, In, Lt, Lte, NotExists, NotIn, Or, matches
+from chronofold.operators.metrics import P50, P75, P90, P95, P99, P999, Avg, Count, CountDistinct, Max, Metric, Min, Percentile, Sum
 from chronofold.plans.query import OrderBy, Query, run_query
+from chronofold.plans.rows import as_float, as_int, as_text, as_time, to_json
 from chronofold.plans.sexpr import parse_filter, parse_metrics, parse_order
 from chronofold.sources.ndjson import ingest_files
-from chronofold.sources.store import Store
+from chronofold.sources.partitioning import partitioner
+from chronofold.sources.store import RowInput, Store
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -90,7 +94,12 @@ FROM lineitem GROUP BY 1, 2
 def scratch(spark: SparkSession) -> str:
     """A new folder that the driver and all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/chronofold-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/chronofold-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)  # when the session's JVM ends
+    return folder
 
 
 def _stored_orders(spark: SparkSession, sf_dir: str) -> Store:
@@ -191,21 +200,242 @@ FROM {EVENTS} WHERE (event_type IN ('view', 'click') OR amount IS NOT NULL) AND
 """
 
 
+#: At this precision distinct sketches are exact up to some hundred thousand values.
+EXACT_USERS = 21
+
+
 def sketch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily sketches merged over all days: whether the estimates lie within the promised errors of the exact values."""
+    """Daily distinct sketches merged over all days; below their exact bound they give the exact count."""
     rows = events(spark, sf_dir).withColumn("day", F.floor(F.col("timestamp") / 86400))
-    daily = rows.groupBy("event_type", "day").agg(
-        sketches.distinct_sketch("user_id").alias("d"), sketches.quantile_sketch("value").alias("q"), F.count(F.lit(1)).alias("n")
-    )
-    merged = daily.groupBy("event_type").agg(sketches.merged_distinct("d").alias("d"), sketches.merged_quantiles("q").alias("q"), F.sum("n").alias("n"))
-    exact = rows.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.percentile("value", F.array(F.lit(0.4), F.lit(0.6))).alias("around"))
-    joined = merged.join(exact, "event_type")
-    users, median = sketches.distinct_estimate("d"), sketches.quantile_estimate("q", 0.5)
-    near = F.abs(users - F.col("users")) <= F.col("users") * 0.05
-    return joined.select("event_type", F.col("n").alias("count"), near.alias("users_near"), median.between(F.get("around", F.lit(0)), F.get("around", F.lit(1))).alias("median_near"))
+    daily = rows.groupBy("event_type", "day").agg(sketches.distinct_sketch("user_id", EXACT_USERS).alias("d"), F.count(F.lit(1)).alias("n"))
+    merged = daily.groupBy("event_type").agg(sketches.merged_distinct("d").alias("d"), F.sum("n").alias("count"))
+    return merged.select("event_type", "count", sketches.distinct_estimate("d").alias("users"))
+
+
+SKETCH_SQL = 'SELECT event_type, count(*) AS "count", count(DISTINCT user_id) AS users FROM events GROUP BY 1'
+
+
+def quantile_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily quantile sketches merged over all days: whether the exact rank of each estimate is within 2 % of the one asked for."""
+    rows = events(spark, sf_dir).withColumn("day", F.floor(F.col("timestamp") / 86400))
+    daily = rows.groupBy("event_type", "day").agg(sketches.quantile_sketch("value").alias("q"))
+    merged = daily.groupBy("event_type").agg(sketches.merged_quantiles("q").alias("q"))
+    asked = merged.select("event_type", *[sketches.quantile_estimate("q", q).alias(n) for n, q in (("low", 0.25), ("mid", 0.5), ("high", 0.95))])
+    ranks = rows.join(F.broadcast(asked), "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("count"), *[F.avg((F.col("value") <= F.col(n)).cast("int")).alias(n) for n in ("low", "mid", "high")])
+    return ranks.select("event_type", "count", *[(F.abs(F.col(n) - q) <= 0.02).alias(n) for n, q in (("low", 0.25), ("mid", 0.5), ("high", 0.95))])
+
+
+def partial_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of the metrics by day, merged by event type: the exact kinds."""
+    rows = events(spark, sf_dir).withColumn("day", F.floor(F.col("timestamp") / 86400))
+    metrics = [Count(), Sum("value"), Avg("amount"), Min("user_id"), Max("value")]
+    daily = partials.partial(rows, ["event_type", "day"], metrics)
+    return rounded(partials.finished(partials.merged(daily, ["event_type"], metrics), ["event_type"], metrics))
+
+
+PARTIAL_SQL = f"""
+SELECT event_type, count(*) AS "count", round(sum(value), 6) AS "sum(value)", coalesce(round(avg(amount), 6), 0) AS "avg(amount)",
+       min(user_id) AS "min(user_id)", max(value) AS "max(value)" FROM {EVENTS} GROUP BY 1
+"""
+
+
+def positions(**query) -> Run:
+    """A query's rows with their places in its order."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        result = over_events(**query)(spark, sf_dir)
+        return result.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
+
+    return run
+
 
+def _ordered(order_by: str, fields: list[OrderBy], dims: str = "event_type, bot") -> tuple[Run, str]:
+    names = dims.split(", ")
+    sql = f'WITH r AS (SELECT {dims}, count(*) AS "count", round(sum(amount), 6) AS s FROM {EVENTS} GROUP BY ALL) SELECT {dims}, "count", coalesce(s, 0) AS "sum(amount)", row_number() OVER (ORDER BY {order_by}) AS position FROM r'
+    return positions(dimensions=names, metrics=[Count(), Sum("amount")], order_by=fields), sql
 
-SKETCH_SQL = 'SELECT event_type, count(*) AS "count", true AS users_near, true AS median_near FROM events GROUP BY 1'
+
+def count_text_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketches.count_in_range(events(spark, sf_dir), "event_type", "click", JAN_10, JAN_20)
+    return spark.createDataFrame([(found,)], "n bigint")
+
+
+def rows_and_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a small table taken in one by one and in a batch; ids are dense in each partition, also after reopening."""
+    known = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
+    made = [RowInput(r.n_nationkey * 10 * 86400, {"name": r.n_name, "key": int(r.n_nationkey), "list": [r.n_name, 1]}) for r in known]
+    folder = scratch(spark)
+    for row in made[:3]:
+        Store(spark, folder, "month").ingest_row("nations", row)
+    Store(spark, folder, "month").ingest_batch("nations", made[3:])
+    return Store(spark, folder, "month").read("nations")
+
+
+BATCH_SQL = """
+WITH n AS (SELECT n_nationkey AS k, n_name, strftime(TIMESTAMP '1970-01-01' + INTERVAL (n_nationkey * 10) DAY, '%Y-%m') AS p FROM nation)
+SELECT (k * 864000)::BIGINT AS "timestamp", row_number() OVER (PARTITION BY p ORDER BY k) - 1 AS _row_id, k::BIGINT AS "key",
+       '["' || n_name || '",1]' AS list, n_name AS name, p AS _partition FROM n
+"""
+
+
+def type_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of another kind is refused as a whole; what was there stays."""
+    store = Store(spark, scratch(spark), "year")
+    rows = events(spark, sf_dir)
+    store.ingest_df("events", rows.select("timestamp", "event_type", "value"))
+    refused = 0
+    for bad in (rows.select("timestamp", "event_type", F.col("value").cast("string")), rows.select("timestamp", F.col("value").alias("event_type"))):
+        try:
+            store.ingest_df("events", bad)
+        except TypeError:
+            refused += 1
+    return store.read("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("count"), F.lit(refused).alias("refused"))
+
+
+def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times written as RFC 3339 in another zone, as dates and as numbers with a fraction, parsed from JSON lines."""
+    folder = scratch(spark)
+    rows = table(spark, sf_dir, "events", "ts")
+    local = F.date_format(F.convert_timezone(F.lit("UTC"), F.lit("Asia/Kolkata"), F.col("at")), "yyyy-MM-dd'T'HH:mm:ss")
+    at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("timestamp").cast("decimal(18,6)"))
+    shape = F.col("user_id") % 3
+    text = F.when(shape == 0, F.concat(F.lit('"'), local, F.lit('+05:30"'))).when(shape == 1, F.concat(F.lit('"'), F.date_format("at", "yyyy-MM-dd"), F.lit('"')))
+    text = F.coalesce(text, F.concat(F.col("timestamp").cast("string"), F.lit(".75")))
+    lines = rows.withColumn("at", at).select(F.concat(F.lit('{"shape":'), shape, F.lit(',"timestamp":'), text, F.lit("}")).alias("value"))
+    lines.write.text(f"{folder}/lines")
+    store = Store(spark, f"{folder}/store", "day")
+    ingest_files(spark, store, "events", f"{folder}/lines")
+    return store.query(Query(**ALL, dataset="events", dimensions=["shape"], metrics=[Count(), Sum("timestamp")]))
+
+
+TIMES_SQL = """
+SELECT user_id % 3 AS shape, count(*) AS "count", sum(CASE WHEN user_id % 3 = 1 THEN epoch(date_trunc('day', ts)) ELSE floor(epoch(ts)) END)::BIGINT AS "sum(timestamp)" FROM events GROUP BY 1
+"""
+
+
+def long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts beyond the bound are cut between characters, for DataFrames as for batches."""
+    store = Store(spark, scratch(spark), "year")
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lit(0).alias("timestamp"), "n_nationkey", F.repeat(F.concat(F.lit("é"), "n_name"), F.lit(150_000)).alias("text"))
+    store.ingest_df("nations", rows)
+    return store.read("nations").select("n_nationkey", F.octet_length("text").alias("bytes"), F.length("text").alias("chars"))
+
+
+LONG_SQL = """
+WITH t AS (SELECT n_nationkey, length(n_name) + 2 AS w, length(n_name) + 1 AS c FROM nation),
+     b AS (SELECT *, least(w * 150000, 1048576) AS n FROM t),
+     k AS (SELECT *, CASE WHEN n % w = 1 THEN n - 1 ELSE n END AS bytes FROM b)
+SELECT n_nationkey::BIGINT AS n_nationkey, bytes::INTEGER AS bytes, (bytes // w * c + CASE WHEN bytes % w > 0 THEN bytes % w - 1 ELSE 0 END)::INTEGER AS chars FROM k
+"""
+
+
+def partition_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many daily partitions a query scans, leaves out by its range, and leaves out as their kinds cannot match."""
+    store = Store(spark, scratch(spark), "day")
+    rows = events(spark, sf_dir)
+    store.ingest_df("events", rows.filter(F.col("timestamp") < JAN_10).select("timestamp", "value"))
+    store.ingest_df("events", rows.filter(F.col("timestamp") >= JAN_10).select("timestamp", F.col("value").cast("string").alias("value")))
+    told = store.explain(Query(dataset="events", start=0, end=JAN_20, metric=Count(), filter=Gt("value", 1.0)))
+    return spark.createDataFrame([(told.total, len(told.scanned), len(told.pruned), len(told.unmatched))], "total bigint, scanned bigint, pruned bigint, unmatched bigint")
+
+
+CHOICE_SQL = """
+WITH d AS (SELECT DISTINCT date_trunc('day', ts) AS d FROM events)
+SELECT count(*) AS total, count(*) FILTER (d < TIMESTAMP '2024-01-10') AS scanned, count(*) FILTER (d >= TIMESTAMP '2024-01-20') AS pruned,
+       count(*) FILTER (d >= TIMESTAMP '2024-01-10' AND d < TIMESTAMP '2024-01-20') AS unmatched FROM d
+"""
+
+
+def row_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter on plain rows, and its text."""
+    node = And(Or(Gt("n_name", "M"), Lt("n_regionkey", 2)), NotIn("n_nationkey", 3, 4), Exists("n_name"), NotExists("none"))
+    known = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("bigint"), "n_name", F.col("n_regionkey").cast("bigint")).collect()
+    return spark.createDataFrame([(r.n_name, str(node)) for r in known if matches(node, r.asDict())], "n_name string, filter string")
+
+
+MATCH_SQL = """
+SELECT n_name, '(And (Or (Gt n_name M) (Lt n_regionkey 2)) (NotIn n_nationkey 3 4) (Exists n_name) (NotExists none))' AS filter
+FROM nation WHERE (n_name > 'M' OR n_regionkey < 2) AND n_nationkey NOT IN (3, 4)
+"""
+
+
+def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows read as Python values, as JSON and as a table."""
+    found = over_events(dimensions=["event_type"], metrics=[Count(), Max("timestamp"), Max("value")])(spark, sf_dir).collect()
+    lines = render(found, found[0].__fields__).splitlines()[1:] if found else []
+    made = [
+        (as_text(r, "event_type"), as_int(r, "count"), as_float(r, "count"), int(as_time(r, "max(timestamp)").timestamp()), int(as_time(r, "event_type").year), json.loads(json.dumps(to_json(r)))["count"], line.split()[1])
+        for r, line in zip(found, lines, strict=True)
+    ]
+    return spark.createDataFrame(made, "event_type string, n bigint, f double, at bigint, year bigint, json bigint, cell string")
+
+
+ROWS_SQL = """
+SELECT event_type, count(*) AS n, count(*)::DOUBLE AS f, max(floor(epoch(ts)))::BIGINT AS at, 1::BIGINT AS year, count(*) AS json, count(*)::VARCHAR AS cell FROM events GROUP BY 1
+"""
+
+
+def _compacted(key: str) -> tuple[Run, str]:
+    """Compaction by a key of one kind; rows without the key go."""
+    sql = {"text": "event_type", "flag": "bot", "number": "round(amount, 0)"}[key]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = Store(spark, scratch(spark), "month")
+        store.ingest_df("events", events(spark, sf_dir).orderBy("event_id").select("timestamp", "event_id", F.expr(sql).alias("key")))
+        store.compact_dataset("events", "key", include_active=True)
+        return store.read("events").select("event_id", "key", "_partition")
+
+    return run, f"""SELECT event_id, {sql} AS "key", strftime(ts, '%Y-%m') AS _partition FROM {EVENTS} WHERE {sql} IS NOT NULL
+                    QUALIFY row_number() OVER (PARTITION BY date_trunc('month', ts), {sql} ORDER BY event_id DESC) = 1"""
+
+
+class Decades:
+    """A partitioner of another kind: spans of ten days, numbered."""
+
+    def of(self, seconds: int) -> str:
+        return f"d{seconds // 864_000}"
+
+    def column(self, seconds):
+        return F.concat(F.lit("d"), F.floor(seconds / 864_000).cast("string"))
+
+    def overlaps(self, name: str, start: int, end: int) -> bool:
+        at = int(name[1:]) * 864_000
+        return at < end and start < at + 864_000
+
+
+def own_partitioner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark, scratch(spark), Decades())
+    store.ingest_df("events", events(spark, sf_dir).select("timestamp", "event_type"))
+    told = store.explain(Query(dataset="events", start=JAN_10, end=JAN_20, metric=Count()))
+    return store.read("events").groupBy("_partition").agg(F.count(F.lit(1)).alias("count"), F.lit(len(told.scanned)).alias("scanned"))
+
+
+DECADES_SQL = f"""
+SELECT 'd' || floor(epoch(ts) / 864000)::BIGINT AS _partition, count(*) AS "count",
+       (SELECT count(DISTINCT floor(epoch(ts) / 864000)) FROM events WHERE floor(epoch(ts) / 864000) BETWEEN floor({JAN_10} / 864000) AND floor(({JAN_20} - 1) / 864000))::INTEGER AS scanned
+FROM events GROUP BY 1
+"""
+
+
+def hourly_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layout of one's own down to the hour, with the bounds that its names stand for."""
+    layout = partitioner("%Y%m%dT%H")
+    store = Store(spark, scratch(spark), layout)
+    store.ingest_df("events", events(spark, sf_dir).select("timestamp"))
+    bounds = spark.createDataFrame([(n, *layout.bounds(n)) for n in store.partitions("events")], "_partition string, first bigint, after bigint")
+    return store.read("events").groupBy("_partition").agg(F.count(F.lit(1)).alias("count")).join(bounds, "_partition")
+
+
+HOURLY_SQL = """
+SELECT strftime(ts, '%Y%m%dT%H') AS _partition, count(*) AS "count", epoch(date_trunc('hour', ts))::BIGINT AS first, (epoch(date_trunc('hour', ts)) + 3600)::BIGINT AS after FROM events GROUP BY ALL
+"""
+
+
+def missing_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing is in a dataset that is not there: no rows to read, none from a query."""
+    store = Store(spark, scratch(spark), "day")
+    read = store.read("none").select("_partition")
+    return read.union(store.query(Query(**ALL, dataset="none", dimensions=["x"], metric=Count())).select("x"))
 
 
 def registered() -> dict[str, tuple[Run, str]]:
@@ -275,6 +505,33 @@ def registered() -> dict[str, tuple[Run, str]]:
         "kind_drift": (kind_drift, DRIFT_SQL),
         "text_forms": (text_forms, TEXT_SQL),
         "sketch_rollup": (sketch_rollup, SKETCH_SQL),
+        "quantile_rollup": (quantile_rollup, 'SELECT event_type, count(*) AS "count", true AS low, true AS mid, true AS high FROM events GROUP BY 1'),
+        "partial_results": (partial_results, PARTIAL_SQL),
+        "order_default": _ordered("event_type NULLS FIRST, bot NULLS FIRST", []),
+        "order_count_desc": _ordered('"count" DESC, event_type, bot', [OrderBy("count", True)]),
+        "order_sum_asc": _ordered("coalesce(s, 0), event_type DESC, bot", [OrderBy("sum(amount)"), OrderBy("event_type", True)]),
+        "order_nulls": _ordered("k NULLS FIRST", [OrderBy("k")], dims="k"),
+        "order_nulls_desc": _ordered("k DESC NULLS LAST", [OrderBy("k", True)], dims="k"),
+        "order_text": _ordered("s DESC NULLS LAST, event_type, bot", parse_order("sum(amount):desc, event_type")),
+        "count_text_in_range": (count_text_in_range, "SELECT count(*) AS n FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'"),
+        "rows_and_batches": (rows_and_batches, BATCH_SQL),
+        "type_guard": (type_guard, 'SELECT event_type, count(*) AS "count", 2 AS refused FROM events GROUP BY 1'),
+        "parsed_times": (parsed_times, TIMES_SQL),
+        "long_texts": (long_texts, LONG_SQL),
+        "partition_choice": (partition_choice, CHOICE_SQL),
+        "row_match": (row_match, MATCH_SQL),
+        "result_rows": (result_rows, ROWS_SQL),
+        "compact_by_text": _compacted("text"),
+        "compact_by_flag": _compacted("flag"),
+        "compact_by_number": _compacted("number"),
+        "own_partitioner": (own_partitioner, DECADES_SQL),
+        "hourly_partitions": (hourly_partitions, HOURLY_SQL),
+        "missing_dataset": (missing_dataset, "SELECT NULL::VARCHAR AS _partition FROM events WHERE false"),
+        "metric_own_quantile": (over_events(dimensions=["event_type"], metric=Percentile("value", "p50", 0.37)), f'SELECT event_type, {_quantile(0.37)} AS "p50(value)" FROM events GROUP BY 1'),
+        "zone_fallback": (
+            over_events(dimensions=["date", "day_of_week"], metric=Count(), timezone="No/Such_Zone", granularity="fortnight"),
+            "SELECT date_trunc('day', ts)::TIMESTAMP AS \"date\", strftime(ts, '%a') AS day_of_week, count(*) AS \"count\" FROM events GROUP BY ALL",
+        ),
     }
     found |= {f"metric_{name}": _metric(make("value"), _quantile(fractions[name])) for name, make in six}
     return found | {f"dim_{g}": _bucket(g) for g in ("minute", "hour", "day", "week", "month")}

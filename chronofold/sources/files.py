@@ -23,14 +23,23 @@ class Files:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(name)) if s.isDirectory())
 
     def read(self, name: str) -> str:
+        """A file's text, or that of its new version where a crash came between taking the old one away and renaming."""
+        if not self.exists(name):
+            name = f"{name}.tmp"
         stream = self._fs.open(self._path(name))
         try:
             return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
+    def written(self, name: str) -> bool:
+        return self.exists(name) or self.exists(f"{name}.tmp")
+
     def write(self, name: str, text: str) -> None:
-        """Writes beside the file and renames, so a reader sees the old or the new text."""
+        """Writes beside the file and renames, so a reader sees the old or the new text.
+
+        A version that was left beside the file by a crash while it was written is not read, as the old one is there.
+        """
         beside = f"{name}.tmp"
         stream = self._fs.create(self._path(beside), True)
         try:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 from typing import Any
@@ -105,11 +106,20 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ingest_files(spark: SparkSession, store: Store, dataset: str, path: str) -> None:
     """Appends files of any size, parsed on the executors.
 
-    A first pass finds the kinds of every column in every partition, on the driver no more than
+    Lines are parsed once, into a folder beside the store's datasets that goes at the end.  A first pass over that finds the kinds of every column in every partition, on the driver no more than
     partitions x columns x kinds; two kinds in one partition are an error before anything is written.
     """
     lines = spark.read.text(path).mapInArrow(_parsed, f"{TIMESTAMP} bigint, names array<string>, kinds array<string>, texts array<string>")
     lines = lines.withColumn("_partition", store.partitioner.column(F.col(TIMESTAMP)))
+    parsed = f"{store.base}/.parsed-{uuid.uuid4().hex}"
+    try:
+        lines.write.parquet(parsed)
+        _ingest_parsed(spark.read.schema(lines.schema).parquet(parsed), store, dataset)
+    finally:
+        store.files.delete(parsed)
+
+
+def _ingest_parsed(lines: DataFrame, store: Store, dataset: str) -> None:
     pairs = lines.select("_partition", F.explode(F.arrays_zip("names", "kinds")).alias("x")).select("_partition", "x.names", "x.kinds").distinct().collect()
     by_partition: dict[str, dict[str, Kind]] = {}
     for partition, column, kind in sorted(pairs):

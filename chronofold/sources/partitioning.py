@@ -23,26 +23,39 @@ class Partitioner(Protocol):
 
 #: Aliases and the strftime formats they stand for.
 ALIASES = {"": "%Y-%m", "month": "%Y-%m", "monthly": "%Y-%m", "year": "%Y", "yearly": "%Y", "annual": "%Y", "day": "%Y-%m-%d", "daily": "%Y-%m-%d"}
-_SPARK = {"%Y": "yyyy", "%m": "MM", "%d": "dd"}
+#: strftime parts and Spark's letters for them, coarse to fine.
+_SPARK = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm"}
+_STEPS = {"%d": timedelta(days=1), "%H": timedelta(hours=1), "%M": timedelta(minutes=1)}
 
 
 @dataclass(frozen=True)
 class FormatPartitioner:
-    """Partitions by calendar day, month or year in UTC, whichever is the finest the format names."""
+    """Partitions in UTC by the finest part that the format names, from year to minute; any other
+    characters but those that file names cannot hold stand for themselves."""
 
     format: str = "%Y-%m"
 
     def __post_init__(self) -> None:
-        if not re.fullmatch(r"(%[Ymd]|[-_.])+", self.format) or "%Y" not in self.format or ("%d" in self.format and "%m" not in self.format):
+        parts = re.findall("%.", self.format)
+        if not parts or sorted(parts, key=[*_SPARK].index if {*parts} <= {*_SPARK} else str) != [*_SPARK][: len(parts)] or re.search(r"[/\\:*?\"<>|'=%\0-\x1f]", re.sub("%.", "", self.format)):
             raise ValueError(f"not a partition format: {self.format}")
 
+    @property
+    def finest(self) -> str:
+        return max(re.findall("%.", self.format), key=[*_SPARK].index)
+
     def of(self, seconds: int) -> str:
         return (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=seconds)).strftime(self.format)
 
     def column(self, seconds: Column) -> Column:
-        pattern = re.sub("%[Ymd]", lambda x: _SPARK[x[0]], self.format)
+        pieces = re.split("(%.)", self.format)
+        pattern = "".join(_SPARK.get(p) or (f"'{p}'" if re.search("[A-Za-z]", p) else p) for p in pieces)
         day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
-        return F.date_format(day, pattern)
+        if self.finest not in ("%H", "%M"):
+            return F.date_format(day, pattern)
+        rest = F.pmod(seconds, F.lit(86400))
+        none = F.lit(0)
+        return F.date_format(day.cast("timestamp_ntz") + F.make_dt_interval(none, F.floor(rest / 3600).cast("int"), F.floor(rest % 3600 / 60).cast("int")), pattern)
 
     def bounds(self, name: str) -> tuple[int, int] | None:
         """Unix seconds [from, to) of a partition; None for names in another format."""
@@ -50,9 +63,9 @@ class FormatPartitioner:
             first = datetime.strptime(name, self.format).replace(tzinfo=UTC)
         except ValueError:
             return None
-        if "%d" in self.format:
-            after = first + timedelta(days=1)
-        elif "%m" in self.format:
+        if self.finest in _STEPS:
+            after = first + _STEPS[self.finest]
+        elif self.finest == "%m":
             after = (first + timedelta(days=32)).replace(day=1)
         else:
             after = first.replace(year=first.year + 1)
@@ -64,5 +77,5 @@ class FormatPartitioner:
 
 
 def partitioner(name: str = "") -> FormatPartitioner:
-    """From an alias (day, month, year ...) or a strftime format of %Y, %m and %d."""
+    """From an alias (day, month, year ...) or a strftime format of %Y, %m, %d, %H and %M, none left out before a finer one."""
     return FormatPartitioner(ALIASES.get(name, name))

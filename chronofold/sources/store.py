@@ -1,11 +1,14 @@
 """The store: datasets of time-partitioned Parquet with a manifest of column kinds.
 
-Layout: ``<base>/<dataset>/_partition=<name>/*.parquet`` and ``<base>/<dataset>/manifest.json``,
-which holds for each partition its column kinds and its next row id.  Every row has ``timestamp``
-(Unix seconds), its partition's ``_row_id``, which rises in the order of arrival, and the sparse
-columns.  A column has one kind in a partition; partitions may differ.
-
-A batch whose kinds do not fit is refused before anything is written.  One driver writes to a
+Layout: ``<base>/<dataset>/<folder>/_partition=<name>/*.parquet`` and ``<base>/<dataset>/manifest.json``,
+which holds for each partition its column kinds, its next row id and the folders that its rows
+are in.  Every ingest and every compaction writes a new folder and then the manifest, which makes
+it part of the dataset; what a crash leaves behind without that is no part of it, is overwritten
+by the next folder of the same number, and a batch of a stream is in exactly if its number is.
+Every row has ``timestamp`` (Unix seconds), its partition's ``_row_id``, which rises in the order
+of arrival, and the sparse columns.  A column has one kind in a partition; partitions may differ.
+
+A batch whose kinds do not fit is refused as a whole.  One driver writes to a
 store at a time; a lock keeps its threads apart.
 """
 
@@ -15,7 +18,8 @@ import json
 import re
 import threading
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.functions.kinds import SPARK_TYPES, Kind, named, schema_kinds, stored, stored_value
+from chronofold.functions.kinds import SPARK_TYPES, Kind, cut_text, named, schema_kinds, stored, stored_value
 from chronofold.operators.compaction import latest
 from chronofold.plans.query import TIMESTAMP, Part, Query, Watch, plan, seconds
 from chronofold.sources.files import Files
@@ -50,6 +54,16 @@ class Placed:
     partition: str
 
 
+@dataclass
+class Span:
+    """A step that a store took: its name, dataset, seconds, and what it counted."""
+
+    name: str
+    dataset: str
+    seconds: float = 0.0
+    counts: dict[str, Any] = field(default_factory=dict)
+
+
 @dataclass(frozen=True)
 class Profile:
     """A query's rows with what it took to get them."""
@@ -75,13 +89,28 @@ class Explained:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, base: str, partitions: Partitioner | str = "") -> None:
+    def __init__(self, spark: SparkSession, base: str, partitions: Partitioner | str = "", watch: Callable[[Span], None] | None = None) -> None:
+        """``watch`` is told of every ingest, profiled query and compaction once it is done."""
         if partitions is None:
             raise ValueError("a store needs a partitioner")
         self.spark, self.base = spark, base.rstrip("/")
         self.partitioner = partitioner(partitions) if isinstance(partitions, str) else partitions
         self.files = Files(spark, base)
         self._lock = threading.RLock()
+        self._watch = watch
+
+    @contextmanager
+    def _span(self, name: str, dataset: str) -> Iterator[Span]:
+        span, began = Span(name, dataset or DEFAULT_DATASET), time.perf_counter()
+        try:
+            yield span
+        except Exception as e:
+            span.counts["error"] = type(e).__name__
+            raise
+        finally:
+            span.seconds = time.perf_counter() - began
+            if self._watch is not None:
+                self._watch(span)
 
     # -- layout ---------------------------------------------------------------------------
 
@@ -91,31 +120,52 @@ class Store:
             raise ValueError(f"invalid dataset name {dataset!r}")
         return f"{self.base}/{name}"
 
-    def _at(self, dataset: str, partition: str) -> str:
-        return f"{self.folder(dataset)}/{PARTITION}={partition}"
-
-    def partitions(self, dataset: str) -> list[str]:
-        prefix = f"{PARTITION}="
-        found = [n.removeprefix(prefix) for n in self.files.folders(self.folder(dataset)) if n.startswith(prefix)]
-        return sorted(n for n in found if not n.endswith((".compact", ".old")))
+    def _paths(self, dataset: str, partition: str, entry: Mapping[str, Any]) -> list[str]:
+        return [f"{self.folder(dataset)}/{f}/{PARTITION}={partition}" for f in entry["folders"]]
 
     def manifest(self, dataset: str) -> dict[str, Any]:
         name = f"{self.folder(dataset)}/manifest.json"
-        return json.loads(self.files.read(name)) if self.files.exists(name) else {"partitions": {}, "batches": {}}
+        return json.loads(self.files.read(name)) if self.files.written(name) else {"partitions": {}, "batches": {}, "folders": 0}
+
+    def partitions(self, dataset: str) -> list[str]:
+        return sorted(n for n, entry in self.manifest(dataset)["partitions"].items() if entry["folders"])
 
     def _record(self, dataset: str, manifest: dict[str, Any]) -> None:
         self.files.write(f"{self.folder(dataset)}/manifest.json", json.dumps(manifest, sort_keys=True))
 
+    def _new_folder(self, dataset: str, manifest: dict[str, Any]) -> str:
+        """The next folder's name.  One of that number that a crash left goes."""
+        name = f"{manifest['folders']:08d}"
+        manifest["folders"] += 1
+        self.files.delete(f"{self.folder(dataset)}/{name}")
+        return name
+
     def kinds(self, dataset: str, partition: str) -> dict[str, Kind]:
         entry = self.manifest(dataset)["partitions"].get(partition, {})
         return {c: Kind(k) for c, k in entry.get("kinds", {}).items()}
 
     def rows(self, dataset: str, partition: str) -> DataFrame:
         """One partition's rows with the columns of its manifest."""
-        kinds = self.kinds(dataset, partition)
+        entry = self.manifest(dataset)["partitions"].get(partition, {"kinds": {}, "folders": []})
+        return self._scan(dataset, {partition: entry}).drop(PARTITION)
+
+    def _scan(self, dataset: str, entries: Mapping[str, dict[str, Any]]) -> DataFrame:
+        """All rows of partitions; those that agree on the kinds of all columns share one scan."""
         fields = [T.StructField(TIMESTAMP, T.LongType()), T.StructField(ROW_ID, T.LongType())]
-        schema = T.StructType(fields + [T.StructField(c, SPARK_TYPES[k]) for c, k in sorted(kinds.items())])
-        return self.spark.read.schema(schema).parquet(self._at(dataset, partition))
+        last = [T.StructField(PARTITION, T.StringType())]
+        groups: dict[tuple, list[str]] = {}
+        for name, entry in sorted(entries.items()):
+            groups.setdefault(tuple(sorted(entry["kinds"].items())), []).extend(self._paths(dataset, name, entry))
+        scans = []
+        for kinds, paths in groups.items():
+            schema = T.StructType(fields + [T.StructField(c, SPARK_TYPES[Kind(k)]) for c, k in kinds] + last)
+            # Each folder is a table of its own with partitions in it.
+            for folder in sorted({p.rpartition("/")[0] for p in paths}):
+                own = [p for p in paths if p.rpartition("/")[0] == folder]
+                scans.append(self.spark.read.schema(schema).option("basePath", folder).parquet(*own))
+        if not scans:
+            return self.spark.createDataFrame([], T.StructType(fields + last))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
     # -- ingest ---------------------------------------------------------------------------
 
@@ -134,6 +184,12 @@ class Store:
     def ingest_batch(self, dataset: str, rows: Sequence[RowInput]) -> list[Placed]:
         """Appends rows in order; ids are dense from 0 in each partition.  A bad row leaves nothing written."""
         self.folder(dataset)
+        with self._span("ingest", dataset) as span:
+            placed = self._ingest_batch(dataset, rows)
+            span.counts |= {"rows": len(placed), "partitions": len({p.partition for p in placed})}
+            return placed
+
+    def _ingest_batch(self, dataset: str, rows: Sequence[RowInput]) -> list[Placed]:
         if any(r is None for r in rows):
             raise ValueError("missing row")
         if not rows:
@@ -145,23 +201,26 @@ class Store:
             for r in rows:
                 at = int(seconds(r.timestamp) // 1)
                 name = self.partitioner.of(at)
-                entry = manifest["partitions"].setdefault(name, {"next": 0, "kinds": {}})
+                entry = manifest["partitions"].setdefault(name, {"next": 0, "kinds": {}, "folders": []})
                 values = {c: stored_value(v) for c, v in r.values.items() if v is not None and c != TIMESTAMP}
                 self._fit(entry, {c: k for c, (k, _) in values.items()}, name)
                 placed.append(Placed(entry["next"], name))
                 ready.setdefault(name, []).append({TIMESTAMP: at, ROW_ID: entry["next"]} | {c: v for c, (_, v) in values.items()})
                 entry["next"] += 1
+            folder = self._new_folder(dataset, manifest)
             for name in sorted(ready):
-                self._append(dataset, name, ready[name], manifest["partitions"][name]["kinds"])
+                entry = manifest["partitions"][name]
+                self._append(f"{self.folder(dataset)}/{folder}/{PARTITION}={name}", ready[name], entry["kinds"])
+                entry["folders"].append(folder)
             self._record(dataset, manifest)
             return placed
 
-    def _append(self, dataset: str, partition: str, rows: list[dict[str, Any]], known: Mapping[str, str]) -> None:
+    def _append(self, path: str, rows: list[dict[str, Any]], known: Mapping[str, str]) -> None:
         columns = sorted({c for r in rows for c in r} - {TIMESTAMP, ROW_ID})
         fields = [T.StructField(TIMESTAMP, T.LongType()), T.StructField(ROW_ID, T.LongType())]
         schema = T.StructType(fields + [T.StructField(c, SPARK_TYPES[Kind(known[c])]) for c in columns])
         made = self.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
-        made.coalesce(1).write.mode("append").parquet(self._at(dataset, partition))
+        made.coalesce(1).write.parquet(path)
 
     def ingest_df(self, dataset: str, rows: DataFrame, batch: tuple[str, int] | None = None) -> None:
         """Appends a DataFrame with a ``timestamp`` (Unix seconds or a timestamp) without a shuffle.
@@ -171,7 +230,7 @@ class Store:
         """
         if TIMESTAMP not in rows.columns:
             raise ValueError("the rows have no timestamp column")
-        with self._lock:
+        with self._lock, self._span("ingest", dataset) as span:
             manifest = self.manifest(dataset)
             if batch is not None and manifest["batches"].get(batch[0], -1) >= batch[1]:
                 return
@@ -183,29 +242,41 @@ class Store:
             if isinstance(kind, T.TimestampNTZType | T.TimestampType):
                 when = F.unix_seconds(when)
             at = F.floor(when).cast("bigint")
-            narrow = rows.select(at.alias(TIMESTAMP), *[stored(named(c), rows.schema[c].dataType).alias(c) for c in kinds])
+            fit = lambda c: stored(named(c), rows.schema[c].dataType)
+            narrow = rows.select(at.alias(TIMESTAMP), *[(cut_text(fit(c)) if k is Kind.STRING else fit(c)).alias(c) for c, k in kinds.items()])
             narrow = narrow.withColumn(PARTITION, self.partitioner.column(F.col(TIMESTAMP)))
-            touched = sorted(r[0] for r in narrow.select(PARTITION).distinct().collect())
-            for name in touched:
-                self._fit(manifest["partitions"].setdefault(name, {"next": 0, "kinds": {}}), kinds, name)
-            base = max((manifest["partitions"][n]["next"] for n in touched), default=0)
+            base = max((entry["next"] for entry in manifest["partitions"].values()), default=0)
             made = narrow.withColumn(ROW_ID, F.lit(base) + F.monotonically_increasing_id())
             seen = Observation()
-            made = made.observe(seen, F.max(ROW_ID).alias("last"))
-            made.write.mode("append").partitionBy(PARTITION).parquet(self.folder(dataset))
-            for name in touched:
-                manifest["partitions"][name]["next"] = seen.get["last"] + 1
+            made = made.observe(seen, F.max(ROW_ID).alias("last"), F.count(F.lit(1)).alias("rows"))
+            folder = self._new_folder(dataset, manifest)
+            path = f"{self.folder(dataset)}/{folder}"
+            # Rows are read once; that they fit is checked on what was written, before the manifest names it.
+            made.write.partitionBy(PARTITION).parquet(path)
+            try:
+                touched = [n.removeprefix(f"{PARTITION}=") for n in self.files.folders(path) if n.startswith(f"{PARTITION}=")]
+                if "__HIVE_DEFAULT_PARTITION__" in touched:
+                    raise ValueError("a row has no timestamp")
+                for name in touched:
+                    entry = manifest["partitions"].setdefault(name, {"next": 0, "kinds": {}, "folders": []})
+                    self._fit(entry, kinds, name)
+                    entry["folders"].append(folder)
+                    entry["next"] = seen.get["last"] + 1
+            except Exception:
+                self.files.delete(path)
+                raise
             if batch is not None:
                 manifest["batches"][batch[0]] = batch[1]
             if touched or batch is not None:
                 self._record(dataset, manifest)
+            span.counts |= {"rows": seen.get["rows"], "partitions": len(touched)}
 
     # -- query ----------------------------------------------------------------------------
 
     def _parts(self, query: Query) -> tuple[list[str], list[str], list[str], list[Part]]:
         start, end = query.bounds()
-        names = self.partitions(query.dataset)
-        manifest = self.manifest(query.dataset)["partitions"] if names else {}
+        manifest = {n: entry for n, entry in self.manifest(query.dataset)["partitions"].items() if entry["folders"]}
+        names = sorted(manifest)
         pruned = [n for n in names if not self.partitioner.overlaps(n, start, end)]
         wanted = query.columns()
         groups: dict[tuple, list[str]] = {}
@@ -213,7 +284,7 @@ class Store:
         for n in names:
             if n in pruned:
                 continue
-            kinds = {c: Kind(k) for c, k in manifest.get(n, {}).get("kinds", {}).items() if c in wanted}
+            kinds = {c: Kind(k) for c, k in manifest[n]["kinds"].items() if c in wanted}
             if query.filter is not None and not query.filter.can_match({**kinds, TIMESTAMP: Kind.INT}):
                 unmatched.append(n)
                 continue
@@ -222,7 +293,7 @@ class Store:
         parts = []
         for kinds, members in groups.items():
             schema = T.StructType([T.StructField(TIMESTAMP, T.LongType()), *[T.StructField(c, SPARK_TYPES[k]) for c, k in kinds]])
-            parts.append(Part(self.spark.read.schema(schema).parquet(*[self._at(query.dataset, n) for n in members]), dict(kinds)))
+            parts.append(Part(self.spark.read.schema(schema).parquet(*[p for n in members for p in self._paths(query.dataset, n, manifest[n])]), dict(kinds)))
         return names, pruned, unmatched, parts
 
     def _empty(self) -> Part:
@@ -245,7 +316,9 @@ class Store:
         query.validate()
         names, pruned, unmatched, parts = self._parts(query)
         reach, matched = Watch(), Watch()
-        rows = plan(parts or [self._empty()], query, (reach, matched)).collect()
+        with self._span("query", query.dataset) as span:
+            rows = plan(parts or [self._empty()], query, (reach, matched)).collect()
+            span.counts |= {"rows": len(rows), "partitions": len(names) - len(pruned) - len(unmatched), "pruned": len(pruned), "unmatched": len(unmatched)}
         return Profile(rows, len(names), len(pruned), len(unmatched), sum(reach.counts()), sum(matched.counts()), time.perf_counter() - began)
 
     # -- compaction -----------------------------------------------------------------------
@@ -254,28 +327,25 @@ class Store:
         """Keeps the last row of every key by arrival; rows without the key go.  The new rows replace the old at once."""
         if not key:
             raise ValueError("compaction needs a key column")
-        with self._lock:
-            if partition not in self.partitions(dataset):
+        with self._lock, self._span("compact", dataset) as span:
+            manifest = self.manifest(dataset)
+            entry = manifest["partitions"].get(partition)
+            if entry is None or not entry["folders"]:
                 return
-            if key != TIMESTAMP and key not in self.kinds(dataset, partition):
+            if key != TIMESTAMP and key not in entry["kinds"]:
                 raise KeyError(f"key column {key} not found in {partition}")
             rows = self.rows(dataset, partition)
             if rows.filter(named(key).isNotNull()).isEmpty():
                 return
-            here = self._at(dataset, partition)
-            staged, old = f"{here}.compact", f"{here}.old"
-            self.files.delete(staged)
-            try:
-                latest(rows, [key], ROW_ID).write.parquet(staged)
-                self.files.delete(old)
-                self.files.move(here, old)
-                self.files.move(staged, here)
-            except Exception:
-                if not self.files.exists(here) and self.files.exists(old):
-                    self.files.move(old, here)
-                self.files.delete(staged)
-                raise
-            self.files.delete(old)
+            folder = self._new_folder(dataset, manifest)
+            path = f"{self.folder(dataset)}/{folder}/{PARTITION}={partition}"
+            seen = Observation()
+            latest(rows, [key], ROW_ID).observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+            old, entry["folders"] = self._paths(dataset, partition, entry), [folder]
+            self._record(dataset, manifest)
+            for gone in old:
+                self.files.delete(gone)
+            span.counts |= {"partition": partition, "rows": seen.get["rows"]}
 
     def compact_dataset(self, dataset: str, key: str, include_active: bool = False) -> None:
         """Compacts partitions in order of name; the last one, which still grows, only on request."""
@@ -286,7 +356,5 @@ class Store:
             self.compact_partition(dataset, name, key)
 
     def read(self, dataset: str) -> DataFrame:
-        """All rows of a dataset whose partitions agree on kinds, with ``_partition`` and ``_row_id``."""
-        names = self.partitions(dataset)
-        parts = [self.rows(dataset, n).withColumn(PARTITION, F.lit(n)) for n in names]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        """All rows of a dataset whose partitions agree on kinds, with ``_partition`` and ``_row_id``; none if it is missing."""
+        return self._scan(dataset, {n: entry for n, entry in self.manifest(dataset)["partitions"].items() if entry["folders"]})

@@ -79,8 +79,12 @@ def test_partitioners():
     assert partitioner("month").of(1707570000) == "2024-02" and partitioner("annual").of(1707570000) == "2024" and partitioner("daily").of(1707570000) == "2024-02-10"
     year = partitioner("year")
     assert [n for n in ("2023", "2024", "2025", "odd") if year.overlaps(n, 1717200000, 1719792000)] == ["2024", "odd"]
-    with pytest.raises(ValueError):
-        partitioner("weekly")
+    hour = partitioner("%Y/%m".replace("/", ".") + ".%dT%H")
+    assert hour.of(1707570000) == "2024.02.10T13" and hour.bounds("2024.02.10T13") == (1707570000, 1707573600)
+    assert partitioner("%Y-%m-%d %H%M").bounds("2024-02-10 1301") == (1707570060, 1707570120)
+    for bad in ("weekly", "%Y-%d", "%H", "%Y/%m", "%Y-%m-%d-%S", "%Y%m%m"):
+        with pytest.raises(ValueError):
+            partitioner(bad)
 
 
 def test_dataframes_and_streams(spark, store, tmp_path):
@@ -137,6 +141,8 @@ def test_command_line(spark, store, tmp_path, capsys):
     assert [json.loads(x) for x in capsys.readouterr().out.splitlines()] == [{"k": "b", "count": 1, "avg(v)": 3.0}, {"k": "a", "count": 1, "avg(v)": 2.0}]
     main(asked, spark)
     assert capsys.readouterr().out.splitlines() == ["k  count  avg(v)", "b  1      3", "a  2      1.50"]
+    main(["ingest", *base[:2], "--dataset", "far", "--parallel", "--file", str(tmp_path / "in.json")], spark)
+    assert ask(store, dataset="far", metrics=[Count(), Sum("v")]) == [(3, 6)]
     main(["compact", *base, "--key", "k", "--include-active"], spark)
     main([*asked, "--output", "none", "-v", "--where", "(gte v 3)"], spark)
     err = capsys.readouterr().err
@@ -154,4 +160,92 @@ def test_result_rows(spark):
 
     r = Row(a="2024-01-15T00:00:00Z", b="2024-01-15", c=1705276800, d=1705276800.0, e="junk", f=2)
     assert {as_time(r, x).isoformat() for x in "abcd"} == {"2024-01-15T00:00:00+00:00"} and as_time(r, "e") == ZERO_TIME
+    assert {as_time(Row(x=x), "x") for x in (float("nan"), 1e30, -1e30, 10**30)} == {ZERO_TIME}
     assert as_float(r, "f") == 2.0 and as_int(r, "e") == 0 and cell(2.0) == "2" and cell(2.345) == "2.35"
+
+
+class Crash(Exception):
+    pass
+
+
+def crash_in(store, monkeypatch, step):
+    def stop(*_):
+        raise Crash
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_record", stop)
+        with pytest.raises(Crash):
+            step()
+    return Store(store.spark, store.base)
+
+
+def test_crashes_lose_and_double_nothing(spark, store, monkeypatch):
+    rows = spark.createDataFrame([(JAN1, 1, "a"), (JAN1, 2, "a"), (FEB1, 3, "b")], "timestamp long, v long, k string")
+    want = [(3, 6)]
+    store = crash_in(store, monkeypatch, lambda: store.ingest_df("", rows, ("s", 0)))
+    assert store.read("").count() == 0 and store.partitions("") == []
+    for _ in range(2):
+        store.ingest_df("", rows, ("s", 0))
+    assert ask(store, metrics=[Count(), Sum("v")]) == want
+    store = crash_in(store, monkeypatch, lambda: store.ingest_batch("", [RowInput(JAN1, {"v": 9})]))
+    store = crash_in(store, monkeypatch, lambda: store.ingest_df("", rows, ("s", 1)))
+    store = crash_in(store, monkeypatch, lambda: store.compact_dataset("", "k", include_active=True))
+    assert ask(store, metrics=[Count(), Sum("v")]) == want
+    with monkeypatch.context() as m:  # between taking the old manifest away and renaming the new one
+        m.setattr(store.files, "move", lambda *_: (_ for _ in ()).throw(Crash()))
+        with pytest.raises(Crash):
+            store.ingest_df("", rows, ("s", 1))
+    store = Store(spark, store.base)
+    store.ingest_df("", rows, ("s", 1))
+    assert ask(store, metrics=[Count(), Sum("v")]) == [(6, 12)]
+    store.compact_dataset("", "k", include_active=True)
+    assert sorted((r.k, r.v, r._partition) for r in store.read("").collect()) == [("a", 2, "2024-01"), ("b", 3, "2024-02")]
+
+
+def test_frames_that_do_not_fit_are_refused(spark, store):
+    store.ingest_df("", spark.createDataFrame([(JAN1, 1)], "timestamp long, v long"))
+    for bad in (spark.createDataFrame([(JAN1, "x"), (FEB1, "x")], "timestamp long, v string"), spark.createDataFrame([(None, 1)], "timestamp long, v long")):
+        with pytest.raises((TypeError, ValueError)):
+            store.ingest_df("", bad)
+    assert ask(store, metrics=[Count(), Sum("v")]) == [(1, 1)] and store.partitions("") == ["2024-01"]
+    assert store.read("absent").count() == 0
+
+
+def test_long_texts_of_frames_are_cut_like_those_of_rows(spark, store):
+    texts = ["x" * ((1 << 20) - k) + "é😀" * 5 for k in range(8)] + ["x" * (1 << 20), "é" * 600_000]
+    store.ingest_df("", spark.createDataFrame([*enumerate(texts)], "i int, s string").selectExpr(f"{JAN1}L timestamp", "i", "s"))
+    store.ingest_batch("rows", [RowInput(JAN1, {"i": i, "s": t}) for i, t in enumerate(texts)])
+    assert {r.i: r.s for r in store.read("").collect()} == {r.i: r.s for r in store.read("rows").collect()}
+
+
+def test_steps_are_told(spark, tmp_path):
+    told = []
+    store = Store(spark, str(tmp_path / "s"), watch=told.append)
+    store.ingest_batch("", [RowInput(JAN1, {"k": 1}), RowInput(JAN1, {"k": 1})])
+    store.ingest_df("", spark.createDataFrame([(FEB1, 1)], "timestamp long, k long"))
+    store.compact_dataset("", "k", include_active=True)
+    store.profile(Query(**YEAR, metric=Count()))
+    with pytest.raises(TypeError):
+        store.ingest_row("", RowInput(JAN1, {"k": "x"}))
+    assert [(s.name, s.counts.get("rows"), s.counts.get("error")) for s in told] == [
+        ("ingest", 2, None), ("ingest", 1, None), ("compact", 1, None), ("compact", 1, None), ("query", 1, None), ("ingest", None, "TypeError"),
+    ]
+    assert all(s.seconds > 0 and s.dataset == "entities" for s in told)
+
+
+def test_partial_states_merge(spark):
+    from chronofold.operators import partials
+    from chronofold.operators.metrics import P95, Avg, CountDistinct, Min
+
+    rows = spark.createDataFrame([(d, i % 3, i, f"u{i % 50}") for d in range(4) for i in range(d * 100, d * 100 + 100)], "day int, g int, v long, u string")
+    metrics = [Count(), Sum("v"), Avg("v"), Min("v"), Max("v"), CountDistinct("u"), P95("v"), Sum("u")]
+    daily = partials.partial(rows, ["day", "g"], metrics)
+    for keys in (["g"], []):
+        got = {tuple(r[k] for k in keys): r for r in partials.finished(partials.merged(partials.merged(daily, ["day", *keys], metrics), keys, metrics), keys, metrics).collect()}
+        for key, r in got.items():
+            own = [x for x in rows.collect() if not keys or x.g == key[0]]
+            vs = [x.v for x in own]
+            assert (r["count"], r["sum(v)"], r["min(v)"], r["max(v)"], r["count(u)"]) == (len(vs), sum(vs), min(vs), max(vs), 50)
+            assert r["avg(v)"] == pytest.approx(sum(vs) / len(vs)) and abs(r["p95(v)"] - sorted(vs)[int(len(vs) * 0.95)]) <= 12 and r["sum(u)"] == 0
+    with pytest.raises(ValueError):
+        partials.partial(rows, [], [Sum("none")])
