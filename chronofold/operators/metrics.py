@@ -113,6 +113,19 @@ def aggregates(metrics: Sequence[Metric], sources: dict[str, Column], values: di
             if m.fraction not in fractions:
                 fractions.append(m.fraction)
     slots = {c: f"__q{i}" for i, c in enumerate(quantiles)}
+
+    def exact_count(column: str) -> Column:
+        if not quantiles:
+            return F.count_distinct(values[column])
+        # Beside a distinct count Spark would build every percentile anew for each distinct value; a set needs
+        # no second pass, and takes memory like the percentile's.
+        value = values[column]
+        if kinds.get(column) is not Kind.FLOAT:
+            return F.size(F.collect_set(value)).cast("bigint")
+        # A set takes -0.0 and 0.0 for two, and any NaN for another.
+        plain = F.when(value == 0, F.lit(0.0)).when(~F.isnan(value), value)
+        return F.size(F.collect_set(plain)).cast("bigint") + F.coalesce(F.max(F.isnan(value).cast("bigint")), F.lit(0))
+
     for c, fractions in quantiles.items():
         source, asked = sources[c].cast("double"), F.array(*map(F.lit, fractions))
         found = F.percentile_approx(source, fractions, 10_000) if approximate else F.percentile(source, asked)
@@ -126,7 +139,7 @@ def aggregates(metrics: Sequence[Metric], sources: dict[str, Column], values: di
         if m.op == "count":
             found = F.count(F.lit(1))
         elif m.op == "count_distinct":
-            found = F.approx_count_distinct(values[m.column], 0.0081) if approximate else F.count_distinct(values[m.column])
+            found = F.approx_count_distinct(values[m.column], 0.0081) if approximate else exact_count(m.column)
         elif m.op == "avg":
             found = F.coalesce(F.avg(sources[m.column].cast("double")), F.lit(0.0))
         else:

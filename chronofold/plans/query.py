@@ -18,6 +18,9 @@ from chronofold.operators.metrics import QUANTILES, Metric, aggregates
 
 TIMESTAMP = "timestamp"
 
+#: What the optimizer may expect to read for a query whose distinct counts and percentiles are exact by default.
+EXACT_BYTES = 1 << 36
+
 Instant = datetime | int | float
 
 
@@ -31,7 +34,9 @@ class OrderBy:
 class Query:
     """What to compute.  ``start`` and ``end`` bound a half-open range and are floored to seconds.
 
-    ``approximate`` trades exact distinct counts and percentiles for sketches of bounded size.
+    Exact distinct counts and percentiles hold the distinct values of a group in memory, sketches are
+    of bounded size.  ``approximate`` says which; left open, sketches are taken where the columns read
+    come to more than ``EXACT_BYTES``.
     """
 
     start: Instant
@@ -44,7 +49,7 @@ class Query:
     order_by: Sequence[OrderBy] = ()
     granularity: str = "day"
     timezone: str = "UTC"
-    approximate: bool = False
+    approximate: bool | None = None
 
     def all_metrics(self) -> list[Metric]:
         return list(dict.fromkeys([*self.metrics, *([self.metric] if self.metric else [])]))
@@ -167,6 +172,15 @@ def _projected(part: Part, query: Query, mixed: set[str], numbers: dict[str, Kin
     return kept.select(*out)
 
 
+#: What the optimizer says of inputs whose size it cannot tell.
+UNKNOWN = 1 << 62
+
+
+def expected_bytes(rows: DataFrame) -> int:
+    """The size of a DataFrame's rows as the optimizer expects it, from the sizes of the files and of the columns read."""
+    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def plan(parts: Sequence[Part], query: Query, watch: tuple[Watch, Watch] | None = None) -> DataFrame:
     """The result of a valid query over parts, of which there is at least one.
 
@@ -185,19 +199,15 @@ def plan(parts: Sequence[Part], query: Query, watch: tuple[Watch, Watch] | None
             mixed.add(c)
     rows = reduce(DataFrame.unionByName, [_projected(p, query, mixed, numbers, watch) for p in parts])
     place = {s: i for i, s in enumerate(sources)}
+    approximate = query.approximate
+    if approximate is None:
+        approximate = any(m.op == "count_distinct" or m.op in QUANTILES for m in metrics) and EXACT_BYTES < expected_bytes(rows) < UNKNOWN
     made, results = aggregates(
-        metrics, {s: F.col(f"n{i}") for s, i in place.items()}, {s: F.col(f"v{i}") for s, i in place.items()}, {s: numbers.get(s) for s in sources}, query.approximate
+        metrics, {s: F.col(f"n{i}") for s, i in place.items()}, {s: F.col(f"v{i}") for s, i in place.items()}, {s: numbers.get(s) for s in sources}, approximate
     )
     if dims:
         keys = [f"d{i}" for i in range(len(dims))]
-        # Beside a distinct count Spark would build every percentile anew for each distinct value.
-        apart = [m for m in metrics if m.op == "count_distinct"] if not query.approximate and any(m.op in QUANTILES for m in metrics) else []
-        slots = {f"__m{i}" for i, m in enumerate(metrics) if m in apart}
-        grouped = rows.groupBy(*keys).agg(*[c for name, c in made.items() if name not in slots])
-        if slots:
-            counts = rows.groupBy(*keys).agg(*[c for name, c in made.items() if name in slots]).select(*[F.col(k).alias(f"_{k}") for k in keys], *sorted(slots))
-            same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-            grouped = grouped.join(counts, same)
+        grouped = rows.groupBy(*keys).agg(*made.values())
     else:  # no row in, no row out
         grouped = rows.agg(*made.values(), F.count(F.lit(1)).alias("__rows")).filter("__rows > 0")
     shown = [(F.col(f"d{i}.text") if d in mixed else F.col(f"d{i}")).alias(d) for i, d in enumerate(dims)]

@@ -177,3 +177,28 @@ def test_sketches_merge(spark):
     with pytest.raises(ValueError):
         k.distinct_sketch("v", 3)
     assert k.count_in_range(rows, "s", "x", 10, 20) == 10 and k.count_in_range(rows, "s", "y", 10, 20) == 0
+
+
+def test_one_scan_for_distinct_counts_beside_percentiles(spark, tmp_path):
+    rows = spark.createDataFrame([(JAN1, g, v) for g in "ab" for v in (0.0, -0.0, 1.0, 2.0, float("nan"), float("nan"), None)], "timestamp long, g string, v double")
+    rows.write.parquet(str(tmp_path / "t"))
+    query = Query(**YEAR, dimensions=["g"], metrics=[CountDistinct("v"), P50("timestamp"), Count()])
+    result = run_query(spark.read.parquet(str(tmp_path / "t")), query)
+    assert [tuple(r) for r in result.collect()] == [("a", 4, JAN1, 7), ("b", 4, JAN1, 7)]
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Join" not in plan
+
+
+def test_large_inputs_get_sketches_unless_asked_otherwise(spark, tmp_path, monkeypatch):
+    from chronofold.plans import query as module
+
+    spark.range(20_000).selectExpr(f"{JAN1}L timestamp", "id v").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    asked = {**YEAR, "metrics": [CountDistinct("v"), P95("v")]}
+    assert [tuple(r) for r in run_query(rows, Query(**asked)).collect()] == [(20_000, pytest.approx(18_999.05))]
+    monkeypatch.setattr(module, "EXACT_BYTES", 1000)
+    for approximate, sketched in ((None, True), (False, False), (True, True)):
+        result = run_query(rows, Query(**asked, approximate=approximate))
+        assert ("approx_count_distinct" in result._jdf.queryExecution().optimizedPlan().toString()) is sketched
+        n, p = result.first()
+        assert abs(n - 20_000) <= 1000 and abs(p - 18_999) <= 40
