@@ -4,12 +4,15 @@ Texts are lower-cased, every non-letter becomes a blank, and the character 1- to
 of the code points are hashed into ``BUCKETS`` buckets.  Counting runs over all labelled
 training rows; partial counts meet by (language, bucket), so what reaches the driver is at
 most languages x buckets numbers whatever the size of the input.  The matrix of log
-probabilities, ``BUCKETS`` x languages of 4 bytes, is broadcast; batches are scored by
-gathering its rows and summing them per document.
+probabilities, ``BUCKETS`` x languages of 4 bytes, is broadcast with the languages' priors, their
+shares of the training documents; batches are scored by gathering its rows and summing them per
+document.  More than ``MAX_LANGUAGES`` different values of lang, which no matrix of bounded size
+could hold, are an error.
 
 Special cases: null text, or a text with no letter, gives ``und`` with score 0; without
 training rows every text does.  Equal posteriors go to the alphabetically first language.
-Each input row gives one row; extra columns and null ids are of no consequence.
+Each input row gives one row, and an empty table none; extra columns and repeated or null ids are
+of no consequence; a very long text is scored whole.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 SLICE_CHARS = 1 << 20
+MAX_LANGUAGES = 256
 
 
 def _letters() -> np.ndarray:
@@ -95,13 +99,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"lang": pa.array([name] * len(at)), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
 
 
-def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the (BUCKETS + 1) x languages matrix; its last row, for idle grams, is zero.
+def fit(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages in order, the (BUCKETS + 1) x languages matrix, whose last row, for idle grams, is zero, and log priors.
 
     Trains on every row with a text and a language whose crc32 remainder is not 2.
     """
     train = docs.filter(docs["text"].isNotNull() & docs["lang"].isNotNull() & (remainder(docs["doc_id"], 4) != 2))
     parts = train.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n bigint")
+    if train.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     rows = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(rows.column("lang").to_pylist()))
     place = {name: i for i, name in enumerate(names)}
@@ -112,15 +118,16 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     grams = counts[:BUCKETS] + SMOOTHING
     matrix = np.zeros((BUCKETS + 1, len(names)), dtype=np.float32)
     matrix[:BUCKETS] = np.log(grams / grams.sum(axis=0)) if names else 0
-    return names, matrix
+    documents = counts[BUCKETS] + SMOOTHING
+    return names, matrix, np.log(documents / documents.sum()) if names else documents
 
 
-def predict(docs: DataFrame, names: list[str], matrix: np.ndarray) -> DataFrame:
+def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, priors: np.ndarray) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
-    model = docs.sparkSession.sparkContext.broadcast((names, matrix))
+    model = docs.sparkSession.sparkContext.broadcast((names, matrix, priors))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = model.value
+        names, matrix, priors = model.value
         table = _letters()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -131,7 +138,7 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray) -> DataFrame:
                     best += ["und"] * (b - a)
                     sure += [0.0] * (b - a)
                     continue
-                total = np.zeros((b - a, len(names)))
+                total = np.tile(priors, (b - a, 1))
                 for k in range(len(ORDERS)):
                     total += np.add.reduceat(matrix[grams[k]], starts, axis=0, dtype=np.float64)
                 total -= total.max(axis=1, keepdims=True)
