@@ -1,15 +1,17 @@
 """Toxicity (operator 6): a weighted finite-state pattern grammar over clauses.
 
-Words map to classes (insult, threat, target, negation, report).  Four small transducers
-read the class sequence of a clause:
-
-  negation   remembers a negation for ``NEAR`` words and scales what follows by ``NEGATED``
-  target     remembers a person word for ``NEAR`` words and scales insults by ``TARGETED``
-  threat     remembers a threat verb for ``NEAR`` words; a target then completes a threat
-  report     remembers reported speech to the clause's end and scales by ``REPORTED``
-
-They are composed once into one table, state x class -> state, factor, threat.  A clause's
-weight is the sum over its words of word weight x factor, and completed threats; a document
+Words map to classes (insult, threat, target, negation, report).  Five small transducers read
+the class sequence of a clause; every arc has a factor for insults and one for threats:
+
+  insult     lets an insult word's weight out, and no other word's
+  threat     remembers a threat verb for ``NEAR`` words; a target then lets a threat out
+  target     remembers a person word for ``NEAR`` words and multiplies insults by ``TARGETED``
+  negation   remembers a negation for ``NEAR`` words and multiplies by ``NEGATED``
+  report     remembers reported speech to the clause's end and multiplies by ``REPORTED``
+
+``compose`` joins two transducers into one over the pairs of states that can be reached, the
+factors multiplied; folded over the five it gives the grammar.  A clause's weight is the sum
+over its words of word weight x insult factor and ``THREAT_WEIGHT`` x threat factor; a document
 is scored on its clauses' weights, never on single words.
 
 What is learned, from labelled training rows only (crc32 remainder not 1), on at most
@@ -21,17 +23,18 @@ Candidates appear in at least ``MIN_SHARE`` of the toxic sample, so there are at
 1 / MIN_SHARE x its mean distinct words.
 
 Special cases: null and empty texts score as texts without a matched clause; without any
-training labels built-in weights and scale are used; each input row gives one row; repeated
-and null ids and extra columns do no harm.
+training labels built-in weights and scale are used; each input row gives one row, and an empty
+table none; repeated and null ids and extra columns do no harm; a very long text is read whole,
+clause by clause, in time linear in its length.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -67,21 +70,39 @@ WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSES = re.compile(r"[.!?;:,\n]+")
 
 
-def compose() -> tuple[list[list[int]], list[list[float]], list[list[bool]]]:
-    """The product of the four transducers: next state, insult factor, and whether a threat completes."""
-    states = list(itertools.product(range(NEAR + 1), range(NEAR + 1), range(NEAR + 1), range(2)))
-    place = {s: i for i, s in enumerate(states)}
-    step, factor, threat = [], [], []
-    for neg, tgt, thr, rep in states:
+#: For each state and class: the next state, the factor for insults, the factor for threats.
+Machine = list[list[tuple[int, float, float]]]
+
+
+def _remembering(cls: int, factors: Callable[[bool, int], tuple[float, float]], span: int | None = NEAR) -> Machine:
+    """A transducer that knows for ``span`` words, or to the clause's end, that a class came; state 0 does not."""
+    top = span or 1
+    after = lambda state, c: top if c == cls else state if span is None else max(0, state - 1)
+    return [[(after(state, c), *factors(state > 0, c)) for c in range(6)] for state in range(top + 1)]
+
+
+def compose(first: Machine, second: Machine) -> Machine:
+    """One transducer for two that read the same words; states that are not reached are left out."""
+    place, todo, out = {(0, 0): 0}, [(0, 0)], []
+    while len(out) < len(todo):
+        x, y = todo[len(out)]
         row = []
-        for c in range(6):
-            fade = lambda v, on, c=c: NEAR if c == on else max(0, v - 1)
-            row.append(place[(fade(neg, NEGATION), fade(tgt, TARGET), fade(thr, THREAT), int(rep or c == REPORT))])
-        step.append(row)
-        scale = (NEGATED if neg else 1.0) * (REPORTED if rep else 1.0)
-        factor.append([scale * (TARGETED if tgt else 1.0) if c == INSULT else scale for c in range(6)])
-        threat.append([bool(thr) and c == TARGET for c in range(6)])
-    return step, factor, threat
+        for (nx, ix, tx), (ny, iy, ty) in zip(first[x], second[y], strict=True):
+            if (nx, ny) not in place:
+                place[nx, ny] = len(todo)
+                todo.append((nx, ny))
+            row.append((place[nx, ny], ix * iy, tx * ty))
+        out.append(row)
+    return out
+
+
+def grammar() -> Machine:
+    insult: Machine = [[(0, float(c == INSULT), 1.0) for c in range(6)]]
+    threat = _remembering(THREAT, lambda on, c: (1.0, float(on and c == TARGET)))
+    target = _remembering(TARGET, lambda on, c: (TARGETED if on else 1.0, 1.0))
+    negation = _remembering(NEGATION, lambda on, c: (NEGATED, NEGATED) if on else (1.0, 1.0))
+    report = _remembering(REPORT, lambda on, c: (REPORTED, REPORTED) if on else (1.0, 1.0), span=None)
+    return reduce(compose, (insult, threat, target, negation, report))
 
 
 def forms(word: str) -> list[str]:
@@ -96,7 +117,8 @@ class Grammar:
         self.fixed = {w: c for c, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
         self.insults = insults
         self.known: dict[str, tuple[int, float]] = {}
-        self.step, self.factor, self.threat = compose()
+        machine = grammar()
+        self.step, self.factor, self.threat = ([[arc[k] for arc in row] for row in machine] for k in range(3))
 
     def classify(self, words: list[str]) -> list[tuple[int, float]]:
         if len(self.known) > MAX_CACHED:
@@ -116,7 +138,7 @@ class Grammar:
             if c == INSULT:
                 total += weight * self.factor[state][c]
             elif self.threat[state][c]:
-                total += THREAT_WEIGHT * self.factor[state][c]
+                total += THREAT_WEIGHT * self.threat[state][c]
             state = self.step[state][c]
         return total
 
