@@ -21,7 +21,9 @@ no piece: no arc crosses there, and any pair weighs 0.  The parts' paths are kep
 Decoding is the inverse: ids -> bytes, U+2581 -> blank, less the blank put before.
 
 Special cases: null and empty texts have no ids; every text, however long or strange, round
-trips unless it holds U+2581 itself, which reads back as a blank.  Each input row gives one row.
+trips unless it holds U+2581 itself, which reads back as a blank.  Each input row gives one row,
+repeated and null ids too, and an empty table none; extra columns are ignored.  A model of another
+type or with another normaliser is told by ``PROBES``, which it encodes in another way, and is an error.
 """
 
 from __future__ import annotations
@@ -52,6 +54,10 @@ MAX_PAIRS = 250_000
 MAX_KEPT_CHARS = 64
 
 
+#: Texts that other normalisers change, and words that a model of another type cuts elsewhere.
+PROBES = ("two  blanks ", "ﬁ Ａ é e\u0301 ①", "\t\nline\r\n", "internationalisation of unbelievable misunderstandings", "Donaudampfschifffahrt, néanmoins, desarrollándose 1234567", "漢字 😀 \x00")
+
+
 def load(path: str) -> dict:
     """The model at ``path`` as plain values: pieces by id, ranks, byte ids.  At most its vocabulary's size."""
     import sentencepiece
@@ -63,7 +69,11 @@ def load(path: str) -> dict:
     if len(octets) != 256:
         raise ValueError("the model has no byte fallback")
     plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-    return {"names": names, "ids": {names[i]: i for i in plain}, "order": {names[i]: -model.get_score(i) for i in plain}, "octets": octets, "key": hashlib.sha256(repr(names).encode()).hexdigest()}
+    found = {"names": names, "ids": {names[i]: i for i in plain}, "order": {names[i]: -model.get_score(i) for i in plain}, "octets": octets, "key": hashlib.sha256(repr(names).encode()).hexdigest()}
+    t = Transducer(found)
+    if any(np.frombuffer(t.encode(x), dtype="<i4").tolist() != model.encode(x) for x in PROBES):
+        raise ValueError("not a BPE model that leaves texts as they are")
+    return found
 
 
 class Paths(dict):
