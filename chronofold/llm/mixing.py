@@ -18,7 +18,10 @@ takes any other targets.
 Cells are held on the driver while there are at most ``MAX_CELLS``, their distinct values being
 counted first; beyond that the same steps run on a distributed table of cells.
 
-Special cases: null source, language or topic is a value of its own; texts without words count
+The documents have no topic column; ``topic`` tells their form from counts of characters, and any
+other column expression can take its place in ``measured``.
+
+Special cases: null source, language or topic is a value of its own; very long texts are counted whole; texts without words count
 no tokens but are sampled as their cell is; a null doc_id is hashed as the empty text; repeated
 rows share their id's fate; an empty table gives an empty result.
 """
@@ -26,6 +29,7 @@ rows share their id's fate; an empty table gives an empty result.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from itertools import count
 
 import numpy as np
@@ -53,7 +57,7 @@ def topic(text: Column) -> Column:
     return F.when(bars * 50 > n, "listing").when(marks * 25 > n, "markup").when(n < 400, "note").otherwise("prose")
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, topic: Callable[[Column], Column] = topic) -> DataFrame:
     """doc_id, source, lang, topic, tokens (words) of every row; margins as text, null as U+0000."""
     text = text_of(docs)
     values = {"source": docs["source"], "lang": docs["lang"], "topic": topic(text)}

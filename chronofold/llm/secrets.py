@@ -3,9 +3,9 @@
 A text is the first layer.  Each layer is scanned with the rules; then every encoded run
 in it (percent escapes, backslash-u escapes, base64, and zlib or gzip under base64) is
 unwrapped into a further layer, which goes on the worklist.  Base64 is decoded from each of four
-neighbouring places, since what stands right before a payload shifts it, and over line ends.  A layer already seen, told by
-its content, is not entered again, so a cycle ends; the worklist ends when nothing new comes
-out.  Every layer carries, for each of its characters, the range of the original text it
+neighbouring places, since what stands right before a payload shifts it, and over line ends.  A
+layer already seen, told by its content, is not entered again, so a cycle ends; the worklist ends
+when nothing new comes out.  Every layer carries, for each of its characters, the range of the original text it
 came from, so a finding in any layer becomes a span of the original text.
 
 Findings of the first layer are the base spans and always stay.  Findings below add spans
@@ -13,8 +13,12 @@ of the same kinds; one that lies on a base span of its kind adds nothing.
 
 What a compressed run unwraps to, all its gzip members, is scanned in windows as it is inflated,
 however much it is; memory holds a window, which grows only while one run of printable characters
-fills it.  Bytes that are not UTF-8 are replaced.  Special cases: null text counts as empty; each input row gives one row; extra
-columns are ignored.
+fills it.  Bytes that are not UTF-8 are replaced.
+
+Special cases: null text counts as empty and has no spans; each input row gives one row, repeated
+and null ids too, and an empty table none; columns other than doc_id and text are ignored whatever
+their names; a very long text is one layer, for which nothing but the text is kept, while layers
+below keep a range for each of their characters.
 """
 
 from __future__ import annotations

@@ -50,6 +50,55 @@ def test_language_grams():
     assert [g[0] for g in grams] == [g[4] for g in again]
 
 
+def plain_grams(text):
+    """Buckets of the 1- to 3-grams of a text, by loops."""
+    low = [ord(c) if c.isalpha() else 32 for c in text.lower()]
+    low = [0 if o == "\0" else c for o, c in zip(text.lower(), low, strict=True)]
+    out = []
+    for i in range(len(low)):
+        h = 0
+        for order in (1, 2, 3):
+            if i + order > len(low) or 0 in low[i : i + order]:
+                break
+            h = (h * 0x01000193 + low[i + order - 1] + order) & 0xFFFFFFFF
+            out.append((((h ^ h >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF) >> 17)
+    return out
+
+
+def test_language_scores_against_loops(spark):
+    """Naive Bayes with priors, worked out document by document."""
+    rng = random.Random(4)
+    words = {"en": "the of and house river", "de": "der die und haus fluss", "fr": "le la et maison fleuve"}
+    rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(rng.randrange(1, 12))) + rng.choice(["", "!", " é1\0x"]), lang) for i, lang in enumerate(rng.choices(["en", "de", "fr"], [6, 3, 1], k=150))]
+    rows += [(200 + i, rng.choice(["a", "un der", "i e", "xyz", "r\0f"]), None) for i in range(20)]
+    counts, docs = {}, {}
+    for i, text, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            docs[lang] = docs.get(lang, 0) + 1
+            for g in plain_grams(text):
+                counts.setdefault(lang, {}).setdefault(g, 0)
+                counts[lang][g] += 1
+    n = language.BUCKETS
+    for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect():
+        text = next(t for i, t, _ in rows if i == r.doc_id)
+        logs = {}
+        for lang, c in counts.items():
+            total = sum(c.values()) + 0.5 * n
+            logs[lang] = np.log((docs[lang] + 0.5) / (sum(docs.values()) + 0.5 * len(docs))) + sum(np.log((c.get(g, 0) + 0.5) / total) for g in plain_grams(text))
+        top = max(logs.values())
+        p = {lang: np.exp(x - top) for lang, x in logs.items()}
+        best = max(sorted(p), key=p.get)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert r.lang_pred == best and r.score == pytest.approx(p[best] / sum(p.values()), rel=1e-3)
+
+
+def test_language_values_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    rows = spark.createDataFrame([(i, "abc", f"l{i % 5}") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language.identify(rows)
+
+
 @tables
 def test_toxicity_of_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
@@ -69,6 +118,28 @@ def test_toxicity_grammar():
     assert brute == 2.0
 
 
+def plain_clause(classes):
+    """The rules, one word at a time, by looking back."""
+    total = 0.0
+    for i, (c, weight) in enumerate(classes):
+        near = {x for x, _ in classes[max(0, i - toxicity.NEAR) : i]}
+        scale = (toxicity.NEGATED if toxicity.NEGATION in near else 1) * (toxicity.REPORTED if any(x == toxicity.REPORT for x, _ in classes[:i]) else 1)
+        if c == toxicity.INSULT:
+            total += weight * scale * (toxicity.TARGETED if toxicity.TARGET in near else 1)
+        elif c == toxicity.TARGET and toxicity.THREAT in near:
+            total += toxicity.THREAT_WEIGHT * scale
+    return total
+
+
+def test_toxicity_grammar_against_looking_back():
+    g, rng = toxicity.Grammar({}), random.Random(12)
+    assert len(toxicity.grammar()) <= (toxicity.NEAR + 1) ** 3 * 2
+    for _ in range(3000):
+        drawn = [rng.randrange(6) for _ in range(rng.randrange(14))]
+        classes = [(c, 1.0 + k % 3 if c == toxicity.INSULT else 0.0) for k, c in enumerate(drawn)]
+        assert g.clause(classes) == pytest.approx(plain_clause(classes))
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame(ROWS, ODD)
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -163,6 +234,39 @@ def test_secrets_base_against_loops(spark):
         assert (out[i].n_assign, out[i].n_access, out[i].n_hex) == tuple(sum(1 for x in want if x[1] == k) for k in range(3))
 
 
+def test_secrets_odd_rows(spark):
+    rows = [(1, SECRET, 7, "a"), (1, SECRET, 7, "a"), (1, None, 7, "b"), (None, SECRET, 7, None), (2, "", 7, ""), (3, "x " * 300_000 + SECRET, 7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int, n_hex string").selectExpr("*", "spans base", "spans `a.b`")
+    out = secrets.find(docs)
+    got = sorted((r.doc_id or 0, r.n_assign, r.spans) for r in out.collect())
+    assert got == [(0, 1, "assign:0:21"), (1, 0, ""), (1, 1, "assign:0:21"), (1, 1, "assign:0:21"), (2, 0, ""), (3, 1, "assign:600000:600021")]
+    assert secrets.find(docs.filter("false")).count() == 0 and secrets.find(docs.filter("false")).columns == out.columns
+
+
+@pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer model")
+def test_other_models_are_refused(monkeypatch):
+    import sentencepiece
+
+    real = sentencepiece.SentencePieceProcessor
+
+    class Folding:
+        """A model that normalises what it encodes, as many do."""
+
+        def __init__(self, model_file):
+            self.model = real(model_file=model_file)
+
+        def __getattr__(self, name):
+            return getattr(self.model, name)
+
+        def encode(self, text):
+            return self.model.encode(" ".join(text.split()))
+
+    assert pieces.load(TOKENIZER)["octets"]
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Folding)
+    with pytest.raises(ValueError, match="leaves texts as they are"):
+        pieces.load(TOKENIZER)
+
+
 @pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer model")
 def test_pieces_are_the_models_own(spark):
     import sentencepiece
@@ -182,3 +286,5 @@ def test_pieces_are_the_models_own(spark):
     sums = {r.doc_id: r for r in pieces.digest(df.filter("doc_id > 0"), TOKENIZER).collect()}
     assert all(sums[i].round_trip == ("▁" not in t) and sums[i].n_tokens == len(model.encode(t)) for i, t in enumerate(rows) if i)
     assert pieces.encode(df.filter("false"), TOKENIZER).count() == 0
+    clash = df.selectExpr("*", "text ids", "text n_tokens", "text `a.b`").filter("doc_id = 1")
+    assert [r.ids for r in pieces.encode(clash, TOKENIZER).collect()] == [model.encode(rows[1])]
