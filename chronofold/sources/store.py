@@ -9,7 +9,7 @@ Every row has ``timestamp`` (Unix seconds), its partition's ``_row_id``, which r
 of arrival, and the sparse columns.  A column has one kind in a partition; partitions may differ.
 
 A batch whose kinds do not fit is refused as a whole.  One driver writes to a
-store at a time; a lock keeps its threads apart.
+store at a time; a lock for each dataset's folder keeps its threads apart, whichever Store they use.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from chronofold.sources.files import Files
 from chronofold.sources.partitioning import Partitioner, partitioner
 
 PARTITION, ROW_ID = "_partition", "_row_id"
+_LOCKS: dict[str, threading.RLock] = {}
 DEFAULT_DATASET = "entities"
 _DATASET = re.compile(r"[A-Za-z0-9_-]+")
 
@@ -96,9 +97,11 @@ class Store:
         self.spark, self.base = spark, base.rstrip("/")
         self.partitioner = partitioner(partitions) if isinstance(partitions, str) else partitions
         self.files = Files(spark, base)
-        self._lock = threading.RLock()
         self._watch = watch
 
+    def _lock(self, dataset: str) -> threading.RLock:
+        return _LOCKS.setdefault(self.folder(dataset), threading.RLock())
+
     @contextmanager
     def _span(self, name: str, dataset: str) -> Iterator[Span]:
         span, began = Span(name, dataset or DEFAULT_DATASET), time.perf_counter()
@@ -194,7 +197,7 @@ class Store:
             raise ValueError("missing row")
         if not rows:
             return []
-        with self._lock:
+        with self._lock(dataset):
             manifest = self.manifest(dataset)
             placed: list[Placed] = []
             ready: dict[str, list[dict[str, Any]]] = {}
@@ -230,7 +233,7 @@ class Store:
         """
         if TIMESTAMP not in rows.columns:
             raise ValueError("the rows have no timestamp column")
-        with self._lock, self._span("ingest", dataset) as span:
+        with self._lock(dataset), self._span("ingest", dataset) as span:
             manifest = self.manifest(dataset)
             if batch is not None and manifest["batches"].get(batch[0], -1) >= batch[1]:
                 return
@@ -327,7 +330,7 @@ class Store:
         """Keeps the last row of every key by arrival; rows without the key go.  The new rows replace the old at once."""
         if not key:
             raise ValueError("compaction needs a key column")
-        with self._lock, self._span("compact", dataset) as span:
+        with self._lock(dataset), self._span("compact", dataset) as span:
             manifest = self.manifest(dataset)
             entry = manifest["partitions"].get(partition)
             if entry is None or not entry["folders"]:

@@ -218,6 +218,14 @@ def test_long_texts_of_frames_are_cut_like_those_of_rows(spark, store):
     assert {r.i: r.s for r in store.read("").collect()} == {r.i: r.s for r in store.read("rows").collect()}
 
 
+def test_threads_of_several_stores_take_turns(spark, store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(4) as pool:
+        placed = list(pool.map(lambda i: Store(spark, store.base).ingest_row("", RowInput(JAN1, {"i": i})), range(8)))
+    assert sorted(p.row_id for p in placed) == list(range(8)) and ask(store, metrics=[Count(), Sum("i")]) == [(8, 28)]
+
+
 def test_steps_are_told(spark, tmp_path):
     told = []
     store = Store(spark, str(tmp_path / "s"), watch=told.append)
