@@ -30,7 +30,7 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 SLICE_CHARS = 1 << 20
-MAX_LANGUAGES = 256
+MAX_LANGUAGES = 512
 
 
 def _letters() -> np.ndarray:
