@@ -52,6 +52,7 @@ MAX_PARTS = 200_000
 MAX_PAIRS = 250_000
 #: Parts longer than this are not kept.
 MAX_KEPT_CHARS = 64
+ROWS = 500
 
 
 #: Texts that other normalisers change, and words that a model of another type cuts elsewhere.
@@ -253,13 +254,20 @@ def _model(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(load(path))
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``ROWS`` rows, so that few rows' ids are held at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, n_tokens for every row."""
     model = _model(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model)
-        for batch in batches:
+        for batch in _few(batches):
             got = [t.encode(x.as_py()) for x in batch.column("text")]
             ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), dtype="<i4")))
@@ -289,7 +297,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model)
-        for batch in batches:
+        for batch in _few(batches):
             n, octets, sha, same = [], [], [], []
             for value in batch.column("text"):
                 text = value.as_py()
