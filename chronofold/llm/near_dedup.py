@@ -49,6 +49,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import Cuts, Flags, hot_keys, spread, text_of, unpacked, whole
+from chronofold.llm.workers import returning
 
 WORDS = 5
 PERCENT = 85
@@ -250,8 +251,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, cuts: Cuts) -> DataFrame:
         return spread(pairs.join(other("b", "ym"), "b"), other("a", "xn"), ["a"], hot, "b")
 
     size = (F.octet_length("shingles") / 8).cast("bigint")
-    near = cuts(joined(pairs, F.col("bits"), size).mapInArrow(_possible, "a bigint, b bigint"))
-    links = cuts(joined(near, F.col("shingles")).mapInArrow(_confirmed, "a bigint, b bigint"))
+    near = cuts(joined(pairs, F.col("bits"), size).mapInArrow(returning(_possible), "a bigint, b bigint"))
+    links = cuts(joined(near, F.col("shingles")).mapInArrow(returning(_confirmed), "a bigint, b bigint"))
     cuts.free(near)
     return links
 
@@ -294,9 +295,9 @@ def components(links: DataFrame, cuts: Cuts | None = None) -> DataFrame:
         return tuple(table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     if links.count() <= LINKS:
-        return cuts(edges.coalesce(1).mapInArrow(_contracted, "u bigint, v bigint")).toDF("node", "component")
+        return cuts(edges.coalesce(1).mapInArrow(returning(_contracted), "u bigint, v bigint")).toDF("node", "component")
     while True:
-        local = cuts(edges.mapInArrow(_contracted, "u bigint, v bigint"))
+        local = cuts(edges.mapInArrow(returning(_contracted), "u bigint, v bigint"))
         before = mark(local)
         both = local.union(local.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("count"))
@@ -413,12 +414,12 @@ def _compared_with_hubs(rows: DataFrame, cuts: Cuts) -> DataFrame:
     """Of large groups' rows (g, members, node, n, component, diff): what ``_compared`` gives, the group as ``from``."""
     sizes = rows.groupBy("g").count()
     hot = hot_keys(sizes, ["g"], rows.count())
-    counts = rows.select("g", "members", "diff").mapInArrow(_uses, "g bigint, members bigint, shingle bigint, uses bigint")
+    counts = rows.select("g", "members", "diff").mapInArrow(returning(_uses), "g bigint, members bigint, shingle bigint, uses bigint")
     common = counts.groupBy("g", "members", "shingle").agg(F.sum("uses").alias("uses")).filter("2 * uses > members")
     # No longer than twice a group's mean set.
     centres = common.groupBy("g").agg(F.collect_list("shingle").alias("centre"))
     shape = "node bigint, n bigint, component bigint, diff binary"
-    centred = cuts(spread(rows, centres, ["g"], hot, "node", "left").mapInArrow(_centred, f"g bigint, {shape}, slack bigint"))
+    centred = cuts(spread(rows, centres, ["g"], hot, "node", "left").mapInArrow(returning(_centred), f"g bigint, {shape}, slack bigint"))
     # The most that a component's members have to spare, and of those in other components.
     parts = centred.groupBy("g", "component").agg(F.max("slack").alias("slack"))
     best = parts.groupBy("g").agg(F.max("slack").alias("most"), F.max_by("component", "slack").alias("top"))
@@ -428,7 +429,7 @@ def _compared_with_hubs(rows: DataFrame, cuts: Cuts) -> DataFrame:
     hubs = hubs.groupBy("g", "most", "next").agg(F.min("node").alias("node"))
     hub = centred.select("g", "node", F.col("n").alias("hub_n"), F.col("component").alias("hub_component"), F.col("diff").alias("hub_diff"))
     hubs = hubs.join(hub, ["g", "node"]).withColumnRenamed("node", "hub")
-    compared = cuts(spread(centred, hubs, ["g"], hot, "node").mapInArrow(_compared, f"`from` bigint, {shape}, hub bigint, near bigint, prefix bigint"))
+    compared = cuts(spread(centred, hubs, ["g"], hot, "node").mapInArrow(returning(_compared), f"`from` bigint, {shape}, hub bigint, near bigint, prefix bigint"))
     cuts.free(centred)
     return compared
 
@@ -443,7 +444,7 @@ def _halved(compared: DataFrame, found: DataFrame | None, cuts: Cuts) -> DataFra
     still = cuts(spans(named, "from"))
     left = cuts(spread(named, still.select("from"), ["from"], hot_keys(still, ["from"], named.count()), "node"))
     told = compared.select("from", "node", "diff").join(left.select("from", "node", "component"), ["from", "node"])
-    elements = cuts(told.mapInArrow(_elements, "g bigint, node bigint, component bigint, shingle bigint"))
+    elements = cuts(told.mapInArrow(returning(_elements), "g bigint, node bigint, component bigint, shingle bigint"))
     shared = cuts(spans(elements, "g", "shingle"))
     among = spread(elements.drop("component"), shared, ["g", "shingle"], hot_keys(shared, ["g", "shingle"], elements.count()), "node")
     member = Window.partitionBy("g", "node")
@@ -499,7 +500,7 @@ def _resolved(members: DataFrame, differ: DataFrame, cuts: Cuts) -> DataFrame |
 def _link(docs: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame]:
     """Sketched rows (doc_id, n_shingles, digest) and the component of each digest."""
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).cast("binary").alias("text"))
-    sketched = cuts(rows.mapInArrow(_sketched, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"))
+    sketched = cuts(rows.mapInArrow(returning(_sketched), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"))
     known = sketched.filter("doc_id is not null and digest is not null")
     narrow = cuts(sketched.select("doc_id", "n_shingles", "digest"))
     nodes = cuts(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
@@ -514,7 +515,7 @@ def _link(docs: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame]:
     pairs = cuts(buckets.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     needed = cuts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
     texts = Flags(needed, "node").mark(rows.withColumnRenamed("doc_id", "node"), "node").filter("_flag")
-    sets = cuts(texts.join(needed, "node", "left_semi").select("node", "text").mapInArrow(_sets, "node bigint, name bigint, shingles binary, bits binary"))
+    sets = cuts(texts.join(needed, "node", "left_semi").select("node", "text").mapInArrow(returning(_sets), "node bigint, name bigint, shingles binary, bits binary"))
     links = _verify(pairs, sets, cuts)
     cuts.free(pairs, needed)
     # Rows of one id with different texts are one node.

@@ -41,6 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from chronofold.llm.common import text_of
+from chronofold.llm.workers import returning
 
 BLANK = "▁"
 INFINITY = float("inf")
@@ -275,7 +276,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         t.rest()
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens bigint")
+    return rows.mapInArrow(returning(run), "doc_id bigint, ids array<int>, n_tokens bigint")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -288,7 +289,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
             texts = [t.decode(x.as_py() or []) for x in batch.column("ids")]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())})
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(returning(run), "doc_id bigint, text string")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
@@ -313,4 +314,4 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
         t.rest()
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_byte_tokens bigint, ids_sha256 string, round_trip boolean")
+    return rows.mapInArrow(returning(run), "doc_id bigint, n_tokens bigint, n_byte_tokens bigint, ids_sha256 string, round_trip boolean")
