@@ -11,10 +11,13 @@ import urllib.parse
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from chronofold.llm import language, pieces, secrets, toxicity
 from chronofold.llm.queries import TOKENIZER
+from chronofold.llm.workers import returning
 
 SF = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -288,3 +291,10 @@ def test_pieces_are_the_models_own(spark):
     assert pieces.encode(df.filter("false"), TOKENIZER).count() == 0
     clash = df.selectExpr("*", "text ids", "text n_tokens", "text `a.b`").filter("doc_id = 1")
     assert [r.ids for r in pieces.encode(clash, TOKENIZER).collect()] == [model.encode(rows[1])]
+
+
+def test_returning_changes_no_batch():
+    batches = [pa.record_batch({"x": pa.array([1, None], pa.int64())}), pa.record_batch({"x": pa.array([], pa.int64())})]
+    double = returning(lambda found: (pa.record_batch({"x": pc.multiply(b.column("x"), 2)}) for b in found))
+    assert [b.to_pydict() for b in double(iter(batches))] == [{"x": [2, None]}, {"x": []}]
+    assert list(double(iter([]))) == []
