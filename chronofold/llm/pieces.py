@@ -48,9 +48,10 @@ INFINITY = float("inf")
 #: States past the ids: characters without a piece.
 LONE = 1 << 24
 STATES = 1 << 26
-#: Bounds of a worker's tables, some 40 and 30 MB.
+#: Bounds of a worker's tables, some 40 and 30 MB; of paths where nothing else needs the memory, some 80 MB.
 MAX_PARTS = 200_000
 MAX_PAIRS = 250_000
+MANY_PARTS = 400_000
 #: Parts longer than this are not kept.
 MAX_KEPT_CHARS = 64
 ROWS = 500
@@ -79,16 +80,20 @@ def load(path: str) -> dict:
 
 
 class Paths(dict):
-    """Part -> its path; works out what it lacks."""
+    """Part -> its path; works out what it lacks.  When half of ``most`` are new, those from before them
+    that were not asked for since are forgotten, so that frequent parts stay."""
 
     def __init__(self, work) -> None:
         super().__init__()
-        self.work = work
+        self.work, self.before, self.most = work, {}, MAX_PARTS
 
     def __missing__(self, part: str) -> bytes:
-        path = self.work(part)
+        path = self.before.get(part)
+        if path is None:
+            path = self.work(part)
         if len(part) <= MAX_KEPT_CHARS:
-            if len(self) >= MAX_PARTS:
+            if len(self) >= self.most // 2:
+                self.before = self.copy()
                 self.clear()
             self[part] = path
         return path
@@ -100,7 +105,7 @@ class Transducer:
     def __init__(self, model: dict) -> None:
         self.ids, self.order = model["ids"], model["order"]
         self.byte_id = {b: i for i, b in model["octets"].items()}
-        self.fallback = frozenset(model["octets"])
+        self.fallback = np.isin(np.arange(len(model["names"])), list(model["octets"]))
         self.bytes = [bytes([model["octets"][i]]) if i in model["octets"] else name.replace(BLANK, " ").encode() if name in self.ids else b"" for i, name in enumerate(model["names"])]
         #: Every beginning of a piece -> the piece's id, -1 where it is no piece itself.
         self.prefixes: dict[str, int] = {}
@@ -235,20 +240,23 @@ class Transducer:
         return b"".join(map(self.paths.__getitem__, parts))
 
     def rest(self) -> None:
-        """Between tasks a worker keeps no paths: other stages need the memory."""
+        """Between tasks of a job with other stages a worker keeps no paths: those need the memory."""
         self.paths.clear()
+        self.paths.before = {}
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-def transducer(model: Broadcast) -> Transducer:
-    """One per Python worker and model: the compiled model and its pair weights serve all tasks the worker runs."""
+def transducer(model: Broadcast, parts: int = MAX_PARTS) -> Transducer:
+    """One per Python worker and model: the compiled model and its tables serve all tasks the worker runs; it keeps at most ``parts`` paths."""
     kept = sys.modules.setdefault("_chronofold_kept", types.ModuleType("_chronofold_kept"))
     found = getattr(kept, "transducers", None)
     if found is None or model.value["key"] not in found:
         kept.transducers = found = {model.value["key"]: Transducer(model.value)}
-    return found[model.value["key"]]
+    t = found[model.value["key"]]
+    t.paths.most = parts
+    return t
 
 
 def _model(spark: SparkSession, path: str) -> Broadcast:
@@ -297,21 +305,20 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     model = _model(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = transducer(model)
+        t = transducer(model, MANY_PARTS)
         for batch in _few(batches):
             n, octets, sha, same = [], [], [], []
             for value in batch.column("text"):
                 text = value.as_py()
                 raw = t.encode(text)
-                ids = np.frombuffer(raw, dtype="<i4").tolist()
+                ids = np.frombuffer(raw, dtype="<i4")
                 n.append(len(ids))
-                octets.append(sum(map(t.fallback.__contains__, ids)))
+                octets.append(np.count_nonzero(t.fallback[ids]))
                 sha.append(hashlib.sha256(raw).hexdigest())
-                same.append(t.decode(ids) == text)
+                same.append(t.decode(ids.tolist()) == text)
             yield pa.record_batch(
                 {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "n_byte_tokens": pa.array(octets, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "round_trip": pa.array(same, pa.bool_())}
             )
-        t.rest()
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
     return rows.mapInArrow(returning(run), "doc_id bigint, n_tokens bigint, n_byte_tokens bigint, ids_sha256 string, round_trip boolean")
