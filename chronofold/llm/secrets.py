@@ -18,7 +18,7 @@ fills it.  Bytes that are not UTF-8 are replaced.
 Special cases: null text counts as empty and has no spans; each input row gives one row, repeated
 and null ids too, and an empty table none; columns other than doc_id and text are ignored whatever
 their names; a very long text is one layer, for which nothing but the text is kept, while layers
-below keep a range for each of their characters.
+below keep a range for each of their characters, eight bytes.
 """
 
 from __future__ import annotations
@@ -28,8 +28,11 @@ import codecs
 import hashlib
 import re
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from array import array
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -59,6 +62,17 @@ SHORTEST = 12
 Span = tuple[int, int, int]
 
 
+class Places(NamedTuple):
+    """For each character of a layer the range it comes from; starts and ends never fall from one to the next."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def under(self, inner: Places) -> Places:
+        """The ranges of a layer whose own are given in this one's characters."""
+        return Places(self.starts[inner.starts], self.ends[inner.ends - 1])
+
+
 class Inflated:
     """What a gzip or zlib stream holds, in parts, with the members behind it; bytes before damage count."""
 
@@ -138,7 +152,7 @@ class Rules:
         found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
         return found
 
-    def unwrap(self, text: str) -> Iterator[tuple[str | Iterator[str], list[tuple[int, int]]]]:
+    def unwrap(self, text: str) -> Iterator[tuple[str | Iterator[str], Places]]:
         """Decoded runs of a layer, with the range in the layer of each decoded character; of a compressed run windows and one range."""
         if "%" in text:
             yield from self._regions(text, self.octets, self._percent)
@@ -148,41 +162,45 @@ class Rules:
             yield from self._base64(m[0].replace("-", "+").replace("_", "/"), range(m.start(), m.end()))
         for m in self.wrapped.finditer(text) if "\n" in text else ():
             if "\n" in m[0]:
-                at = [m.start() + i for i, c in enumerate(m[0]) if c not in "\r\n\t "]
+                at = m.start() + np.flatnonzero(~np.isin(np.frombuffer(m[0].encode("ascii"), dtype=np.uint8), list(b"\r\n\t ")))
                 yield from self._base64("".join(m[0].split()).replace("-", "+").replace("_", "/"), at)
 
-    def _regions(self, text: str, escape: re.Pattern, decode) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    def _regions(self, text: str, escape: re.Pattern, decode) -> Iterator[tuple[str, Places]]:
         """Every stretch between blanks that holds an escape, decoded; a secret may be escaped in part only."""
         done = 0
         while m := escape.search(text, done):
             a = max(text.rfind(" ", done, m.start()), text.rfind("\n", done, m.start()), done - 1) + 1
             done = self.blank.search(text, m.end()).start()
-            out, places, at = [], [], a
+            out, starts, ends, at = [], array("i"), array("i"), a
             for e in escape.finditer(text, a, done):
                 out.append(text[at : e.start()])
-                places += [(i, i + 1) for i in range(at, e.start())]
-                decode(e, out, places)
+                starts.extend(range(at, e.start()))
+                ends.extend(range(at + 1, e.start() + 1))
+                decode(e, out, starts, ends)
                 at = e.end()
             out.append(text[at:done])
-            places += [(i, i + 1) for i in range(at, done)]
-            yield "".join(out), places
+            starts.extend(range(at, done))
+            ends.extend(range(at + 1, done + 1))
+            yield "".join(out), Places(np.frombuffer(starts, dtype=np.int32), np.frombuffer(ends, dtype=np.int32))
 
     @staticmethod
-    def _percent(e: re.Match, out: list[str], places: list[tuple[int, int]]) -> None:
+    def _percent(e: re.Match, out: list[str], starts: array, ends: array) -> None:
         raw, k = bytes.fromhex(e[0].replace("%", "")), e.start()
         for c in raw.decode("utf-8", "surrogateescape"):
             n = 3 * (1 if 0xDC80 <= ord(c) <= 0xDCFF else len(c.encode()))
             out.append(c)
-            places.append((k, k + n))
+            starts.append(k)
             k += n
+            ends.append(k)
 
     @staticmethod
-    def _unicode(e: re.Match, out: list[str], places: list[tuple[int, int]]) -> None:
+    def _unicode(e: re.Match, out: list[str], starts: array, ends: array) -> None:
         c = int(e[1], 16)
         out.append(chr(c) if not 0xD800 <= c < 0xE000 else "\ufffd")
-        places.append((e.start(), e.end()))
+        starts.append(e.start())
+        ends.append(e.end())
 
-    def _base64(self, chars: str, at: Sequence[int]) -> Iterator[tuple[str | Iterator[str], list[tuple[int, int]]]]:
+    def _base64(self, chars: str, at: range | np.ndarray) -> Iterator[tuple[str | Iterator[str], Places]]:
         """What a run holds, decoded from each of its first four characters: a payload may begin anywhere in it.
 
         ``at`` has the place in the layer of each character.  Bytes that are not readable throughout
@@ -201,13 +219,15 @@ class Rules:
                     # Two bytes are soon met by chance: inside a run a zlib stream has to end well.
                     begins = k % 3 == 0 and (phase + k == 0 or chars[phase + k // 3 * 4 - 1] in "+/")
                     if (begins or m[0][:1] == b"\x1f" or Inflated(inflated.raw).sound()) and inflated.ready():
-                        yield self._windows(inflated), [(places[k // 3 * 4], places[-1] + 1)]
+                        yield self._windows(inflated), Places(*np.array([[places[k // 3 * 4]], [places[-1] + 1]], dtype=np.int32))
                         done = k + inflated.taken
             if self._readable(raw):
-                yield raw.decode("utf-8"), [self._place(places, i, i + n) for i, n in self._bytes(raw)]
+                first = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) & 0xC0 != 0x80)
+                yield raw.decode("utf-8"), self._places(places, first, np.append(first[1:], len(raw)))
             else:
                 for m in self.printable.finditer(raw):
-                    yield m[0].decode("ascii"), [self._place(places, i, i + 1) for i in range(m.start(), m.end())]
+                    each = np.arange(*m.span())
+                    yield m[0].decode("ascii"), self._places(places, each, each + 1)
 
     def _windows(self, parts: Iterable[bytes]) -> Iterator[str]:
         """The text of the parts in windows that overlap so far that each finding and encoded run is whole in one."""
@@ -236,18 +256,14 @@ class Rules:
         return max(at, len(text) - hard.start() if hard else 0)
 
     @staticmethod
-    def _bytes(raw: bytes) -> Iterator[tuple[int, int]]:
-        """Start and length of each UTF-8 character."""
-        k = 0
-        for c in raw.decode("utf-8"):
-            n = len(c.encode())
-            yield k, n
-            k += n
-
-    @staticmethod
-    def _place(places: Sequence[int], i: int, j: int) -> tuple[int, int]:
-        """The range in the layer that bytes i to j of the decoded run come from."""
-        return places[i // 3 * 4], places[min((j - 1) // 3 * 4 + 3, len(places) - 1)] + 1
+    def _places(places: range | np.ndarray, i: np.ndarray, j: np.ndarray) -> Places:
+        """The ranges in the layer that bytes i to j of the decoded run come from."""
+        first, last = i // 3 * 4, np.minimum((j - 1) // 3 * 4 + 3, len(places) - 1)
+        if isinstance(places, range):
+            first, last = first + places.start, last + places.start
+        else:
+            first, last = places[first], places[last]
+        return Places(first.astype(np.int32), (last + 1).astype(np.int32))
 
     @staticmethod
     def _readable(raw: bytes) -> bool:
@@ -262,12 +278,12 @@ class Rules:
         """Base spans, all spans, and the number of layers, for one text."""
         base = sorted(self.scan(text))
         spans, seen = set(base), {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), 0)}
-        work: list[tuple[str | Iterator[str], list[tuple[int, int]] | None]] = [(text, None)]
+        work: list[tuple[str | Iterator[str], Places | None]] = [(text, None)]
         layers = 0
 
-        def enter(inner: str, at: list[tuple[int, int]]) -> bool:
+        def enter(inner: str, at: Places) -> bool:
             # One content may stand in several places; in one place it is entered once.
-            mark = hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest(), at[0][0]
+            mark = hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest(), int(at.starts[0])
             return mark not in seen and not seen.add(mark)
 
         while work:
@@ -279,18 +295,18 @@ class Rules:
                 work.append((windows, places))
                 if not enter(layer, places):
                     continue
-                places = places * len(layer)
+                places = Places(*(np.broadcast_to(x, len(layer)) for x in places))
             layers += 1
             if places is not None:
                 for s, k, e in self.scan(layer):
-                    a, b = min(p[0] for p in places[s:e]), max(p[1] for p in places[s:e])
+                    a, b = int(places.starts[s]), int(places.ends[e - 1])
                     if not any(k == kind and x <= a and b <= y for x, kind, y in base):
                         spans.add((a, k, b))
             for inner, at in self.unwrap(layer):
                 if not inner:
                     continue
                 if places is not None:
-                    at = [(min(p[0] for p in places[x:y]), max(p[1] for p in places[x:y])) for x, y in at]
+                    at = places.under(at)
                 if not isinstance(inner, str) or enter(inner, at):
                     work.append((inner, at))
         return base, sorted(spans), layers

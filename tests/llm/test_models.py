@@ -7,6 +7,7 @@ import gzip
 import os
 import random
 import re
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -214,6 +215,17 @@ def test_secrets_in_large_and_many_members(monkeypatch):
             assert [k for _, k, _ in rules.find(text)[1]] == [0], (held, before)
 
 
+def test_secrets_hold_few_bytes_for_a_character():
+    text = base64.b64encode(b"plain words " * 80_000 + SECRET.encode()).decode()
+    tracemalloc.start()
+    try:
+        spans = secrets.Rules().find(text)[1]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [k for _, k, _ in spans] == [0] and most < 60 * len(text)
+
+
 def test_secrets_end_and_stay_quiet():
     rules = secrets.Rules()
     loop = "%2525" * 2000 + " " + "%41" * 20_000
