@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import WORD, checkpoint_dir, cut, fenced, text_of, unpacked, whole
+from chronofold.llm.common import WORD, checkpoint_dir, cut, fenced, hot_keys, spread, text_of, unpacked, whole
 from chronofold.sources.files import Files
 
 MARGINS = ("source", "lang", "topic")
@@ -105,7 +105,7 @@ def rake(cells: list[tuple[tuple[str, ...], float]], wanted: list[dict[str, floa
         place = {x: i for i, x in enumerate(names)}
         places.append(np.array([place[values[m]] for values, _ in cells]))
         goals.append([want.get(x, 0.0) for x in names])
-    members = [[np.flatnonzero(at == i) for i in range(len(goal))] for at, goal in zip(places, goals, strict=True)]
+    members = [np.split(np.argsort(at, kind="stable"), np.cumsum(np.bincount(at))[:-1]) for at in places]
     factors = [np.ones(len(goal)) for goal in goals]
     scale = float(np.sum(tokens)) or 1.0
     before = None
@@ -219,12 +219,12 @@ def _rake_far(cells: DataFrame, steps: int | None = None) -> DataFrame:
     return out
 
 
-def probabilities(rows: DataFrame) -> DataFrame:
-    """source, lang, topic, p for every cell of the measured rows."""
+def _probabilities(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """source, lang, topic, p for every cell of the measured rows; with it the cells whose rows are too many for one task of a join."""
     spark = rows.sparkSession
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
     if cells.count() > MAX_CELLS:
-        return _rake_far(cells)
+        return _rake_far(cells), hot_keys(cells, list(MARGINS), cells.agg(F.sum("docs")).first()[0], "docs")
     found = sorted((tuple(r[m] for m in MARGINS), float(r["tokens"])) for r in cells.collect())
     total = sum(t for _, t in found)
     wanted = []
@@ -235,7 +235,12 @@ def probabilities(rows: DataFrame) -> DataFrame:
         wanted.append(targets(sums))
     p = rake(found, wanted)
     names = {k: pa.array([values[m] for values, _ in found], pa.string()) for m, k in enumerate(MARGINS)}
-    return F.broadcast(spark.createDataFrame(pa.table(names | {"p": pa.array(p, pa.float64())})))
+    return F.broadcast(spark.createDataFrame(pa.table(names | {"p": pa.array(p, pa.float64())}))), None
+
+
+def probabilities(rows: DataFrame) -> DataFrame:
+    """source, lang, topic, p for every cell of the measured rows."""
+    return _probabilities(rows)[0]
 
 
 def _draw(doc_id: Column, seed: int) -> Column:
@@ -247,14 +252,15 @@ def _draw(doc_id: Column, seed: int) -> Column:
 def sample(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, its cell, tokens, the cell's probability, and whether it is kept."""
     rows = cut(measured(docs))
-    drawn = rows.join(probabilities(rows), list(MARGINS)).withColumn("kept", _draw(F.col("doc_id"), seed) < F.col("p"))
+    cells, hot = _probabilities(rows)
+    drawn = spread(rows, cells, list(MARGINS), hot, "doc_id").withColumn("kept", _draw(F.col("doc_id"), seed) < F.col("p"))
     return drawn.select("doc_id", *[F.nullif(m, F.lit("\0")).alias(m) for m in MARGINS], "tokens", F.col("p").alias("probability"), "kept")
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The documents kept, with all their columns."""
-    cells = probabilities(cut(measured(docs)))
+    cells, hot = _probabilities(cut(measured(docs)))
     margins = {"source": docs["source"], "lang": docs["lang"], "topic": fenced(topic(text_of(docs)))}
     named = [F.coalesce(v.cast("string"), F.lit("\0")).alias(k) for k, v in margins.items()]
     rows = docs.select(whole(docs).alias("row"), _draw(docs["doc_id"], seed).alias("drawn"), *named)
-    return unpacked(rows.join(cells, list(MARGINS)).filter("drawn < p"), docs.columns)
+    return unpacked(spread(rows, cells, list(MARGINS), hot, "drawn").filter("drawn < p"), docs.columns)

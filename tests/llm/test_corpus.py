@@ -242,6 +242,19 @@ def test_both_ways_of_raking_agree(spark, monkeypatch):
     assert all(far[k] == pytest.approx(near[k], rel=1e-6) for k in near)
 
 
+def test_both_ways_of_raking_sample_alike(spark, monkeypatch):
+    """Also where one cell has a third of all rows, which the join with a distributed table deals out."""
+    rows = [(i, "some words " * (i % 7), "en", "hot" if i % 3 else f"s{i % 30}", 1) for i in range(1500)] + [(None, None, None, None, 2)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _salt int").repartition(3)
+    monkeypatch.setattr(mixing, "MAX_STEPS", 2)
+    near, kept = Counter(mixing.sample(df).collect()), Counter(mixing.mix(df).collect())
+    monkeypatch.setattr(mixing, "MAX_CELLS", 3)
+    assert mixing._probabilities(mixing.measured(df))[1].count() >= 1
+    rounded = lambda rows: Counter({(*r[:5], round(r.probability, 9), r.kept): n for r, n in rows.items()})
+    assert rounded(Counter(mixing.sample(df).collect())) == rounded(near) and sum(near.values()) == len(rows)
+    assert Counter(mixing.mix(df).collect()) == kept and mixing.mix(df).columns == df.columns
+
+
 PAGES = [(5, "http://a/ü x\r\nX: y", "é" * 60), (3, "u", "é" * 60), (9, None, "é" * 60), (9, "again", "é" * 60), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (None, "u", "é" * 60), (6, "u", "WARC/1.1\r\nContent-Length: 3\r\n\r\n" + "x" * 100), (7, "u", "a\r\n\r\n" * 50_000)]
 
 
