@@ -24,7 +24,7 @@ Candidates appear in at least ``MIN_SHARE`` of the toxic sample, so there are at
 
 Special cases: null and empty texts score as texts without a matched clause; without any
 training labels built-in weights and scale are used; each input row gives one row, and an empty
-table none; repeated and null ids and extra columns do no harm; a very long text is read whole,
+table none; a repeated id counts once in training; null ids and extra columns do no harm; a very long text is read whole,
 clause by clause, in time linear in its length.
 """
 
@@ -167,13 +167,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled training rows with their text, read from the documents once.
+    """Labelled training documents with their text, read from the documents once.
 
-    Ids are chosen on the narrow table, at most MAX_TRAIN_DOCS, so they fit a broadcast.
+    Ids are chosen on the narrow table, at most MAX_TRAIN_DOCS, so they fit a broadcast; of the rows
+    of a repeated id the greatest text counts, so there are no more rows than ids.
     """
     known = labels.filter(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & (remainder(labels["doc_id"], 3) != 1))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN_DOCS)
-    return cut(docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id"))
+    rows = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return cut(rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")))
 
 
 def _tally(candidates: frozenset[str] | None):

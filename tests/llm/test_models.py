@@ -153,6 +153,15 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.detect(docs, some).count() == 6 and toxicity.detect(docs.filter("false"), some).count() == 0
 
 
+def test_toxicity_sample_holds_an_id_once(spark):
+    many, lone, empty = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1][:3]
+    rows = [(many, f"text {i}", i) for i in range(300)] + [(lone, "other", 1), (empty, None, 1), (500, "unlabelled", 1), (None, "none", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(many, 0), (many, 1), (lone, 0), (empty, 1), (None, 1), (999, 1)], "doc_id long, toxic int")
+    got = toxicity._sample(docs, labels).collect()
+    assert sorted((r.doc_id, r.text, r.toxic) for r in got) == sorted([(many, "text 99", 1), (lone, "other", 0), (empty, "", 1)])
+
+
 SECRET = 'token = "abcdef123456"'
 
 
