@@ -10,8 +10,9 @@ Line rules, on lines that hold a word (blank lines are kept and cost nothing):
   punctuation  fewer than ``SHORT_WORDS`` words and no closing punctuation mark
 
 Results in special cases: a null or empty text has no words, so it fails the base
-rule; repeated rows and equal ids give one output row per input row; an empty
-table gives an empty result; other columns of the input are ignored by
+rule; repeated rows and equal or null ids give one output row per input row; a
+very long text is judged whole, with a few numbers kept per word; an empty table
+gives an empty result; other columns of the input are ignored by
 ``measure`` and returned untouched by ``clean``.
 """
 
