@@ -179,6 +179,16 @@ def test_sketches_merge(spark):
     assert k.count_in_range(rows, "s", "x", 10, 20) == 10 and k.count_in_range(rows, "s", "y", 10, 20) == 0
 
 
+def test_rollup_of_many_users_is_exact(spark, tmp_path):
+    from chronofold.queries import sketch_rollup
+
+    times = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id % 3 AS int)) AS ts"
+    users = "CASE WHEN id < 180000 THEN id % 90000 END AS user_id"  # each on one or two days, and rows without a user
+    spark.range(180_007).selectExpr("id AS event_id", times, users, "CASE WHEN id % 2 = 0 THEN 'a' END AS event_type", "1D AS value", "'{}' AS props").write.parquet(str(tmp_path / "events.parquet"))
+    found = {tuple(r) for r in sketch_rollup(spark, str(tmp_path)).collect()}
+    assert found == {("a", 90_004, 45_000), (None, 90_003, 45_000)}
+
+
 def test_one_scan_for_distinct_counts_beside_percentiles(spark, tmp_path):
     rows = spark.createDataFrame([(JAN1, g, v) for g in "ab" for v in (0.0, -0.0, 1.0, 2.0, float("nan"), float("nan"), None)], "timestamp long, g string, v double")
     rows.write.parquet(str(tmp_path / "t"))
