@@ -17,7 +17,6 @@ from chronofold.sources.files import Files
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-WORD_CHARS = r"[^\x20\x09-\x0D]"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

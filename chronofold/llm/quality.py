@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import WORD, WORD_CHARS, fenced, let, text_of, unpacked, whole
+from chronofold.llm.common import WORD, fenced, let, text_of, unpacked, whole
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -42,10 +42,14 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def _line_fails(line: Column) -> Column:
-    words = F.regexp_count(line, F.lit(WORD))
+def _lines(text: Column) -> Column:
+    """Each line with its words and its number of symbols, taken once: a lambda works out anew what it names twice."""
+    return F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), _words(x).alias("words"), F.regexp_count(x, F.lit(SYMBOLS)).alias("symbols")))
+
+
+def _line_fails(x: Column) -> Column:
+    line, words, symbols = x["line"], F.size(x["words"]), x["symbols"]
     bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
-    symbols = F.regexp_count(line, F.lit(SYMBOLS))
     closed = F.rtrim(line).rlike(r"[.!?:;,…»\"'”’)\]。！？]\s*$")
     boiler = line.rlike("(?i)" + "|".join(BOILERPLATE))
     return (words > 0) & (
@@ -97,8 +101,8 @@ def _judged(text: Column) -> Column:
     def of_words(w: Column) -> Column:
         return F.struct(F.size(w).cast("bigint").alias("n_words"), _chars(w).alias("word_chars"), _repeat_words(w).alias("n_repeat_words"))
 
-    def of_lines(lines: Column, good: Column) -> Column:
-        wordy = F.filter(lines, lambda x: x.rlike(WORD_CHARS))
+    def of_lines(x: Column, good: Column) -> Column:
+        lines, wordy = x["line"], F.filter(x, lambda e: F.size(e["words"]) > 0)["line"]
         repeats = let(wordy, lambda x: F.size(x) - F.size(F.array_distinct(x)))
         return F.struct(
             repeats.cast("bigint").alias("n_dup_lines"),
@@ -108,9 +112,12 @@ def _judged(text: Column) -> Column:
             good.alias("good"),
         )
 
-    lines = let(F.split(text, "\n", -1), lambda x: let(F.filter(x, lambda line: ~_line_fails(line)), lambda good: of_lines(x, good)))
-    symbols = F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint")
-    return F.struct(let(_words(text), of_words).alias("w"), lines.alias("l"), symbols.alias("n_symbols"))
+    def of_text(x: Column) -> Column:
+        lines = let(F.filter(x, lambda e: ~_line_fails(e))["line"], lambda good: of_lines(x, good))
+        symbols = F.aggregate(x["symbols"], F.lit(0).cast("bigint"), lambda a, n: a + n)
+        return F.struct(let(F.flatten(x["words"]), of_words).alias("w"), lines.alias("l"), symbols.alias("n_symbols"))
+
+    return let(_lines(text), of_text)  # a line end is no part of a word, so the lines' words are the text's
 
 
 def _base_failed(q: Column) -> Column:

@@ -64,6 +64,11 @@ def test_quality_cleaning(odd):
     assert quality.clean(odd.filter("false")).count() == 0 == quality.measure(odd.filter("false")).count()
 
 
+def test_quality_takes_the_words_once(odd):
+    plan = quality.measure(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2  # words and symbols of each line; counts of matches are extractions too
+
+
 def test_exact_groups(odd, monkeypatch):
     known = texts(odd)
     members = defaultdict(list)
